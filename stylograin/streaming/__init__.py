@@ -1,0 +1,5 @@
+"""Left empty on purpose: the work this library covers is batch only.
+
+The row-wise expressions in :mod:`stylograin.functions` hold no state and can be
+applied to a streaming DataFrame as they are.
+"""
