@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stylograin.functions.labels import SEEN_LANGUAGES, setting
 from stylograin.operators.ordering import prefix_sums
+from stylograin.session import reused
 
 
 def ratio(above: Column, below: Column) -> Column:
@@ -118,10 +119,14 @@ def score_steps(df: DataFrame, by: Sequence[str] = (), y: str = "y", pred: str |
     """
     t = F.col(y)
     hits = F.col(pred) if pred else F.lit(0)
-    steps = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
+    steps = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
+        F.count(score).alias("known"),
         F.count_if(t == 1).alias("pos"), F.count_if(t == 0).alias("neg"),
         F.count_if((t == 1) & (hits == 1)).alias("pos_hit"),
         F.count_if((t == 0) & (hits == 1)).alias("neg_hit"))
+    # Rows without a score go by their count: a null test on a computed score would be
+    # pushed below the aggregate and compute the score twice.
+    steps = reused(steps.where(F.col("known") > 0).drop("known"))
     sums = prefix_sums(steps, ["threshold"], {"pos": F.col("pos"), "neg": F.col("neg")}, by)
     return sums.withColumns({
         "tp_at": F.col("pos_all") - F.col("pos_upto") + F.col("pos"),

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stylograin.session import reused
+
 BUCKETS = 256
 
 
@@ -26,15 +28,11 @@ def with_quantile_bucket(df: DataFrame, order: str, buckets: int = BUCKETS,
     shares = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 2000))
     value = F.col(order).cast("double")
-    below = F.size(F.filter("_cuts", lambda cut: cut < value))
+    # Never null: otherwise a join on the bucket pushes a null test down to the source.
+    below = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < value)), F.lit(0))
     return df.withColumn("_cuts", cuts.scalar()).withColumn(name, below).drop("_cuts")
 
 
-def hash_bucket(key: str, digits: int = 3) -> Column:
-    """Bucket number of a hexadecimal hash: its first digits, so buckets are even."""
-    return F.conv(F.substring(F.col(key), 1, digits), 16, 10).cast("int")
-
-
 def prefix_sums(df: DataFrame, order: Sequence[str], values: Mapping[str, Column],
                 by: Sequence[str] = (), bucket: Column | None = None,
                 buckets: int = BUCKETS) -> DataFrame:
@@ -77,16 +75,64 @@ def row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
 
 
 def hash_key(id_col: str, seed: int) -> Column:
-    """A reproducible random order key: md5 of ``id:seed``."""
-    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+    """A reproducible random order key: md5 of ``id:seed``, then the id against ties."""
+    key = F.col(id_col).cast("string")
+    return F.concat(F.md5(F.concat(key, F.lit(f":{seed}"))), key)
+
+
+def random_cutoffs(df: DataFrame, id_col: str, seed: int, quotas: Mapping[str, Column],
+                   by: Sequence[str] = (), digits: int = 3) -> DataFrame:
+    """Per group, the order key of the last row of each quota in random order.
+
+    ``quotas`` are expressions over ``size``, the group's row count. A row belongs to a
+    quota exactly if its order key is not above the cutoff, so samples and splits are
+    plain filters and texts never move. Only keys are read; after counting them per
+    (group, first digits of the hash), only the buckets that hold a cutoff are ranked.
+    A quota below 1 gives an empty cutoff, which no key reaches.
+    """
+    by = list(by)
+    keys = df.select(*by, hash_key(id_col, seed).alias("_key"))
+    keys = keys.withColumn("_bucket", F.coalesce(F.substring("_key", 1, digits), F.lit("")))
+    counts = keys.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns({"size": F.sum("_n").over(whole), "_upto": F.sum("_n").over(upto)})
+    wanted = F.inline(F.array(*[F.struct(F.lit(name).alias("_quota"), value.cast("bigint").alias("_row"))
+                                for name, value in quotas.items()]))
+    marks = placed.select(*by, "_bucket", "_n", "_upto", "size", wanted)
+    first = F.col("_upto") - F.col("_n")
+    edge = marks.where((F.col("_row") > first) & (F.col("_row") <= F.col("_upto")))
+    edge = edge.select(*by, "_bucket", "_quota", (F.col("_row") - first).alias("_place"))
+    in_bucket = Window.partitionBy(*by, "_bucket", "_quota").orderBy("_key")
+    ranked = keys.join(edge, [*by, "_bucket"]).withColumn("_rank", F.row_number().over(in_bucket))
+    found = ranked.where(F.col("_rank") == F.col("_place"))
+    groups = placed.select(*by, "size").distinct()
+    cuts = found.groupBy(*by).agg(*[
+        F.max(F.when(F.col("_quota") == name, F.col("_key"))).alias(name) for name in quotas])
+    if not by:
+        return cuts.select(*[F.coalesce(name, F.lit("")).alias(name) for name in quotas])
+    return groups.join(cuts, by, "left").select(
+        *by, "size", *[F.coalesce(name, F.lit("")).alias(name) for name in quotas])
+
 
+def with_cutoffs(df: DataFrame, id_col: str, seed: int, quotas: Mapping[str, Column],
+                 by: Sequence[str] = ()) -> DataFrame:
+    """Add ``_key`` and one cutoff column per quota. ``by`` columns must not be null."""
+    cuts = random_cutoffs(df, id_col, seed, quotas, by)
+    keyed = df.withColumn("_key", hash_key(id_col, seed))
+    if by:
+        return keyed.join(cuts.drop("size"), list(by))
+    return keyed.withColumns({name: cuts.select(name).scalar() for name in quotas})
 
-def random_index(df: DataFrame, id_col: str, seed: int, by: Sequence[str] = (),
-                 name: str = "row_no", digits: int = 3) -> DataFrame:
-    """Number the rows 1, 2, … in a reproducible random order (per group)."""
-    keyed = df.withColumn("_hash", hash_key(id_col, seed))
-    out = row_index(keyed, ["_hash", id_col], by, hash_bucket("_hash", digits), name)
-    return out.drop("_hash")
+
+def value_counts_of(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, value, n) without nulls.
+
+    The nulls go after the count: a filter on ``value`` itself would be pushed below the
+    aggregate and compute the value twice.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(value).alias("n"))
+    return counts.where(F.col("n") > 0)
 
 
 def quantiles(df: DataFrame, value: str, shares: Mapping[str, float],
@@ -96,8 +142,7 @@ def quantiles(df: DataFrame, value: str, shares: Mapping[str, float],
     Equal values are counted before anything is ordered, so a hot value is one row.
     """
     by = list(by)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
-              .agg(F.count(F.lit(1)).alias("n")))
+    counts = reused(value_counts_of(df, value, by))
     ranked = prefix_sums(counts, [value], {"n": F.col("n")}, by)
     first, last = F.col("n_upto") - F.col("n"), F.col("n_upto") - 1
 

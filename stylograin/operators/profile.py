@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylograin.operators.ordering import quantiles
+from stylograin.operators.ordering import quantiles, value_counts_of
+from stylograin.session import reused
 
 
 def value_counts(df: DataFrame, *by: str) -> DataFrame:
@@ -35,7 +36,8 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     if by:
         return stats.join(quarts, list(by))
     # One row on either side.
-    return stats.select("*", *[quarts.select(q).scalar().alias(q) for q in ("q25", "q50", "q75")])
+    one = quarts.select(F.struct("q25", "q50", "q75")).scalar()
+    return stats.withColumn("_q", one).select("*", "_q.*").drop("_q")
 
 
 def text_digest(text: Column) -> Column:
@@ -84,25 +86,22 @@ def density_histogram(df: DataFrame, value: str, bins: int = 40, by: Sequence[st
     unit range around it.
     """
     by = list(by)
-    known = df.where(F.col(value).isNotNull())
-    ranges = known.groupBy(*by).agg(F.min(value).cast("double").alias("low"),
-                                    F.max(value).cast("double").alias("high"),
-                                    F.count(F.lit(1)).alias("total"))
+    # Equal values are counted first: all that follows works on distinct values.
+    counts = reused(value_counts_of(df.withColumn("_x", F.col(value).cast("double")), "_x", by))
+    ranges = counts.groupBy(*by).agg(F.min("_x").alias("low"), F.max("_x").alias("high"),
+                                     F.sum("n").alias("total"))
     flat = F.col("low") == F.col("high")
     ranges = ranges.select(*by, "total",
                            F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
                            F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
-    # Count equal values first: the join then works on distinct values, not on rows.
-    counts = known.groupBy(*by, F.col(value).cast("double").alias("_x")).agg(
-        F.count(F.lit(1)).alias("_n"))
     if by:
         placed = counts.join(ranges, by)
     else:
         one = ranges.select(F.struct("low", "high", "total").alias("r")).scalar()
-        placed = counts.withColumn("_r", one).select("_x", "_n", "_r.low", "_r.high", "_r.total")
+        placed = counts.withColumn("_r", one).select("_x", "n", "_r.low", "_r.high", "_r.total")
     place = F.floor((F.col("_x") - F.col("low")) / (F.col("high") - F.col("low")) * bins)
     hits = placed.groupBy(*by, F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
-        F.sum("_n").alias("n"))
+        F.sum("n").alias("n"))
     grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("high") - F.col("low")) / bins
     full = grid.join(hits, [*by, "bin"], "left")
@@ -114,7 +113,7 @@ def density_histogram(df: DataFrame, value: str, bins: int = 40, by: Sequence[st
 def box_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers at most 1.5 quartile ranges long, and the number of outliers."""
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = reused(value_counts_of(df, value, by)).withColumnRenamed("n", "_n")
     boxes = quantiles(df, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by)
     if by:
         joined = counts.join(boxes, by)

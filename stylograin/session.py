@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -42,9 +43,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+_kept: list[DataFrame] = []
+
+
+def reused(df: DataFrame) -> DataFrame:
+    """Keep an aggregated table that one plan reads several times.
+
+    Blocks go to disk when memory is short and are recomputed when an executor is lost.
+    ``release`` frees everything that was kept.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Drop all tables held by ``reused``."""
+    while _kept:
+        _kept.pop().unpersist()
