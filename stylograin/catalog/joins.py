@@ -14,12 +14,15 @@ from stylograin.operators import terms
 from stylograin.operators.trees import shape_features
 from stylograin.functions.text import word_count
 
-W = words(F.col("code"))
 TOKENS_SQL = r"regexp_extract_all(code, '[\p{L}\p{N}_]+')"
 TAG_GROUPS = {"ul": "list", "li": "list", "div": "box", "article": "box", "p": "text", "h1": "text"}
 GROUP_SQL = "CASE {0} WHEN 'ul' THEN 'list' WHEN 'li' THEN 'list' WHEN 'div' THEN 'box' WHEN 'article' THEN 'box' WHEN 'p' THEN 'text' WHEN 'h1' THEN 'text' ELSE {0} END"
 
 
+def tokens():
+    return words(F.col("code"))
+
+
 def part(t: Tables, split: str):
     return t.documents().where(F.col("split") == split)
 
@@ -49,7 +52,7 @@ def distribution_alignment(t: Tables):
   {vocab_sql('b', "split = 'ood'", 2000, 5)} SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b,
   count(*) AS n_shared, round(count(*) / (SELECT count(*) FROM a), 6) AS share_of_a FROM a JOIN b USING (term)""")
 def vocabulary_overlap(t: Tables):
-    a, b = (terms.vocabulary(part(t, s), W, 5, 2000) for s in ("train", "ood"))
+    a, b = (terms.vocabulary(part(t, s), tokens(), 5, 2000) for s in ("train", "ood"))
     return j.vocabulary_overlap(a, b)
 
 
@@ -57,8 +60,8 @@ def vocabulary_overlap(t: Tables):
   w AS (SELECT sample_id, unnest({TOKENS_SQL}) AS term FROM docs WHERE split = 'ood')
   SELECT sample_id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM a) GROUP BY 1, 2""")
 def vocabulary_lookup(t: Tables):
-    vocab = terms.vocabulary(part(t, "train"), W, 5, 500)
-    return terms.counts_in_vocabulary(part(t, "ood"), W, vocab.select("term"), 500)
+    vocab = terms.vocabulary(part(t, "train"), tokens(), 5, 500)
+    return terms.counts_in_vocabulary(part(t, "ood"), tokens(), vocab.select("term"), 500)
 
 
 @query("j05_type_map_lookup", f"""WITH {NODES_SQL} SELECT {GROUP_SQL.format('parent_type')} AS parent_type,
@@ -110,7 +113,7 @@ def key_union(t: Tables):
 @query("u03_vocabulary_intersection", f"""WITH {DOCS_SQL}, {vocab_sql('a', "split = 'train'", 2000, 5)},
   {vocab_sql('b', "split = 'ood'", 2000, 5)} SELECT term FROM a INTERSECT SELECT term FROM b""")
 def vocabulary_intersection(t: Tables):
-    a, b = (terms.vocabulary(part(t, s), W, 5, 2000).select("term") for s in ("train", "ood"))
+    a, b = (terms.vocabulary(part(t, s), tokens(), 5, 2000).select("term") for s in ("train", "ood"))
     return a.intersect(b)
 
 

@@ -10,7 +10,12 @@ from stylograin.functions.text import surface_features, word_count, words
 from stylograin.operators import profile as p
 from stylograin.operators.trees import SHAPE_FEATURES, shape_features
 
-W = word_count(F.col("code"))
+
+
+def length_in_words():
+    return word_count(F.col("code"))
+
+
 CLASSES = [0, 1]
 
 
@@ -28,19 +33,19 @@ def value_shares(t: Tables):
 @query("a03_mean_length_per_class", f"""WITH {SAMPLES_SQL} SELECT label, count(*) AS n,
   round(avg({WORDS_SQL}), 6) AS mean_length FROM samples WHERE label IS NOT NULL GROUP BY 1""")
 def mean_length_per_class(t: Tables):
-    return p.mean_by(t.labelled(), W, "label", name="mean_length")
+    return p.mean_by(t.labelled(), length_in_words(), "label", name="mean_length")
 
 
 @query("a03_mean_length_per_language", f"""WITH {DOCS_SQL} SELECT language, count(*) AS n,
   round(avg({WORDS_SQL}), 6) AS mean_length FROM docs GROUP BY 1""")
 def mean_length_per_language(t: Tables):
-    return p.mean_by(t.documents(), W, "language", name="mean_length")
+    return p.mean_by(t.documents(), length_in_words(), "language", name="mean_length")
 
 
 @query("a03_mean_length_per_language_and_class", f"""WITH {SAMPLES_SQL} SELECT language, label,
   count(*) AS n, round(avg({WORDS_SQL}), 6) AS mean_length FROM samples WHERE label IS NOT NULL GROUP BY 1, 2""")
 def mean_length_per_both(t: Tables):
-    return p.mean_by(t.labelled(), W, "language", "label", name="mean_length")
+    return p.mean_by(t.labelled(), length_in_words(), "language", "label", name="mean_length")
 
 
 @query("a04_describe_length", f"""WITH {DOCS_SQL}, l AS (SELECT {WORDS_SQL} AS words FROM docs)
@@ -48,7 +53,7 @@ def mean_length_per_both(t: Tables):
   min(words) AS min, max(words) AS max, quantile_cont(words, 0.25) AS q25,
   quantile_cont(words, 0.5) AS q50, quantile_cont(words, 0.75) AS q75 FROM l""")
 def describe_length(t: Tables):
-    return p.describe(t.documents().select(W.alias("words")), "words")
+    return p.describe(t.documents().select(length_in_words().alias("words")), "words")
 
 
 @query("a04_describe_score_by_type", """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean,
@@ -98,7 +103,7 @@ def class_prior(t: Tables):
   round(avg({WORDS_SQL}), 6) AS mean, round(stddev_pop({WORDS_SQL}), 6) AS std
   FROM samples WHERE label IS NOT NULL GROUP BY 1""")
 def class_summary(t: Tables):
-    return p.class_summary(t.labelled().withColumn("words", W), "words", "label")
+    return p.class_summary(t.labelled().withColumn("words", length_in_words()), "words", "label")
 
 
 @query("a10_density_histogram", f"""WITH {SAMPLES_SQL},
@@ -110,7 +115,7 @@ def class_summary(t: Tables):
     coalesce(h.n, 0) AS n, round(coalesce(h.n, 0) / (total * ((high - low) / 40)), 6) AS density
   FROM r, range(40) g(bin) LEFT JOIN h ON h.label = r.label AND h.bin = g.bin""")
 def density_histogram(t: Tables):
-    return p.density_histogram(t.labelled().select("label", W.alias("x")), "x", 40, ["label"])
+    return p.density_histogram(t.labelled().select("label", length_in_words().alias("x")), "x", 40, ["label"])
 
 
 @query("a11_box_summary", f"""WITH {SAMPLES_SQL},
@@ -123,7 +128,7 @@ def density_histogram(t: Tables):
     count(*) FILTER (x < q25 - 1.5 * (q75 - q25) OR x > q75 + 1.5 * (q75 - q25)) AS n_outliers
   FROM v JOIN q USING (language, label) GROUP BY 1, 2, 3, 4, 5""")
 def box_summary(t: Tables):
-    return p.box_summary(t.labelled().select("language", "label", W.cast("double").alias("x")), "x",
+    return p.box_summary(t.labelled().select("language", "label", length_in_words().cast("double").alias("x")), "x",
                          ["language", "label"])
 
 
@@ -140,7 +145,7 @@ SURFACE_FOR_CORR = ["num_lines", "num_chars", "avg_line_length", "num_hash_comme
 def correlations_surface(t: Tables):
     f = surface_features(F.col("code"))
     df = t.documents().select(*[f[n].alias(n) for n in SURFACE_FOR_CORR[:-1]],
-                              W.cast("double").alias("num_words"))
+                              length_in_words().cast("double").alias("num_words"))
     return p.correlations(df, SURFACE_FOR_CORR)
 
 
@@ -153,7 +158,7 @@ def correlations_shape(t: Tables):
   round(avg({WORDS_SQL}), 6) AS mean_length FROM samples
   WHERE label IS NOT NULL AND split IN ('train', 'val') GROUP BY 1, 2""")
 def split_consistency(t: Tables):
-    return p.mean_by(t.labelled().where(F.col("split").isin("train", "val")), W, "split", "label",
+    return p.mean_by(t.labelled().where(F.col("split").isin("train", "val")), length_in_words(), "split", "label",
                      name="mean_length")
 
 

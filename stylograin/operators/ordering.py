@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylograin.session import reused
+from stylograin.session import broadcast_if_small, reused
 
 BUCKETS = 256
 
@@ -121,7 +121,7 @@ def with_cutoffs(df: DataFrame, id_col: str, seed: int, quotas: Mapping[str, Col
     cuts = random_cutoffs(df, id_col, seed, quotas, by)
     keyed = df.withColumn("_key", hash_key(id_col, seed))
     if by:
-        return keyed.join(cuts.drop("size"), list(by))
+        return keyed.join(broadcast_if_small(cuts.drop("size")), list(by))
     return keyed.withColumns({name: cuts.select(name).scalar() for name in quotas})
 
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -65,6 +66,16 @@ def reused(df: DataFrame) -> DataFrame:
     return kept
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Count ``df`` and hint a broadcast only if it has at most ``rows`` rows.
+
+    For group tables that should be small but need not be: a large one is joined by
+    shuffle. The counted result is kept, so it is not computed again for the join.
+    """
+    kept = reused(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
 def release() -> None:
     """Drop all tables held by ``reused``."""
     while _kept:
