@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stylograin.catalog.registry import query
-from stylograin.catalog.tables import DOCS_SQL, LANGS, NODES_SQL, SAMPLES_SQL, WORDS_SQL, PAGES_SQL, Tables
+from stylograin.catalog.tables import DOCS_SQL, LANGS, SAMPLES_SQL, WORDS_SQL, Tables
 from stylograin.functions.text import surface_features, word_count, words
 from stylograin.operators import profile as p
-from stylograin.operators.trees import SHAPE_FEATURES, shape_features
 
 
 
@@ -149,11 +148,6 @@ def correlations_surface(t: Tables):
     return p.correlations(df, SURFACE_FOR_CORR)
 
 
-@query("a12_correlations_shape")
-def correlations_shape(t: Tables):
-    return p.correlations(shape_features(t.nodes(), decisions=["li", "p"], call_mark="a"), SHAPE_FEATURES)
-
-
 @query("a13_two_split_consistency", f"""WITH {SAMPLES_SQL} SELECT split, label, count(*) AS n,
   round(avg({WORDS_SQL}), 6) AS mean_length FROM samples
   WHERE label IS NOT NULL AND split IN ('train', 'val') GROUP BY 1, 2""")

@@ -13,7 +13,7 @@ from stylograin.catalog.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ["columns", "profile", "metrics", "drill", "joins", "sampling", "ranking", "surface", "terms", "arrays"]
+FAMILIES = ["sources", "columns", "profile", "metrics", "drill", "joins", "sampling", "ranking", "surface", "terms", "trees", "arrays"]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}

@@ -223,23 +223,41 @@ def with_missing_as_zero(samples: DataFrame, features: DataFrame, key: str = "sa
     return samples.join(features, key, "left").fillna(0.0, names)
 
 
-def transitions(nodes: DataFrame, key: str = "sample_id", without_errors: bool = False,
-                mapping: Mapping[str, str] | None = None) -> DataFrame:
-    """(key, parent_type, type, n) per distinct parent-child transition of a sample.
+def has_error(name: Column, mark: str = "error") -> Column:
+    return F.contains(F.lower(name), F.lit(mark))
+
+
+def touches_error(error: str = "error") -> Column:
+    """True for an edge with an error at either end."""
+    return has_error(F.col("parent_type"), error) | has_error(F.col("type"), error)
+
+
+def edges(nodes: DataFrame, without_errors: bool = False, mapping: Mapping[str, str] | None = None,
+          error: str = "error") -> DataFrame:
+    """Nodes that have a parent, as parent-child edges.
 
     An edge is dropped if either end names an error; its descendants are other edges
     and are judged on their own.
     """
-    edges = nodes.where(F.col("parent_type").isNotNull())
+    rows = nodes.where(F.col("parent_type").isNotNull())
     if without_errors:
-        edges = edges.where(~has_error(F.col("parent_type")) & ~has_error(F.col("type")))
-    if mapping:
-        edges = mapped_ends(edges, mapping)
-    return edges.groupBy(key, "parent_type", "type").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.where(~touches_error(error))
+    return mapped_ends(rows, mapping) if mapping else rows
 
 
-def has_error(name: Column, mark: str = "error") -> Column:
-    return F.contains(F.lower(name), F.lit(mark))
+def transitions(nodes: DataFrame, key: str = "sample_id", without_errors: bool = False,
+                mapping: Mapping[str, str] | None = None, error: str = "error") -> DataFrame:
+    """(key, parent_type, type, n) per distinct parent-child transition of a sample."""
+    return edges(nodes, without_errors, mapping, error).groupBy(key, "parent_type", "type").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def error_share(nodes: DataFrame, key: str = "sample_id", error: str = "error") -> DataFrame:
+    """Edges of a sample with and without the error filter, and the share that is lost."""
+    clean = F.count_if(~touches_error(error))
+    n = F.count(F.lit(1))
+    return edges(nodes).groupBy(key).agg(n.alias("n_all"), clean.alias("n_clean"),
+                                         (1 - clean / n).alias("error_share"))
 
 
 def path_term(parent: str = "parent_type", child: str = "type") -> Column:
@@ -250,12 +268,7 @@ def path_term(parent: str = "parent_type", child: str = "type") -> Column:
 def path_tokens(nodes: DataFrame, samples: DataFrame, key: str = "sample_id",
                 without_errors: bool = False, mapping: Mapping[str, str] | None = None) -> DataFrame:
     """Samples with ``paths``: the terms of all edges in node order, empty without a tree."""
-    edges = nodes.where(F.col("parent_type").isNotNull())
-    if without_errors:
-        edges = edges.where(~has_error(F.col("parent_type")) & ~has_error(F.col("type")))
-    if mapping:
-        edges = mapped_ends(edges, mapping)
-    listed = edges.groupBy(key).agg(F.array_sort(F.collect_list(
+    listed = edges(nodes, without_errors, mapping).groupBy(key).agg(F.array_sort(F.collect_list(
         F.struct("node_id", path_term().alias("term")))).alias("edges"))
     return samples.join(listed.select(key, F.col("edges.term").alias("paths")), key, "left").withColumn(
         "paths", F.coalesce("paths", F.array().cast("array<string>")))
