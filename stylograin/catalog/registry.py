@@ -13,7 +13,8 @@ from stylograin.catalog.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ["sources", "columns", "profile", "metrics", "drill", "joins", "sampling", "ranking", "surface", "terms", "trees", "arrays"]
+FAMILIES = ["sources", "columns", "profile", "metrics", "drill", "joins", "sampling", "ranking", "surface", "terms",
+            "trees", "arrays", "models", "studies"]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}

@@ -266,9 +266,10 @@ def path_term(parent: str = "parent_type", child: str = "type") -> Column:
 
 
 def path_tokens(nodes: DataFrame, samples: DataFrame, key: str = "sample_id",
-                without_errors: bool = False, mapping: Mapping[str, str] | None = None) -> DataFrame:
+                without_errors: bool = False, mapping: Mapping[str, str] | None = None,
+                error: str = "error") -> DataFrame:
     """Samples with ``paths``: the terms of all edges in node order, empty without a tree."""
-    listed = edges(nodes, without_errors, mapping).groupBy(key).agg(F.array_sort(F.collect_list(
+    listed = edges(nodes, without_errors, mapping, error).groupBy(key).agg(F.array_sort(F.collect_list(
         F.struct("node_id", path_term().alias("term")))).alias("edges"))
     return samples.join(listed.select(key, F.col("edges.term").alias("paths")), key, "left").withColumn(
         "paths", F.coalesce("paths", F.array().cast("array<string>")))
