@@ -89,6 +89,6 @@ def argmax(t: Tables):
 @query("ar8_softmax", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(embedding)::DOUBLE AS top FROM embeddings),
   p AS (SELECT vec_id, list_transform(v, lambda x: exp(x - top)) AS w FROM e),
   u AS (SELECT vec_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS class, list_sum(w) AS s FROM p)
-  SELECT vec_id, class, round(w / s, 6) AS share FROM u""")
+  SELECT vec_id, class::INTEGER AS class, round(w / s, 6) AS share FROM u""")
 def softmax(t: Tables):
     return t.table("embeddings").select("vec_id", F.posexplode(a.softmax(F.col("embedding"))).alias("class", "share"))

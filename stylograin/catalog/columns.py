@@ -42,13 +42,13 @@ def contains_filter(t: Tables):
         F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
-@query("p05_length_between", """SELECT doc_id AS sample_id, length(text) AS len FROM documents
+@query("p05_length_between", """SELECT doc_id AS sample_id, length(text)::INTEGER AS len FROM documents
   WHERE length(text) BETWEEN 200 AND 800""")
 def length_between(t: Tables):
     return t.documents().select("sample_id", F.length("code").alias("len")).where(F.col("len").between(200, 800))
 
 
-@query("p06_outlier_filter", f"""WITH {DOCS_SQL} SELECT sample_id, {WORDS_SQL} AS words FROM docs
+@query("p06_outlier_filter", f"""WITH {DOCS_SQL} SELECT sample_id, {WORDS_SQL}::INTEGER AS words FROM docs
   WHERE {WORDS_SQL} > 2000""")
 def outlier_filter(t: Tables):
     return t.documents().select("sample_id", word_count(F.col("code")).alias("words")).where(F.col("words") > 2000)

@@ -92,7 +92,8 @@ def variant_comparison(t: Tables):
     return m.variant_comparison(a, b, "grp", "f")
 
 
-@query("j08_parent_of", f"""WITH {NODES_SQL} SELECT sample_id, node_id, parent_id, parent_type, type, depth FROM nodes""")
+@query("j08_parent_of", f"""WITH {NODES_SQL} SELECT sample_id, node_id::INTEGER AS node_id,
+  parent_id::INTEGER AS parent_id, parent_type, type, depth::INTEGER AS depth FROM nodes""")
 def parent_of(t: Tables):
     return t.nodes().select("sample_id", "node_id", "parent_id", "parent_type", "type", "depth")
 

@@ -48,7 +48,7 @@ def run(rows, name: str, fit):
 
 @query("ml01_logistic_regression")
 def logistic_regression(t: Tables):
-    return run(lexical(t), "logistic", m.logistic(max_iter=100))
+    return run(lexical(t), "logistic", m.logistic(max_iter=50))
 
 
 @query("ml02_balanced_weights", f"""WITH {SAMPLES_SQL}, l AS (SELECT * FROM samples WHERE label IS NOT NULL)
@@ -60,12 +60,12 @@ def balanced_weights(t: Tables):
 
 @query("ml03_balanced_logistic_regression")
 def balanced_logistic(t: Tables):
-    return run(lexical(t), "balanced logistic", m.logistic(balanced=True, max_iter=100))
+    return run(lexical(t), "balanced logistic", m.logistic(balanced=True, max_iter=50))
 
 
 @query("ml04_linear_svm")
 def linear_svm(t: Tables):
-    return run(scaled_shapes(t), "svm", m.linear_svm(max_iter=50))
+    return run(scaled_shapes(t), "svm", m.linear_svm(max_iter=10))
 
 
 @query("ml05_random_forest")
@@ -93,7 +93,7 @@ def ratio_weights(t: Tables):
 
 @query("ml08_calibrated_svm")
 def calibrated_svm(t: Tables):
-    return run(scaled_shapes(t), "calibrated svm", m.calibrated_svm(max_iter=30))
+    return run(scaled_shapes(t), "calibrated svm", m.calibrated_svm(max_iter=10))
 
 
 @query("ml09_length_only")
@@ -103,7 +103,7 @@ def length_only(t: Tables):
 
 @query("ml10_batch_scoring")
 def batch_scoring(t: Tables):
-    return s.run_models(lexical(t), {"logistic": m.logistic(max_iter=100)})
+    return s.run_models(lexical(t), {"logistic": m.logistic(max_iter=50)})
 
 
 @query("ml11_feature_importance")
@@ -122,7 +122,7 @@ def surface_rows(t: Tables):
 @query("ml12_permutation_importance")
 def permutation_importance(t: Tables):
     rows, names = surface_rows(t)
-    model = m.logistic(balanced=True, max_iter=100)(s.of_split(rows, "train"))
+    model = m.logistic(balanced=True, max_iter=50)(s.of_split(rows, "train"))
     return m.permutation_importance(model, s.of_split(rows, "ood"), names)
 
 

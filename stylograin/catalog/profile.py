@@ -49,7 +49,7 @@ def mean_length_per_both(t: Tables):
 
 @query("a04_describe_length", f"""WITH {DOCS_SQL}, l AS (SELECT {WORDS_SQL} AS words FROM docs)
   SELECT count(*) AS n, round(avg(words), 6) AS mean, round(stddev_samp(words), 6) AS std,
-  min(words) AS min, max(words) AS max, quantile_cont(words, 0.25) AS q25,
+  min(words)::INTEGER AS min, max(words)::INTEGER AS max, quantile_cont(words, 0.25) AS q25,
   quantile_cont(words, 0.5) AS q50, quantile_cont(words, 0.75) AS q75 FROM l""")
 def describe_length(t: Tables):
     return p.describe(t.documents().select(length_in_words().alias("words")), "words")
@@ -156,7 +156,7 @@ def split_consistency(t: Tables):
                      name="mean_length")
 
 
-@query("a14_length_profile", r"""SELECT min(n) AS min_tokens, max(n) AS max_tokens,
+@query("a14_length_profile", r"""SELECT min(n)::INTEGER AS min_tokens, max(n)::INTEGER AS max_tokens,
   round(avg(n), 6) AS mean_tokens
   FROM (SELECT len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM documents)""")
 def length_profile(t: Tables):

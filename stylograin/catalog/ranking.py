@@ -29,7 +29,7 @@ def lean(t: Tables, *by: str):
 
 
 @query("w01_ranked_importance", f"""WITH {TOTALS_SQL} SELECT term, tf, df,
-  row_number() OVER (ORDER BY tf DESC, term) AS rank FROM totals QUALIFY rank <= 500""")
+  CAST(row_number() OVER (ORDER BY tf DESC, term) AS INTEGER) AS rank FROM totals QUALIFY rank <= 500""")
 def ranked_importance(t: Tables):
     return r.ranked(terms.term_totals(t.documents(), tokens()), "tf", 500)
 
@@ -40,16 +40,16 @@ def top_k(t: Tables):
 
 
 @query("w03_two_sided_top_k", f"""WITH {LEAN_SQL.replace('{by}', '')} SELECT 'high' AS side, term, score,
-    row_number() OVER (ORDER BY score DESC, term) AS rank FROM lean QUALIFY rank <= 15
-  UNION ALL SELECT 'low', term, score, row_number() OVER (ORDER BY score, term) AS rank FROM lean QUALIFY rank <= 15""")
+    CAST(row_number() OVER (ORDER BY score DESC, term) AS INTEGER) AS rank FROM lean QUALIFY rank <= 15
+  UNION ALL SELECT 'low', term, score, CAST(row_number() OVER (ORDER BY score, term) AS INTEGER) AS rank FROM lean QUALIFY rank <= 15""")
 def two_sided_top_k(t: Tables):
     return r.two_sided(lean(t), "score", 15)
 
 
 @query("w04_top_k_per_language", f"""WITH {LEAN_SQL.replace('{by}', 'language,')} SELECT language, 'high' AS side, term, score,
-    row_number() OVER (PARTITION BY language ORDER BY score DESC, term) AS rank FROM lean QUALIFY rank <= 5
+    CAST(row_number() OVER (PARTITION BY language ORDER BY score DESC, term) AS INTEGER) AS rank FROM lean QUALIFY rank <= 5
   UNION ALL SELECT language, 'low', term, score,
-    row_number() OVER (PARTITION BY language ORDER BY score, term) AS rank FROM lean QUALIFY rank <= 5""")
+    CAST(row_number() OVER (PARTITION BY language ORDER BY score, term) AS INTEGER) AS rank FROM lean QUALIFY rank <= 5""")
 def top_k_per_language(t: Tables):
     return r.two_sided(lean(t, "language"), "score", 5, ["language"])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stylograin.catalog.tables import Tables
+from stylograin.session import release
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +34,12 @@ def query(name: str, sql: str | None = None, places: int = 6):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in _queries:
             raise ValueError(f"{name} is registered twice")
-        _queries[name] = lambda spark, folder: rounded(fn(Tables(spark, folder)), places)
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            release()  # what the query before kept
+            return rounded(fn(Tables(spark, folder)), places)
+
+        _queries[name] = run
         if sql is not None:
             _sql[name] = sql
         return fn

@@ -64,12 +64,14 @@ class Tables:
             (F.col("user_id") % 8).cast("int").alias("grp"))
 
     def pages(self) -> DataFrame:
-        """Pages as samples: language from the markup, label = English, producer = host."""
+        """Pages as samples: language from the markup, label = the address has a query part."""
         language = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
+        step = F.col("sample_id") % 10
+        split = (F.when(F.col("language").isin("de", "es") | (step == 9), "ood")
+                 .when(step.isin(7, 8), "val").otherwise("train"))
         return self.table("pages").select(
-            F.col("page_id").alias("sample_id"), F.col("html").alias("code"),
-            language.alias("language"), (language == "en").cast("int").alias("label"),
-            page_split(F.col("page_id")).alias("split"))
+            F.col("page_id").alias("sample_id"), F.col("html").alias("code"), language.alias("language"),
+            F.contains("url", F.lit("?")).cast("int").alias("label")).withColumn("split", split)
 
     def nodes(self) -> DataFrame:
         """The nesting tree of the pages."""
@@ -83,11 +85,6 @@ def split_of(key: Column, language: Column) -> Column:
             .when(step.isin(7, 8), "val").otherwise("train"))
 
 
-def page_split(key: Column) -> Column:
-    step = key % 10
-    return F.when(step == 9, "ood").when(step.isin(7, 8), "val").otherwise("train")
-
-
 SPLIT_SQL = """CASE WHEN lang IN ('de', 'es') OR (doc_id // 20) % 10 = 9 THEN 'ood'
     WHEN (doc_id // 20) % 10 IN (7, 8) THEN 'val' ELSE 'train' END"""
 
@@ -108,9 +105,9 @@ SCORED_SQL = f"""scored AS (SELECT event_id AS sample_id, CAST(event_type = 'pur
   value AS score, CAST(value >= {CUT} AS INTEGER) AS pred, CAST(user_id % 8 AS INTEGER) AS grp
   FROM events)"""
 
-PAGES_SQL = r"""page_samples AS (SELECT page_id AS sample_id, language, CAST(language = 'en' AS INTEGER) AS label,
-  CASE WHEN page_id % 10 = 9 THEN 'ood' WHEN page_id % 10 IN (7, 8) THEN 'val' ELSE 'train' END AS split
-  FROM (SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language FROM pages))"""
+PAGES_SQL = r"""page_samples AS (SELECT page_id AS sample_id, language, label,
+  CASE WHEN language IN ('de', 'es') OR page_id % 10 = 9 THEN 'ood' WHEN page_id % 10 IN (7, 8) THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT page_id, CAST(contains(url, '?') AS INTEGER) AS label, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language FROM pages))"""
 
 # Depth by running sum; parent by the last opener one level up (a different route than
 # the runs used in Spark).

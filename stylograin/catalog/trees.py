@@ -53,7 +53,7 @@ def shape(t: Tables, names: list[str]):
     return m.shape_features(t.nodes(), decisions=DECISIONS, call_mark=CALL).select("sample_id", *names)
 
 
-@query("tr1_nesting_tree", f"WITH {NODES_SQL} SELECT sample_id, node_id, depth, type, parent_type, n_children FROM nodes")
+@query("tr1_nesting_tree", f"WITH {NODES_SQL} SELECT sample_id, node_id::INTEGER AS node_id, depth::INTEGER AS depth, type, parent_type, n_children::INTEGER AS n_children FROM nodes")
 def nesting_tree(t: Tables):
     return t.nodes().select("sample_id", "node_id", "depth", "type", "parent_type", "n_children")
 
@@ -63,7 +63,7 @@ def nesting_tree(t: Tables):
   named AS (SELECT sample_id, pos, CASE WHEN regexp_matches(mark, '^[)}\]]') THEN -1 ELSE 1 END AS step,
     CASE WHEN regexp_matches(mark, '^[\p{L}\p{N}_]') THEN regexp_extract(mark, '^[\p{L}\p{N}_]+') ELSE right(mark, 1) END AS type FROM marks),
   placed AS (SELECT *, sum(step) OVER (PARTITION BY sample_id ORDER BY pos) - CASE WHEN step = 1 THEN 1 ELSE 0 END AS depth FROM named)
-  SELECT sample_id, pos AS node_id, depth::BIGINT AS depth, type FROM placed WHERE step = 1""")
+  SELECT sample_id, pos::INTEGER AS node_id, depth::INTEGER AS depth, type FROM placed WHERE step = 1""")
 def bracket_tree(t: Tables):
     return m.nest(m.bracket_marks(t.documents(), "code")).select("sample_id", "node_id", "depth", "type")
 
