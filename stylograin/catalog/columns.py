@@ -20,12 +20,12 @@ FAMILY_SQL = "CASE WHEN generator IN ({}) THEN 'family ' || (CAST(substr(generat
 
 @query("p01_equality_filter", "SELECT doc_id AS sample_id, n_chars FROM documents WHERE lang = 'en'")
 def equality_filter(t: Tables):
-    return t.documents().where(F.col("language") == "en").select("sample_id", "n_chars")
+    return t.listing().where(F.col("language") == "en").select("sample_id", "n_chars")
 
 
 @query("p02_class_filter", f"WITH {SAMPLES_SQL} SELECT sample_id, language, generator FROM samples WHERE label = 1")
 def class_filter(t: Tables):
-    return t.samples().where(F.col("label") == 1).select("sample_id", "language", "generator")
+    return t.labelled_listing().where(F.col("label") == 1).select("sample_id", "language", "generator")
 
 
 @query("p03_membership_filter", f"""WITH {JUDGED_SQL} SELECT sample_id, language, label, pred FROM judged
@@ -57,13 +57,13 @@ def outlier_filter(t: Tables):
 @query("p07_seen_unseen_tag", """SELECT CASE WHEN lang IN ('en', 'fr') THEN 'Seen' ELSE 'Unseen' END AS setting,
   count(*) AS n FROM documents GROUP BY 1""")
 def seen_unseen(t: Tables):
-    return t.documents().groupBy(c.setting(F.col("language"), SEEN).alias("setting")).agg(F.count(F.lit(1)).alias("n"))
+    return t.listing().groupBy(c.setting(F.col("language"), SEEN).alias("setting")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p08_label_naming", f"""WITH {SAMPLES_SQL} SELECT sample_id,
   CASE label WHEN 0 THEN 'Human' ELSE 'Machine' END AS class_name FROM samples WHERE label IS NOT NULL""")
 def label_naming(t: Tables):
-    return t.labelled().select("sample_id", c.class_name(F.col("label")).alias("class_name"))
+    return t.labelled_listing().select("sample_id", c.class_name(F.col("label")).alias("class_name"))
 
 
 @query("p09_name_cleaning", r"""SELECT page_id, list_last(string_split(trim(url), '/')) AS short_name FROM pages""")
@@ -73,7 +73,7 @@ def name_cleaning(t: Tables):
 
 @query("p10_lookup_with_default", f"""WITH {DOCS_SQL} SELECT {FAMILY_SQL} AS family, count(*) AS n FROM docs GROUP BY 1""")
 def lookup_with_default(t: Tables):
-    return t.documents().groupBy(c.lookup(F.col("generator"), FAMILIES, "Other").alias("family")).agg(
+    return t.listing().groupBy(c.lookup(F.col("generator"), FAMILIES, "Other").alias("family")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -96,14 +96,14 @@ def outcome_counts(t: Tables):
 @query("p14_minimum_support", f"""WITH {SAMPLES_SQL} SELECT generator, language, count(*) AS n FROM samples
   WHERE label = 1 GROUP BY 1, 2 HAVING count(*) >= 3""")
 def minimum_support(t: Tables):
-    return t.samples().where(F.col("label") == 1).groupBy("generator", "language").agg(
+    return t.labelled_listing().where(F.col("label") == 1).groupBy("generator", "language").agg(
         F.count(F.lit(1)).alias("n")).where(F.col("n") >= 3)
 
 
 @query("p15_two_class_guard", f"""WITH {SAMPLES_SQL} SELECT generator, language, count(*) AS n FROM samples
   WHERE label IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT label) = 2""")
 def two_class_guard(t: Tables):
-    return t.labelled().groupBy("generator", "language").agg(
+    return t.labelled_listing().groupBy("generator", "language").agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(
         F.col("lo") != F.col("hi")).select("generator", "language", "n")
 

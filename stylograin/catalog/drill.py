@@ -41,7 +41,7 @@ def detection_by_family(t: Tables):
   round(avg(correct), 6) AS detection_rate, count(*) AS total FROM judged WHERE label = 1
   GROUP BY 1 HAVING count(*) >= 3""")
 def length_by_generator(t: Tables):
-    return d.length_by_generator(t.judged())
+    return d.length_by_generator(t.judged(), length=F.col("words"))
 
 
 @query("g05_generator_language_matrix", f"""WITH {JUDGED_SQL} SELECT generator, """ + ", ".join(

@@ -27,6 +27,10 @@ def part(t: Tables, split: str):
     return t.documents().where(F.col("split") == split)
 
 
+def listed(t: Tables, split: str):
+    return t.listing().where(F.col("split") == split)
+
+
 def vocab_sql(name: str, where: str, limit: int, min_df: int = 1) -> str:
     return f"""{name}_w AS (SELECT sample_id, unnest({TOKENS_SQL}) AS term FROM docs WHERE {where}),
   {name} AS (SELECT term, count(*) AS tf, count(DISTINCT sample_id) AS df FROM {name}_w GROUP BY 1
@@ -45,7 +49,7 @@ def leakage(t: Tables):
   SELECT coalesce(a.language, b.language) AS language, round(coalesce(a.s, 0), 6) AS pct_a,
   round(coalesce(b.s, 0), 6) AS pct_b FROM a FULL JOIN b ON a.language = b.language""")
 def distribution_alignment(t: Tables):
-    return j.aligned_shares(part(t, "train"), part(t, "ood"), "language")
+    return j.aligned_shares(listed(t, "train"), listed(t, "ood"), "language")
 
 
 @query("j03_vocabulary_overlap", f"""WITH {DOCS_SQL}, {vocab_sql('a', "split = 'train'", 2000, 5)},
@@ -101,14 +105,14 @@ def parent_of(t: Tables):
 @query("u01_union_all", f"""WITH {DOCS_SQL} SELECT 'train' AS part, sample_id FROM docs WHERE split = 'train'
   UNION ALL SELECT 'val', sample_id FROM docs WHERE split = 'val'""")
 def union_all(t: Tables):
-    return part(t, "train").select(F.lit("train").alias("part"), "sample_id").unionByName(
-        part(t, "val").select(F.lit("val").alias("part"), "sample_id"))
+    return listed(t, "train").select(F.lit("train").alias("part"), "sample_id").unionByName(
+        listed(t, "val").select(F.lit("val").alias("part"), "sample_id"))
 
 
 @query("u02_key_union", f"""WITH {DOCS_SQL} SELECT language FROM docs WHERE split = 'train'
   UNION SELECT language FROM docs WHERE split = 'ood'""")
 def key_union(t: Tables):
-    return part(t, "train").select("language").union(part(t, "ood").select("language")).distinct()
+    return listed(t, "train").select("language").union(listed(t, "ood").select("language")).distinct()
 
 
 @query("u03_vocabulary_intersection", f"""WITH {DOCS_SQL}, {vocab_sql('a', "split = 'train'", 2000, 5)},
@@ -120,4 +124,4 @@ def vocabulary_intersection(t: Tables):
 
 @query("u04_distinct_values", "SELECT DISTINCT lang AS language, source AS generator FROM documents")
 def distinct_values(t: Tables):
-    return t.documents().select("language", "generator").distinct()
+    return t.listing().select("language", "generator").distinct()

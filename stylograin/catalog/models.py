@@ -54,7 +54,7 @@ def logistic_regression(t: Tables):
 @query("ml02_balanced_weights", f"""WITH {SAMPLES_SQL}, l AS (SELECT * FROM samples WHERE label IS NOT NULL)
   SELECT label, count(*) AS n, round((SELECT count(*) FROM l) / (2.0::DOUBLE * count(*)), 6) AS weight FROM l GROUP BY 1""")
 def balanced_weights(t: Tables):
-    rows = m.with_balanced_weights(t.labelled().select("label"))
+    rows = m.with_balanced_weights(t.labelled_listing().select("label"))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
 
 
@@ -87,7 +87,7 @@ def weighted_boosted_trees(t: Tables):
   SELECT label, count(*) AS n, CASE label WHEN 1 THEN round((SELECT count(*) FILTER (label = 0) / count(*) FILTER (label = 1) FROM l), 6)
   ELSE 1 END AS weight FROM l GROUP BY 1""")
 def ratio_weights(t: Tables):
-    rows = m.with_ratio_weights(t.labelled().where(F.col("split") == "train").select("label"))
+    rows = m.with_ratio_weights(t.labelled_listing().where(F.col("split") == "train").select("label"))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
 
 
@@ -98,7 +98,7 @@ def calibrated_svm(t: Tables):
 
 @query("ml09_length_only")
 def length_only(t: Tables):
-    return m.length_only_accuracy(t.labelled(), word_count(F.col("code")), LANGS)
+    return m.length_only_accuracy(t.judged(), F.col("words"), LANGS)
 
 
 @query("ml10_batch_scoring")
@@ -135,9 +135,8 @@ def permutation_importance(t: Tables):
   FROM weights JOIN c USING (term) GROUP BY 1""")
 def linear_contributions(t: Tables):
     weights = class_weights(t)
-    labelled = t.labelled()
-    coefficients = class_means(weights, labelled).select("term", F.col("difference").alias("coefficient"))
-    n = labelled.agg(F.count(F.lit(1))).scalar()
+    coefficients = class_means(weights, t.labelled_listing()).select("term", F.col("difference").alias("coefficient"))
+    n = t.labelled_listing().agg(F.count(F.lit(1))).scalar()
     return m.linear_contributions(weights, coefficients, n)
 
 

@@ -15,24 +15,29 @@ def length_in_words():
     return word_count(F.col("code"))
 
 
+def labelled_lengths(t: Tables):
+    """Labelled samples with their length in words, counted before the label join."""
+    return t.with_labels(t.documents().withColumn("words", length_in_words()).drop("code"))
+
+
 CLASSES = [0, 1]
 
 
 @query("a01_value_counts", "SELECT source AS generator, count(*) AS n FROM documents GROUP BY 1")
 def value_counts(t: Tables):
-    return p.value_counts(t.documents(), "generator")
+    return p.value_counts(t.listing(), "generator")
 
 
 @query("a02_value_shares", f"""WITH {DOCS_SQL} SELECT split, language, count(*) AS n,
   round(count(*) / sum(count(*)) OVER (PARTITION BY split), 6) AS share FROM docs GROUP BY 1, 2""")
 def value_shares(t: Tables):
-    return p.value_shares(t.documents(), "language", ["split"])
+    return p.value_shares(t.listing(), "language", ["split"])
 
 
 @query("a03_mean_length_per_class", f"""WITH {SAMPLES_SQL} SELECT label, count(*) AS n,
   round(avg({WORDS_SQL}), 6) AS mean_length FROM samples WHERE label IS NOT NULL GROUP BY 1""")
 def mean_length_per_class(t: Tables):
-    return p.mean_by(t.labelled(), length_in_words(), "label", name="mean_length")
+    return p.mean_by(labelled_lengths(t), F.col("words"), "label", name="mean_length")
 
 
 @query("a03_mean_length_per_language", f"""WITH {DOCS_SQL} SELECT language, count(*) AS n,
@@ -44,7 +49,7 @@ def mean_length_per_language(t: Tables):
 @query("a03_mean_length_per_language_and_class", f"""WITH {SAMPLES_SQL} SELECT language, label,
   count(*) AS n, round(avg({WORDS_SQL}), 6) AS mean_length FROM samples WHERE label IS NOT NULL GROUP BY 1, 2""")
 def mean_length_per_both(t: Tables):
-    return p.mean_by(t.labelled(), length_in_words(), "language", "label", name="mean_length")
+    return p.mean_by(labelled_lengths(t), F.col("words"), "language", "label", name="mean_length")
 
 
 @query("a04_describe_length", f"""WITH {DOCS_SQL}, l AS (SELECT {WORDS_SQL} AS words FROM docs)
@@ -72,13 +77,13 @@ def duplicate_count(t: Tables):
 @query("a06_crosstab", """SELECT source AS generator, {} FROM documents GROUP BY 1""".format(
     ", ".join(f"count(*) FILTER (lang = '{v}') AS n_{v}" for v in LANGS)))
 def crosstab(t: Tables):
-    return p.crosstab(t.documents(), "generator", "language", LANGS)
+    return p.crosstab(t.listing(), "generator", "language", LANGS)
 
 
 @query("a06_crosstab_class", f"""WITH {SAMPLES_SQL} SELECT generator, count(*) FILTER (label = 0) AS n_0,
   count(*) FILTER (label = 1) AS n_1 FROM samples WHERE label IS NOT NULL GROUP BY 1""")
 def crosstab_class(t: Tables):
-    return p.crosstab(t.labelled(), "generator", "label", CLASSES)
+    return p.crosstab(t.labelled_listing(), "generator", "label", CLASSES)
 
 
 @query("a07_crosstab_percent", f"""WITH {SAMPLES_SQL} SELECT language,
@@ -86,7 +91,7 @@ def crosstab_class(t: Tables):
   round(100.0 * count(*) FILTER (label = 1) / count(*)::DOUBLE, 6) AS pct_1
   FROM samples WHERE label IS NOT NULL GROUP BY 1""")
 def crosstab_percent(t: Tables):
-    return p.crosstab_percent(t.labelled(), "language", "label", CLASSES)
+    return p.crosstab_percent(t.labelled_listing(), "language", "label", CLASSES)
 
 
 @query("a08_class_prior", f"""WITH {SAMPLES_SQL}, s AS (SELECT split, count(*) AS n,
@@ -95,14 +100,14 @@ def crosstab_percent(t: Tables):
   SELECT split, n, n_machine, n_human, round(p, 6) AS machine_share,
   round(n_human / n_machine, 6) AS human_per_machine, round((1 - p) / p, 6) AS odds_against FROM s""")
 def class_prior(t: Tables):
-    return p.class_prior(t.labelled(), "label", ["split"])
+    return p.class_prior(t.labelled_listing(), "label", ["split"])
 
 
 @query("a09_class_summary", f"""WITH {SAMPLES_SQL} SELECT label, count(*) AS n,
   round(avg({WORDS_SQL}), 6) AS mean, round(stddev_pop({WORDS_SQL}), 6) AS std
   FROM samples WHERE label IS NOT NULL GROUP BY 1""")
 def class_summary(t: Tables):
-    return p.class_summary(t.labelled().withColumn("words", length_in_words()), "words", "label")
+    return p.class_summary(labelled_lengths(t), "words", "label")
 
 
 @query("a10_density_histogram", f"""WITH {SAMPLES_SQL},
@@ -114,7 +119,7 @@ def class_summary(t: Tables):
     coalesce(h.n, 0) AS n, round(coalesce(h.n, 0) / (total * ((high - low) / 40)), 6) AS density
   FROM r, range(40) g(bin) LEFT JOIN h ON h.label = r.label AND h.bin = g.bin""")
 def density_histogram(t: Tables):
-    return p.density_histogram(t.labelled().select("label", length_in_words().alias("x")), "x", 40, ["label"])
+    return p.density_histogram(labelled_lengths(t).select("label", F.col("words").alias("x")), "x", 40, ["label"])
 
 
 @query("a11_box_summary", f"""WITH {SAMPLES_SQL},
@@ -127,7 +132,7 @@ def density_histogram(t: Tables):
     count(*) FILTER (x < q25 - 1.5 * (q75 - q25) OR x > q75 + 1.5 * (q75 - q25)) AS n_outliers
   FROM v JOIN q USING (language, label) GROUP BY 1, 2, 3, 4, 5""")
 def box_summary(t: Tables):
-    return p.box_summary(t.labelled().select("language", "label", length_in_words().cast("double").alias("x")), "x",
+    return p.box_summary(labelled_lengths(t).select("language", "label", F.col("words").cast("double").alias("x")), "x",
                          ["language", "label"])
 
 
@@ -152,7 +157,7 @@ def correlations_surface(t: Tables):
   round(avg({WORDS_SQL}), 6) AS mean_length FROM samples
   WHERE label IS NOT NULL AND split IN ('train', 'val') GROUP BY 1, 2""")
 def split_consistency(t: Tables):
-    return p.mean_by(t.labelled().where(F.col("split").isin("train", "val")), length_in_words(), "split", "label",
+    return p.mean_by(labelled_lengths(t).where(F.col("split").isin("train", "val")), F.col("words"), "split", "label",
                      name="mean_length")
 
 

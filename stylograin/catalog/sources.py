@@ -45,21 +45,20 @@ def column_normaliser(t: Tables):
 @query("s03_missing_column_defaults", f"""WITH {SAMPLES_SQL} SELECT sample_id, coalesce(label, -1) AS label,
   'Python' AS language FROM samples""")
 def missing_column_defaults(t: Tables):
-    return n.with_defaults(t.samples().select("sample_id", "label"), "Python")
+    return n.with_defaults(t.all_listing().select("sample_id", "label"), "Python")
 
 
 @query("s04_bounded_prefix", "SELECT doc_id AS sample_id, lang AS language FROM documents ORDER BY doc_id LIMIT 100")
 def bounded_prefix(t: Tables):
-    return n.first_rows(t.documents(), 100, "sample_id").select("sample_id", "language")
+    return n.first_rows(t.listing(), 100, "sample_id").select("sample_id", "language")
 
 
 @query("s05_prediction_attach", f"""WITH {SAMPLES_SQL} SELECT sample_id, label, {RULE_SQL} AS pred,
   CAST({RULE_SQL} = label AS INTEGER) AS correct FROM samples WHERE label IS NOT NULL""")
 def prediction_attach(t: Tables):
-    labelled = t.labelled()
     path = scratch_path(t.spark, "predictions")
-    labelled.select("sample_id", rule_prediction(F.col("code"), MARKERS).alias("pred")).write.parquet(path)
-    return attach_predictions(labelled.select("sample_id", "label"), t.spark.read.parquet(path))
+    t.judged().select("sample_id", "pred").write.parquet(path)
+    return attach_predictions(t.labelled_listing().select("sample_id", "label"), t.spark.read.parquet(path))
 
 
 @query("s06_materialised_features", f"""WITH {NODES_SQL} SELECT sample_id, count(*)::DOUBLE AS total_nodes,

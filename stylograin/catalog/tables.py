@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stylograin.functions.labels import correct, rule_prediction
 from stylograin.functions.text import word_count
 from stylograin.operators.trees import markup_marks, nest
+from stylograin.sources.readers import read_texts
 
 # Stand-ins for the parameters of the library, chosen for the given tables.
 SEEN = ["en", "fr"]
@@ -29,31 +30,42 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def samples(self) -> DataFrame:
-        """Documents as samples; some have a label."""
-        labels = self.table("labels").select(
+    def texts(self, name: str, key: str) -> DataFrame:
+        return read_texts(self.spark, self.path(name), key)
+
+    def labels(self) -> DataFrame:
+        return self.table("labels").select(
             F.col("doc_id").alias("sample_id"), F.col("quality").alias("label"), "toxic")
-        docs = self.table("documents").select(
-            F.col("doc_id").alias("sample_id"), F.col("text").alias("code"),
-            F.col("lang").alias("language"), F.col("source").alias("generator"), "n_chars")
-        return docs.join(labels, "sample_id", "left").withColumn("split", split_of(F.col("sample_id"), F.col("language")))
+
+    def listing(self) -> DataFrame:
+        """Documents as samples, without their text."""
+        return as_samples(self.table("documents")).drop("code")
 
     def documents(self) -> DataFrame:
-        """Samples without the label join, for what needs the texts only."""
-        return self.table("documents").select(
-            F.col("doc_id").alias("sample_id"), F.col("text").alias("code"),
-            F.col("lang").alias("language"), F.col("source").alias("generator"), "n_chars",
-            split_of(F.col("doc_id"), F.col("lang")).alias("split"))
+        """Documents as samples."""
+        return as_samples(self.texts("documents", "doc_id"))
+
+    def with_labels(self, rows: DataFrame) -> DataFrame:
+        """The labelled ones among ``rows``. What a text yields is best computed before this
+        join, so that the text itself stays out of the shuffle."""
+        return rows.join(self.labels(), "sample_id").where(F.col("label").isNotNull())
 
     def labelled(self) -> DataFrame:
-        return self.samples().where(F.col("label").isNotNull())
+        return self.with_labels(self.documents())
+
+    def labelled_listing(self) -> DataFrame:
+        return self.with_labels(self.listing())
+
+    def all_listing(self) -> DataFrame:
+        """All samples without their text; the label is null where there is none."""
+        return self.listing().join(self.labels(), "sample_id", "left")
 
     def judged(self) -> DataFrame:
         """Labelled samples with a rule prediction, ``correct`` and the word count."""
-        return self.labelled().withColumns({
+        docs = self.documents().withColumns({
             "pred": rule_prediction(F.col("code"), MARKERS),
-            "words": word_count(F.col("code"))}).withColumn(
-            "correct", correct(F.col("label"), F.col("pred")))
+            "words": word_count(F.col("code"))}).drop("code")
+        return self.with_labels(docs).withColumn("correct", correct(F.col("label"), F.col("pred")))
 
     def scored(self) -> DataFrame:
         """Events as a prediction set."""
@@ -69,16 +81,22 @@ class Tables:
         step = F.col("sample_id") % 10
         split = (F.when(F.col("language").isin("de", "es") | (step == 9), "ood")
                  .when(step.isin(7, 8), "val").otherwise("train"))
-        return self.table("pages").select(
+        return self.texts("pages", "page_id").select(
             F.col("page_id").alias("sample_id"), F.col("html").alias("code"), language.alias("language"),
             F.contains("url", F.lit("?")).cast("int").alias("label")).withColumn("split", split)
 
     def nodes(self) -> DataFrame:
         """The nesting tree of the pages."""
-        pages = self.table("pages").select(F.col("page_id").alias("sample_id"), "html")
+        pages = self.texts("pages", "page_id").select(F.col("page_id").alias("sample_id"), "html")
         return nest(markup_marks(pages, "html"))
 
 
+def as_samples(documents: DataFrame) -> DataFrame:
+    return documents.select(
+        F.col("doc_id").alias("sample_id"), F.col("text").alias("code"), F.col("lang").alias("language"),
+        F.col("source").alias("generator"), "n_chars", split_of(F.col("doc_id"), F.col("lang")).alias("split"))
+
+
 def split_of(key: Column, language: Column) -> Column:
     step = F.floor(key / 20) % 10
     return (F.when(language.isin("de", "es") | (step == 9), "ood")

@@ -126,7 +126,7 @@ def class_weights(t: Tables):
     coalesce(sum(weight) FILTER (label = 1), 0) / any_value(n1) AS b FROM weights, n GROUP BY 1)
   SELECT term, round(a, 6) AS mean_human, round(b, 6) AS mean_machine, round(b - a, 6) AS difference FROM s""")
 def class_means(t: Tables):
-    return m.class_means(class_weights(t), t.labelled())
+    return m.class_means(class_weights(t), t.labelled_listing())
 
 
 @query("t12_class_means_per_language", f"""WITH {CLASS_WEIGHTS_SQL}, n AS (SELECT language, count(*) FILTER (label = 0) AS n0,
@@ -136,4 +136,4 @@ def class_means(t: Tables):
     WHERE n0 > 0 AND n1 > 0 GROUP BY 1, 2)
   SELECT language, term, round(a, 6) AS mean_human, round(b, 6) AS mean_machine, round(b - a, 6) AS difference FROM s""")
 def class_means_per_language(t: Tables):
-    return m.class_means(class_weights(t), t.labelled(), by=["language"])
+    return m.class_means(class_weights(t), t.labelled_listing(), by=["language"])

@@ -10,6 +10,7 @@ from stylograin.catalog.tables import NODES_SQL, PAGES_SQL, Tables
 from stylograin.operators import terms
 from stylograin.operators import trees as m
 from stylograin.operators.profile import correlations
+from stylograin.session import reused
 
 DECISIONS = ["li", "p"]
 CALL = "a"
@@ -153,7 +154,7 @@ def path_tokens(t: Tables):
   round(w / sqrt(sum(w * w) OVER (PARTITION BY sample_id)), 6) AS weight FROM raw""")
 def path_tfidf(t: Tables):
     pages = t.pages().select("sample_id", "split")
-    documents = m.path_tokens(t.nodes(), pages)
+    documents = reused(m.path_tokens(t.nodes(), pages))
     train = documents.where(F.col("split") == "train")
     return terms.tfidf(train, documents, F.col("paths"), 5, 2000)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stylograin.functions.labels import GENERATOR_FAMILIES, lookup
@@ -51,10 +51,12 @@ def detection_by_family(df: DataFrame, families: Mapping[str, str] = GENERATOR_F
     ).where(F.col("total") >= at_least).orderBy("detection_rate", "family")
 
 
-def length_by_generator(df: DataFrame, at_least: int = 3, text: str = "code",
+def length_by_generator(df: DataFrame, at_least: int = 3, length: Column | None = None,
                         generator: str = "generator", label: str = "label") -> DataFrame:
+    """Mean length against detection rate; ``length`` defaults to the words of ``code``."""
+    length = word_count(F.col("code")) if length is None else length
     return machine_rows(df, label).groupBy(generator).agg(
-        F.avg(word_count(F.col(text))).alias("mean_length"), F.avg("correct").alias("detection_rate"),
+        F.avg(length).alias("mean_length"), F.avg("correct").alias("detection_rate"),
         F.count(F.lit(1)).alias("total")).where(F.col("total") >= at_least)
 
 

@@ -34,24 +34,32 @@ def with_ratio_weights(df: DataFrame, label: str = "label", name: str = "weight"
     return df.withColumn(name, F.when(F.col(label) == 1, ratio).otherwise(1.0))
 
 
+def sized(train: DataFrame, n: int, rows_per_task: int = 2000) -> DataFrame:
+    """Put a small training set into few partitions; every iteration is a job over all of them."""
+    tasks = max(1, n // rows_per_task)
+    return train.repartition(tasks) if tasks < train.sparkSession.sparkContext.defaultParallelism else train
+
+
 def logistic(balanced: bool = False, max_iter: int = 1000, c: float = 1.0, features: str = "features",
              label: str = "label") -> Fit:
     """L2 logistic regression with strength ``1 / c`` on the sum of losses, not standardised."""
     def fit(train: DataFrame):
+        n = train.count()
         rows = with_balanced_weights(train, label) if balanced else train.withColumn("weight", F.lit(1.0))
         return LogisticRegression(
             featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
-            regParam=1.0 / (c * max(train.count(), 1)), standardization=False).fit(rows)
+            regParam=1.0 / (c * max(n, 1)), standardization=False).fit(sized(rows, n))
     return fit
 
 
 def linear_svm(max_iter: int = 5000, c: float = 1.0, features: str = "features", label: str = "label") -> Fit:
     """Balanced linear SVM (hinge loss)."""
     def fit(train: DataFrame):
+        n = train.count()
         return LinearSVC(
             featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
-            regParam=1.0 / (c * max(train.count(), 1)), standardization=False,
-        ).fit(with_balanced_weights(train, label))
+            regParam=1.0 / (c * max(n, 1)), standardization=False,
+        ).fit(sized(with_balanced_weights(train, label), n))
     return fit
 
 
@@ -61,7 +69,7 @@ def random_forest(trees: int = 300, depth: int = 20, min_leaf: int = 5, seed: in
         return RandomForestClassifier(
             featuresCol=features, labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
             minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
-        ).fit(with_balanced_weights(train, label))
+        ).fit(sized(with_balanced_weights(train, label), train.count()))
     return fit
 
 
@@ -71,7 +79,7 @@ def boosted_trees(rounds: int = 300, depth: int = 6, rate: float = 0.1, weighted
     def fit(train: DataFrame):
         rows = with_ratio_weights(train, label) if weighted else train.withColumn("weight", F.lit(1.0))
         return GBTClassifier(featuresCol=features, labelCol=label, weightCol="weight", maxIter=rounds,
-                             maxDepth=depth, stepSize=rate, seed=seed).fit(rows)
+                             maxDepth=depth, stepSize=rate, seed=seed).fit(sized(rows, train.count()))
     return fit
 
 
