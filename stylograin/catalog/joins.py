@@ -12,7 +12,6 @@ from stylograin.operators import joins as j
 from stylograin.operators import metrics as m
 from stylograin.operators import terms
 from stylograin.operators.trees import shape_features
-from stylograin.functions.text import word_count
 
 TOKENS_SQL = r"regexp_extract_all(code, '[\p{L}\p{N}_]+')"
 TAG_GROUPS = {"ul": "list", "li": "list", "div": "box", "article": "box", "p": "text", "h1": "text"}

@@ -8,18 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stylograin.catalog.joins import part, tokens
 from stylograin.catalog.registry import query
 from stylograin.catalog.surface import KEYWORDS, MARKS
-from stylograin.catalog.tables import JUDGED_SQL, LANGS, SAMPLES_SQL, Tables
+from stylograin.catalog.tables import LANGS, SAMPLES_SQL, Tables
 from stylograin.catalog.terms import CLASS_WEIGHTS_SQL, class_weights
-from stylograin.functions.text import surface_features, word_count, words
+from stylograin.functions.text import surface_features, words
 from stylograin.operators import models as m
-from stylograin.operators.features import ScaledColumns
 from stylograin.operators.terms import class_means
 from stylograin.operators.trees import SHAPE_FEATURES, shape_features
 from stylograin.plans import studies as s
-from stylograin.session import reused
 
 ROUNDS = 5
 
@@ -137,7 +134,7 @@ def linear_contributions(t: Tables):
     weights = class_weights(t)
     coefficients = class_means(weights, t.labelled_listing()).select("term", F.col("difference").alias("coefficient"))
     n = t.labelled_listing().agg(F.count(F.lit(1))).scalar()
-    return m.linear_contributions(weights, coefficients, n)
+    return m.linear_contributions(weights, coefficients, n, 500)
 
 
 @query("ml20_cluster_summary")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from stylograin.catalog.registry import query
 from stylograin.catalog.tables import DOCS_SQL, SAMPLES_SQL, Tables
 from stylograin.operators import sampling as s

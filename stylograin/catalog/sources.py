@@ -21,15 +21,12 @@ from stylograin.sources import normalise as n
 from stylograin.sources import sinks
 
 
-@query("s01_split_scan", """SELECT 'train' AS split, lang AS language, count(*) AS n, sum(length(text))::BIGINT AS n_chars
-    FROM documents GROUP BY 2
-  UNION ALL SELECT 'bench', 'none', count(*), sum(length(text))::BIGINT FROM benchmark""")
+@query("s01_split_scan", """SELECT 'train' AS split, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents
+  UNION ALL SELECT 'val', count(*), sum(length(text))::BIGINT FROM conversations
+  UNION ALL SELECT 'test_sample', count(*), sum(length(text))::BIGINT FROM benchmark""")
 def split_scan(t: Tables):
-    folder = scratch_path(t.spark, "splits")
-    t.table("documents").select("text", F.col("lang").alias("language")).write.parquet(f"{folder}/train")
-    t.table("benchmark").select("text", F.lit("none").alias("language")).write.parquet(f"{folder}/bench")
-    whole = n.read_splits(t.spark, {"train": f"{folder}/train", "bench": f"{folder}/bench"})
-    return whole.groupBy("split", "language").agg(
+    paths = {"train": t.path("documents"), "val": t.path("conversations"), "test_sample": t.path("benchmark")}
+    return n.read_splits(t.spark, paths, ["text"]).groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 

@@ -11,6 +11,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stylograin.operators.joins import bounded
 from stylograin.operators.metrics import confusion_counts, count_metrics
 from stylograin.operators.ordering import hash_key
 from stylograin.operators.sampling import folds, stratified_split
@@ -164,15 +165,16 @@ def permutation_importance(model, df: DataFrame, columns: Sequence[str], key: st
     return f1.where(F.col("slot") >= 0).select(name.alias("feature"), (base - F.col("f1")).alias("importance"))
 
 
-def linear_contributions(values: DataFrame, coefficients: DataFrame, n: Column, term: str = "term",
+def linear_contributions(values: DataFrame, coefficients: DataFrame, n: Column,
+                         max_features: int | None = None, term: str = "term",
                          value: str = "weight") -> DataFrame:
     """Mean |coefficient * (x - mean)| per feature of a long feature table, absent values being 0.
 
     Per feature the table is added up twice: for the mean, then for the distances to it.
     """
     means = values.groupBy(term).agg((F.sum(value) / F.first(n)).alias("mean"))
-    known = means.join(coefficients, term)
-    apart = values.join(F.broadcast(known), term).groupBy(term, "mean", "coefficient").agg(
+    known = means.join(bounded(coefficients, max_features), term)
+    apart = values.join(bounded(known, max_features), term).groupBy(term, "mean", "coefficient").agg(
         F.sum(F.abs(F.col(value) - F.col("mean"))).alias("present"), F.count(F.lit(1)).alias("k"))
     total = F.col("present") + (n - F.col("k")) * F.abs("mean")
     return apart.select(term, (F.abs("coefficient") * total / n).alias("contribution"))

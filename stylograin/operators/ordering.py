@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 
 from stylograin.session import broadcast_if_small, reused
 
-BUCKETS = 256
 
+def bucket_count(df: DataFrame) -> int:
+    """As many buckets as shuffle partitions, within bounds that keep the cut points few."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(64, min(partitions, 1024))
 
-def with_quantile_bucket(df: DataFrame, order: str, buckets: int = BUCKETS,
+
+def with_quantile_bucket(df: DataFrame, order: str, buckets: int | None = None,
                          name: str = "_bucket") -> DataFrame:
     """Add the number of approximate quantiles of ``order`` that lie below its value.
 
     The cut points are one row holding ``buckets - 1`` numbers, read as a scalar
     subquery. They only steer the partitioning; results do not depend on them.
     """
+    buckets = buckets or bucket_count(df)
     shares = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 2000))
     value = F.col(order).cast("double")
@@ -35,7 +40,7 @@ def with_quantile_bucket(df: DataFrame, order: str, buckets: int = BUCKETS,
 
 def prefix_sums(df: DataFrame, order: Sequence[str], values: Mapping[str, Column],
                 by: Sequence[str] = (), bucket: Column | None = None,
-                buckets: int = BUCKETS) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Add ``<name>_upto`` (running sum, row included) and ``<name>_all`` (group sum).
 
     ``order`` must identify the rows of a group. Its first column picks the bucket
@@ -93,7 +98,7 @@ def random_cutoffs(df: DataFrame, id_col: str, seed: int, quotas: Mapping[str, C
     by = list(by)
     keys = df.select(*by, hash_key(id_col, seed).alias("_key"))
     keys = keys.withColumn("_bucket", F.coalesce(F.substring("_key", 1, digits), F.lit("")))
-    counts = keys.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = reused(keys.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
     whole = Window.partitionBy(*by)
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.withColumns({"size": F.sum("_n").over(whole), "_upto": F.sum("_n").over(upto)})
@@ -104,6 +109,8 @@ def random_cutoffs(df: DataFrame, id_col: str, seed: int, quotas: Mapping[str, C
     edge = marks.where((F.col("_row") > first) & (F.col("_row") <= F.col("_upto")))
     edge = edge.select(*by, "_bucket", "_quota", (F.col("_row") - first).alias("_place"))
     in_bucket = Window.partitionBy(*by, "_bucket", "_quota").orderBy("_key")
+    # One row per group and quota; without groups that is one row per quota.
+    edge = broadcast_if_small(edge) if by else F.broadcast(edge)
     ranked = keys.join(edge, [*by, "_bucket"]).withColumn("_rank", F.row_number().over(in_bucket))
     found = ranked.where(F.col("_rank") == F.col("_place"))
     groups = placed.select(*by, "size").distinct()
@@ -160,6 +167,14 @@ def quantiles(df: DataFrame, value: str, shares: Mapping[str, float],
 
 def top_per_group(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = (),
                   name: str = "rank") -> DataFrame:
-    """First ``k`` rows per group; Spark trims each partition to ``k`` before the shuffle."""
+    """First ``k`` rows per group; every partition is trimmed to ``k`` before the shuffle.
+
+    Spark trims partitions of a ranked window for small ``k`` only, so a large ``k`` per
+    group is refused: ``row_index`` ranks whole groups in many tasks.
+    """
     window = Window.partitionBy(*by).orderBy(*order)
+    if not by:
+        return df.orderBy(*order).limit(k).withColumn(name, F.row_number().over(window))
+    if k > 1000:
+        raise ValueError("top_per_group is for k up to 1000; use row_index")
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)

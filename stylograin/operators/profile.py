@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stylograin.operators.ordering import quantiles, value_counts_of
@@ -18,9 +18,14 @@ def value_counts(df: DataFrame, *by: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows and share per value, within ``by`` if given. The window runs over counts only."""
+    """Rows and share per value, within ``by`` if given."""
+    by = list(by)
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
+    if by:
+        counts = counts.join(totals, by)
+        return counts.withColumn("share", F.col("n") / F.col("_total")).drop("_total")
+    return counts.withColumn("share", F.col("n") / totals.scalar())
 
 
 def mean_by(df: DataFrame, value: Column, *by: str, name: str = "mean_value") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +14,10 @@ COLUMN_ALIASES = {
 }
 
 
-def read_splits(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+def read_splits(spark: SparkSession, paths: Mapping[str, str], columns: Sequence[str] = ("*",)) -> DataFrame:
     """Read one parquet path per split into one table with a ``split`` column."""
-    parts = [spark.read.parquet(path).withColumn("split", F.lit(split)) for split, path in paths.items()]
+    parts = [spark.read.parquet(path).select(*columns, F.lit(split).alias("split"))
+             for split, path in paths.items()]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
