@@ -103,6 +103,20 @@ def batch_scoring(t: Tables):
     return s.run_models(lexical(t), {"logistic": m.logistic(max_iter=50)})
 
 
+@query("ml10_linear_scoring", f"""WITH {CLASS_WEIGHTS_SQL}, n AS (SELECT count(*) FILTER (label = 0) AS n0,
+    count(*) FILTER (label = 1) AS n1 FROM labelled),
+  c AS (SELECT term, coalesce(sum(weight) FILTER (label = 1), 0) / any_value(n1)
+    - coalesce(sum(weight) FILTER (label = 0), 0) / any_value(n0) AS coef FROM weights, n GROUP BY 1),
+  x AS (SELECT sample_id, sum(weight * coef) AS s FROM weights JOIN c USING (term) GROUP BY 1)
+  SELECT labelled.sample_id, round(coalesce(s, 0) - 0.01, 6) AS score, CAST(coalesce(s, 0) - 0.01 > 0 AS INTEGER) AS pred
+  FROM labelled LEFT JOIN x USING (sample_id)""")
+def linear_scoring(t: Tables):
+    weights = class_weights(t)
+    listing = t.labelled_listing()
+    coefficients = class_means(weights, listing).select("term", F.col("difference").alias("coefficient"))
+    return m.linear_scores(listing, weights, coefficients, -0.01, 500)
+
+
 @query("ml11_feature_importance")
 def feature_importance(t: Tables):
     rows = scaled_shapes(t)

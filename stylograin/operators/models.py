@@ -132,6 +132,20 @@ def scored(model, df: DataFrame, keep: Sequence[str], label: str = "label") -> D
                       F.col("prediction").cast("int").alias("pred"), score.alias("score"))
 
 
+def linear_scores(samples: DataFrame, values: DataFrame, coefficients: DataFrame, intercept: float = 0.0,
+                  max_features: int | None = None, key: str = "sample_id", term: str = "term",
+                  value: str = "weight") -> DataFrame:
+    """Decision values of a linear model over a long feature table: (key, score, pred).
+
+    A sample without any known feature keeps its row and scores the intercept.
+    """
+    known = values.join(bounded(coefficients, max_features), term)
+    sums = known.groupBy(key).agg(F.sum(F.col(value) * F.col("coefficient")).alias("_sum"))
+    scores = samples.select(key).join(sums, key, "left").select(
+        key, (F.coalesce("_sum", F.lit(0.0)) + F.lit(intercept)).alias("score"))
+    return scores.withColumn("pred", (F.col("score") > 0).cast("int"))
+
+
 def importance_rows(model, names: Sequence[str], df: DataFrame) -> DataFrame:
     """(term, importance) of a tree model, or of the coefficients of a linear one."""
     values = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients

@@ -103,6 +103,12 @@ def shift_diagnostic(samples: DataFrame, nodes: DataFrame, language: str, char_f
     ])
 
 
+def shape_model_run(samples: DataFrame, nodes: DataFrame, fits: Mapping[str, Fit]) -> DataFrame:
+    """Predictions from the 18 shape features, scaled; a sample without a tree has zeros."""
+    shapes = with_missing_as_zero(samples.select(*KEEP, "label"), shape_features(nodes))
+    return run_models(scaled_rows(shapes, SHAPE_FEATURES), fits)
+
+
 def path_rows(samples: DataFrame, nodes: DataFrame, max_features: int = 2000, min_df: int = 5,
               without_errors: bool = False, mapping: Mapping[str, str] | None = None,
               error: str = "error") -> tuple[DataFrame, list[str]]:
@@ -113,7 +119,8 @@ def path_rows(samples: DataFrame, nodes: DataFrame, max_features: int = 2000, mi
     return reused(model.transform(documents).drop("paths")), model.terms
 
 
-def path_models(trees: int = 300, depth: int = 20, rounds: int = 300, max_iter: int = 5000) -> dict[str, Fit]:
+def tree_models(trees: int = 300, depth: int = 20, rounds: int = 300, max_iter: int = 5000) -> dict[str, Fit]:
+    """The three classifiers of the path and shape runs."""
     return {"random forest": random_forest(trees, depth), "svm": linear_svm(max_iter),
             "boosted trees": boosted_trees(rounds)}
 

@@ -85,3 +85,11 @@ def test_split_and_folds(spark):
         assert abs(r.n - 0.2 * sizes[r.g]) <= 0.5
     for r in s.folds(df, "g").groupBy("g", "fold").count().collect():
         assert abs(r["count"] - sizes[r.g] / 3) <= 1
+
+
+def test_top_per_group_refuses_large_k(spark):
+    df, rows = frame(spark, 50)
+    with pytest.raises(ValueError):
+        o.top_per_group(df, 2000, [F.col("sample_id")], ["g"])
+    got = [r.sample_id for r in o.top_per_group(df, 3, [F.desc("sample_id")]).orderBy("rank").collect()]
+    assert got == [49, 48, 47]
