@@ -3,7 +3,7 @@
 A window over a hot group (or over no group at all) sorts the group in one task.
 Every function here first cuts the order into buckets, adds up the buckets, and
 then runs the window inside (group, bucket) only. The bucket of a row depends on
-its order key and on fixed cut points, so a recomputed task gives the same result.
+its order key and on constant cut points, so a recomputed task gives the same result.
 """
 
 from __future__ import annotations
@@ -26,16 +26,18 @@ def with_quantile_bucket(df: DataFrame, order: str, buckets: int | None = None,
                          name: str = "_bucket") -> DataFrame:
     """Add the number of approximate quantiles of ``order`` that lie below its value.
 
-    The cut points are one row holding ``buckets - 1`` numbers, read as a scalar
-    subquery. They only steer the partitioning; results do not depend on them.
+    The cut points are fetched once, at most 1023 numbers, and become constants of the
+    plan. Approximate quantiles may differ between two runs; as constants they are the
+    same for the bucket sums and for the rows. They only steer the partitioning, results
+    do not depend on them.
     """
     buckets = buckets or bucket_count(df)
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 2000))
     value = F.col(order).cast("double")
+    cuts = sorted(set(df.agg(F.percentile_approx(value, shares, 2000)).first()[0] or []))
+    constants = F.array(*[F.lit(float(cut)) for cut in cuts]).cast("array<double>")
     # Never null: otherwise a join on the bucket pushes a null test down to the source.
-    below = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < value)), F.lit(0))
-    return df.withColumn("_cuts", cuts.scalar()).withColumn(name, below).drop("_cuts")
+    return df.withColumn(name, F.coalesce(F.size(F.filter(constants, lambda cut: cut < value)), F.lit(0)))
 
 
 def prefix_sums(df: DataFrame, order: Sequence[str], values: Mapping[str, Column],
