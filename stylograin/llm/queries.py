@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograin.llm import decontaminate, token_counts
+from stylograin.llm import decontaminate, quality, secrets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,3 +87,27 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.with_token_counts(docs, tokenizer_path("byte_bpe_50k.json"))
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
                           (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and verdict of each document; the rules are learned from the labels."""
+    found = quality.judged(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in each document: fixed patterns, and formats learned from what they find."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = secrets.with_secrets(docs, secrets.learned(docs))
+
+    def listed(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    def number(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"] != secrets.FORMAT)
+    return found.select("doc_id", *[number(k) for k in secrets.KINDS], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+                        listed(F.col("secrets")).alias("spans"))
