@@ -148,7 +148,7 @@ def covers(rule: list[Condition], x: dict[str, np.ndarray], n: int) -> np.ndarra
     return out
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, *, precision: float = 0.95, least: int = 5,
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, *, precision: float = 0.98, least: int = 5,
           thresholds: int = 64, max_conditions: int = 4, max_rules: int = 32) -> DecisionList:
     """A decision list that rejects rows like the ``bad`` ones.
 

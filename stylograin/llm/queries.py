@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograin.llm import decontaminate, quality, secrets, token_counts
+from stylograin.llm import decontaminate, pieces, quality, secrets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,3 +111,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("secrets", lambda s: s["kind"] != secrets.FORMAT)
     return found.select("doc_id", *[number(k) for k in secrets.KINDS], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
                         listed(F.col("secrets")).alias("spans"))
+
+
+@query("op3_piece_encoding")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of each document under a public piece vocabulary, and whether they decode to the text."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = pieces.decoded(pieces.encoded(docs, model), model)
+    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+                        F.size("ids").cast("long").alias("n_ids"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
