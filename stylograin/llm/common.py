@@ -10,6 +10,7 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stylograin.session import scratch_path
 
@@ -99,3 +100,84 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def saved_sorted(df: DataFrame, key: str, values: list[str], name: str) -> list[tuple[str, int, int]]:
+    """Write a table as sorted arrays in the shared folder, for ``SortedArrays``; returns the parts (path, first, last).
+
+    Each range of keys is written by one task under the name of its first key, so a task
+    that runs twice writes the same file again. Null keys are left out.
+    """
+    folder = shared_files(df.sparkSession, name)
+    ranged = df.where(df[key].isNotNull()).select(key, *values)
+    ranged = ranged.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
+
+    def save(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches)
+            keys = table.column(key).to_numpy()
+            part = f"{int(keys[0]) & (1 << 64) - 1:016x}"
+            save_array(folder, f"{part}-{key}", keys)
+            for value in values:
+                save_array(folder, f"{part}-{value}", table.column(value).to_numpy())
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{part}"], "first": [int(keys[0])], "last": [int(keys[-1])]})
+
+    rows = mapped(ranged, save, "path string, first bigint, last bigint").collect()
+    return sorted((r.path, r.first, r.last) for r in rows)
+
+
+class SortedArrays:
+    """Look-up in the arrays of ``saved_sorted``, mapped into memory part by part."""
+
+    def __init__(self, parts: list[tuple[str, int, int]], key: str):
+        self.parts, self.key, self.open = sorted(parts, key=lambda p: p[1]), key, {}
+        self.lasts = np.array([p[2] for p in self.parts], np.int64)
+
+    def array(self, part: int, column: str) -> np.ndarray:
+        if (part, column) not in self.open:
+            path = self.parts[part][0]
+            self.open[part, column] = mapped_array(os.path.dirname(path), f"{os.path.basename(path)}-{column}")
+        return self.open[part, column]
+
+    def look_up(self, keys: np.ndarray, columns: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Whether each key is there, and the values of its first row (0 where it is not)."""
+        found = np.zeros(len(keys), bool)
+        out = [None] * len(columns)
+        if len(self.parts) and len(keys):
+            order = np.argsort(keys, kind="stable")
+            wanted = keys[order]
+            part_of = np.searchsorted(self.lasts, wanted, "left")
+            for part in np.unique(part_of[part_of < len(self.parts)]).tolist():
+                a, b = np.searchsorted(part_of, [part, part + 1])
+                held = self.array(part, self.key)
+                at = np.minimum(np.searchsorted(held, wanted[a:b]), len(held) - 1)
+                hit = held[at] == wanted[a:b]
+                rows = order[a:b][hit]
+                found[rows] = True
+                for k, column in enumerate(columns):
+                    values = self.array(part, column)
+                    if out[k] is None:
+                        out[k] = np.zeros(len(keys), values.dtype)
+                    out[k][rows] = values[at[hit]]
+        return found, [np.zeros(len(keys), np.int64) if x is None else x for x in out]
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The smallest id that each id is linked with, over any number of links: columns ``id`` and ``component``.
+
+    Each round takes the least label among an id's neighbours and then the label of that
+    label, so the rounds grow with the logarithm of the longest chain. Both sides of every
+    join are stored tables, whose shuffles Spark can split where an id has very many links.
+    """
+    spark = edges.sparkSession
+    both = stored(edges.select(F.col(a).alias("id"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
+    labels = stored(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("component"))
+        lower = stored(labels.withColumn("before", F.col("component")).unionByName(near, allowMissingColumns=True)
+                       .groupBy("id").agg(F.min("component").alias("component"), F.max("before").alias("before")), "labels")
+        jump = lower.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        labels = stored(lower.join(jump, "component").select("id", F.least("component", "further").alias("component")), "labels")
+        if lower.where("component <> before").isEmpty():
+            return lower.select("id", "component")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograin.llm import decontaminate, pieces, quality, secrets, token_counts
+from stylograin.llm import decontaminate, near_dup, pieces, quality, secrets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,3 +121,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = pieces.decoded(pieces.encoded(docs, model), model)
     return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
                         F.size("ids").cast("long").alias("n_ids"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+@query("op9_near_duplicates")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of each document under links of 0.8 similarity on four-word shingles."""
+    return near_dup.near_duplicates(documents(spark, folder), size=4, similarity=0.8)
