@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograin.llm import decontaminate, near_dup, pieces, quality, secrets, token_counts
+from stylograin.llm import decontaminate, near_dup, pieces, quality, secrets, token_counts, warc
+from stylograin.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,3 +128,24 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """The component of each document under links of 0.8 similarity on four-word shingles."""
     return near_dup.near_duplicates(documents(spark, folder), size=4, similarity=0.8)
+
+
+@query("op1_archive_conversion", sql=r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), hashed AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY sha1(html)) AS last FROM p
+)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 8), lambda i: translate(to_base(CAST('0x' || substr(hex, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT), 32, 4),
+                      '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM hashed""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as ARC archives, converted to WARC and read back: what each page's record says."""
+    arc, converted = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    warc.write_arc(spark.read.parquet(f"{folder}/pages.parquet"), arc)
+    warc.convert(spark, arc, converted, min_bytes=0)
+    return warc.read_warc(spark, converted).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                                                   F.col("refers_to_key").alias("refers_to"))
