@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograin.llm import decontaminate, near_dup, pieces, quality, secrets, token_counts, warc
+from stylograin.llm import decontaminate, near_dup, pieces, quality, secrets, shards, token_counts, warc
 from stylograin.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +149,17 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     warc.convert(spark, arc, converted, min_bytes=0)
     return warc.read_warc(spark, converted).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                                                    F.col("refers_to_key").alias("refers_to"))
+
+
+@query("op6_training_order")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus as fixed-stride shards in a keyed order, read back: each slot's sequence, shard, place and digest."""
+    import public_tokenizers
+
+    shard_records = 8192
+    meta = shards.write_shards(documents(spark, folder), scratch_path(spark, "shards"), tokenizer_path("byte_bpe_50k.tiktoken"),
+                               public_tokenizers.PATTERN, seed=20240229, length=2048, shard_records=shard_records)
+    shard = F.floor(F.col("slot") / shard_records)
+    return shards.read_records(spark, meta).select(
+        "slot", "sequence", shard.alias("shard"), ((F.col("slot") - shard * shard_records) * (2 * meta["length"] + 2)).alias("byte_offset"),
+        F.sha2("ids", 256).alias("sha256"))
