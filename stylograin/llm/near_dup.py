@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return mapped(docs.select(key, text), sketch, f"key {key_type}, n_shingles bigint, name1 bigint, name2 bigint, signature binary")
 
 
-def files(classes: DataFrame, with_signature: bool) -> DataFrame:
+def files(classes: DataFrame) -> DataFrame:
     """One row per class and file: the file's hash and the class."""
     def file(batches):
         for batch in batches:
@@ -107,12 +107,10 @@ def files(classes: DataFrame, with_signature: bool) -> DataFrame:
                     keys.append(x.view(np.int64))
             for at in range(0, len(rows), 4096):
                 part = rows[at:at + 4096]
-                made = [pa.array(np.concatenate([k[part] for k in keys])), batch.column("id").take(pa.array(np.tile(part, len(keys))))]
-                if with_signature:
-                    made.append(batch.column("signature").take(pa.array(np.tile(part, len(keys)))))
-                yield pa.RecordBatch.from_arrays(made, names=["file", "id", "signature"][:len(made)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[part] for k in keys])),
+                                                  batch.column("id").take(pa.array(np.tile(part, len(keys))))], names=["file", "id"])
 
-    return mapped(classes.select("id", "signature"), file, "file bigint, id bigint" + (", signature binary" if with_signature else ""))
+    return mapped(classes.select("id", "signature"), file, "file bigint, id bigint")
 
 
 def in_blocks(rows: DataFrame, group: str) -> DataFrame:
@@ -177,8 +175,9 @@ def edge_batches(found: Iterator[tuple[np.ndarray, list[tuple[int, int]]]]) -> I
 
 def close_signatures(classes: DataFrame) -> DataFrame:
     """Edges (a, b) that join all classes whose signatures are within the distance, directly or over others."""
-    shared = stored(files(classes, False).groupBy("file").agg(F.count("*").alias("n")).where("n > 1"), "files")
-    rows = in_blocks(files(classes, True).join(shared, "file"), "file")
+    shared = stored(files(classes).groupBy("file").agg(F.count("*").alias("n")).where("n > 1"), "files")
+    filed = files(classes).join(shared, "file").join(classes.select("id", "signature"), "id")  # only now with signatures
+    rows = in_blocks(filed, "file")
     names = ["file", "first", "second"]
 
     def compare(batches):
