@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograin.llm import decontaminate, near_dup, pieces, quality, secrets, shards, token_counts, warc
+from stylograin.llm import decontaminate, kneser_ney, near_dup, pieces, quality, secrets, shards, token_counts, warc
 from stylograin.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return shards.read_records(spark, meta).select(
         "slot", "sequence", shard.alias("shard"), ((F.col("slot") - shard * shard_records) * (2 * meta["length"] + 2)).alias("byte_offset"),
         F.sha2("ids", 256).alias("sha256"))
+
+
+@query("op8_language_model")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document under a model of the documents that are not held out."""
+    docs = documents(spark, folder).select("doc_id", "text").withColumn("held_out", kneser_ney.held_out("doc_id"))
+    model = kneser_ney.train(docs.where("NOT held_out"))
+    return kneser_ney.with_scores(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+                                                      "base_score", "score")
