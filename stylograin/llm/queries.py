@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograin.llm import decontaminate, kneser_ney, near_dup, pieces, quality, secrets, shards, token_counts, warc
+from stylograin.llm import decontaminate, kneser_ney, near_dup, pieces, quality, secrets, shards, suffixes, token_counts, warc
 from stylograin.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,3 +172,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     model = kneser_ney.train(docs.where("NOT held_out"))
     return kneser_ney.with_scores(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
                                                       "base_score", "score")
+
+
+@query("op2_repeated_strings")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without the 50-byte strings of earlier ones."""
+    found = suffixes.without_repeats(documents(spark, folder).select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n_removed.alias("n_removed"),
+                        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
