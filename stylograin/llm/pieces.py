@@ -10,7 +10,7 @@ whose last piece starts first wins at every boundary.
 from __future__ import annotations
 
 import re
-import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ class Vocabulary:
         self.bytes = {int(p.id_to_piece(i)[1:-1], 16): i for i in range(n) if p.is_byte(i)}
         self.pieces = pieces = {p.id_to_piece(i): (i, p.get_score(i)) for i in plain}
         self.longest = max(map(len, pieces), default=1)
-        #: A piece's id and score; None for what only begins a piece.
-        self.table = dict.fromkeys(x[:k] for x in pieces for k in range(1, len(x))) | pieces
+        #: A piece's id and score; empty for what only begins a piece.
+        self.table = dict.fromkeys((x[:k] for x in pieces for k in range(1, len(x))), ()) | pieces
         self.least = min((s for _, s in pieces.values()), default=0.0) - 10.0
         #: No piece goes on to a blank: blanks start segments, and all paths meet there.
         self.blank_starts = not any(BLANK in x.lstrip(BLANK) for x in pieces)
@@ -57,16 +57,19 @@ class Vocabulary:
 
 
 class Search:
-    """The streaming search over one text or segment: ``feed`` returns the ids it commits."""
+    """The streaming search over one text or segment: ``feed`` returns the ids it commits.
+
+    ``best``, ``back`` and ``ids`` hold, per boundary after the last committed one, the best
+    score, and the piece that ends there on its path.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.open = ""  # characters after the last committed boundary
-        self.at = 0  # the first boundary whose pieces are not yet tried
-        self.best: list[float] = [0.0]
-        self.back: list[int] = [0]
-        self.ids: list[int] = [-1]
-        self.check = 4 * vocabulary.longest
+        self._reset()
+
+    def _reset(self) -> None:
+        self.open, self.at, self.check = "", 0, 4 * self.v.longest
+        self.best, self.back, self.ids = [0.0], [0], [-1]
 
     def feed(self, text: str, last: bool = False) -> list[int]:
         longest, least, look_up = self.v.longest, self.v.least, self.v.table.get
@@ -81,21 +84,18 @@ class Search:
         ready = size if last else size - longest + 1
         while at < ready:
             score, end = best[at], at + 1
-            known = look_up(chars[at:end], 0)
+            known = look_up(chars[at:end])
             if not known and score + least > best[end]:  # no piece of this character alone
                 best[end], back[end], ids[end] = score + least, at, -1
-            most = at + longest
-            if most > size:
-                most = size
-            while known != 0:
-                if known is not None:
+            while known is not None:
+                if known:
                     total = score + known[1]
                     if total > best[end]:
                         best[end], back[end], ids[end] = total, at, known[0]
-                if end == most:
+                if end == size:
                     break
                 end += 1
-                known = look_up(chars[at:end], 0)
+                known = look_up(chars[at:end])
             at += 1
             if at >= check:
                 done = self._converged(at)
@@ -111,7 +111,7 @@ class Search:
         self.at = at
         if last:
             out += self._path(size)
-            self.__init__(self.v)
+            self._reset()
         return out
 
     def _converged(self, at: int) -> int:
@@ -124,19 +124,18 @@ class Search:
         return live.pop()
 
     def _path(self, end: int) -> list[int]:
-        found, chars = [], self.open
-        while end:
-            begin = self.back[end]
-            found.append((self.ids[end], begin, end))
-            end = begin
+        back, ids = self.back, self.ids
         out: list[int] = []
-        for i, begin, end in reversed(found):
+        while end:
+            begin, i = back[end], ids[end]
             if i >= 0:
                 out.append(i)
             elif self.v.bytes:
-                out.extend(self.v.bytes[b] for b in chars[begin:end].encode())
+                out.extend(self.v.bytes[b] for b in reversed(self.open[begin:end].encode()))
             else:
                 out.append(self.v.unknown)
+            end = begin
+        out.reverse()
         return out
 
 
@@ -144,29 +143,32 @@ class Encoder:
     """Ids of texts. Segments between boundaries that every path takes are remembered, up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary, remember: int = 1 << 18):
-        self.v, self.remember, self.known = vocabulary, remember, {}
+        self.v, self.remember = vocabulary, remember
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known before ``known`` was last begun anew
         self.search = Search(vocabulary)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as int32."""
         text = self.v.normalised(text or "")
-        known = self.known
         if not self.v.blank_starts:
             ids = np.asarray(self._search(text), np.int32)
         else:
             segments = SEGMENT.findall(text)
-            found = list(map(known.get, segments))
+            found = list(map(self.known.get, segments))
             if None in found:
+                known, before = self.known, self.before
                 for k, ids in enumerate(found):
                     if ids is None:
                         segment = segments[k]
-                        found[k] = known.get(segment)
-                        if found[k] is None:
-                            found[k] = np.asarray(self._search(segment), np.int32).tobytes()
-                            if len(known) >= self.remember:
-                                known.clear()
-                            if len(segment) <= 64:
-                                known[segment] = found[k]
+                        ids = known.get(segment) or before.get(segment)
+                        if ids is None:
+                            ids = array("i", self._search(segment)).tobytes()
+                        if len(segment) <= 64:
+                            known[segment] = ids
+                        found[k] = ids
+                if len(known) >= self.remember:
+                    self.known, self.before = {}, known
             ids = np.frombuffer(b"".join(found), np.int32)
         if not self.v.bytes and len(ids):  # unknown characters in a row are one id
             ids = ids[~((ids == self.v.unknown) & np.concatenate([[False], ids[:-1] == self.v.unknown]))]
