@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stylograin.session import scratch_path
 
 SLICE_BYTES = 2 << 20
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -26,7 +27,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def mapped(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package's folder on the path of the workers, where they can see it."""
+    """``df.mapInArrow``, with this package's folder on the path of the workers, where they can see it.
+
+    Batches are counted in rows, and rows hold whole texts: where the session leaves the
+    size of a batch at Spark's 10,000 rows, it is set to ``BATCH_ROWS``.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING) == "10000":
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
     environment = df.sparkSession.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:

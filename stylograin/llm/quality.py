@@ -67,33 +67,36 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
             "n_digits": per_text(DIGITS[data], offsets), "n_marks": per_text(MARKS[data], offsets)}
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``COUNTS`` of each whole text.
+def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with ``COUNTS`` of each whole text, under their names after ``prefix``.
 
     Words are runs of anything but blanks and ASCII white space. A null or empty text counts
     zero everywhere. Columns of the same names are replaced; repeated rows are each counted.
     """
-    out = docs.drop(*COUNTS).select("*", *[F.lit(0).cast("long").alias(c) for c in COUNTS])
+    names = {prefix + c: c for c in COUNTS}
+    out = docs.drop(*names).select("*", *[F.lit(0).cast("long").alias(c) for c in names])
 
     def count(batches):
         for batch in slices(batches, text):
             made = counts(batch.column(text))
-            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], pa.int64()) if f.name in made else batch.column(k)
+            yield pa.RecordBatch.from_arrays([pa.array(made[names[f.name]], pa.int64()) if f.name in names else batch.column(k)
                                               for k, f in enumerate(batch.schema)], names=batch.schema.names)
 
     return mapped(out, count, out.schema)
 
 
-def base_failed() -> Column:
+def base_failed(prefix: str = "") -> Column:
     """Fewer than 50 words, or more than half of them in repeated three-word windows."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    n = F.col(f"{prefix}n_words")
+    return (n < 50) | (100 * F.col(f"{prefix}n_repeat_words") > 50 * n)
 
 
-def features() -> dict[str, Column]:
+def features(prefix: str = "") -> dict[str, Column]:
     """The statistics that rules may test, as expressions over ``COUNTS``; never null."""
     def share(part, whole):
-        return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
-    return {"n_words": F.col("n_words").cast("double"), "mean_word": share("word_chars", "n_words"), "symbols": share("n_symbols", "n_words"),
+        whole = F.col(prefix + whole)
+        return F.when(whole > 0, F.col(prefix + part) / whole).otherwise(F.lit(0.0))
+    return {"n_words": F.col(f"{prefix}n_words").cast("double"), "mean_word": share("word_chars", "n_words"), "symbols": share("n_symbols", "n_words"),
             "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"),
             "upper": share("n_upper", "word_chars"), "digits": share("n_digits", "word_chars"), "marks": share("n_marks", "word_chars"),
             "line_words": share("n_words", "n_lines")}
@@ -240,5 +243,5 @@ def kept_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     """
     learned = stored(with_counts(docs.select(key, text), text).drop(text), "counts")
     rules = fitted_rules(learned, labels, key=key, **how)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    return with_verdict(with_counts(held, "_text"), rules).where("kept").select("_row.*")
+    counted = with_counts(docs, text, "_count_")
+    return counted.where(~base_failed("_count_") & rules.rule_number(features("_count_")).isNull()).select(docs.columns)

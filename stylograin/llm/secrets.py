@@ -208,15 +208,15 @@ class Scanner:
         return any(self.score(kind, string) >= self.limits[kind] for kind in self.formats)
 
 
-def learned(docs: DataFrame, text: str = "text", max_examples: int = 2000, least_examples: int = 50, missed: float = 0.02,
+def learned(docs: DataFrame, text: str = "text", max_examples: int = 2000, least_examples: int = 50, share_of_gain: float = 0.5,
             least_gain: float = 0.25) -> Scanner:
     """Infer one format per kind from the corpus.
 
     Distinct credentials and character pairs are counted over all texts. A format is
     inferred from at most about ``max_examples`` distinct credentials of its kind, chosen by
-    hash, two thirds to learn and the rest to set its limit: the score that all but a share
-    of ``missed`` reach, and ``least_gain`` at least. A kind with fewer than
-    ``least_examples`` gets no format.
+    hash, two thirds to learn and the rest to set its limit: ``share_of_gain`` times their
+    median score, and ``least_gain`` at least. A kind with fewer than ``least_examples``
+    gets no format.
     """
     def collect(batches):
         found: Counter[tuple[str, str]] = Counter()
@@ -257,7 +257,7 @@ def learned(docs: DataFrame, text: str = "text", max_examples: int = 2000, least
         limits[kind] = 0.0
         scanner = Scanner(formats, ordinary, limits)
         scores = sorted(scanner.score(kind, s) for s in held)
-        limits[kind] = max(least_gain, scores[int(missed * len(scores))])
+        limits[kind] = max(least_gain, share_of_gain * scores[len(scores) // 2])
     return Scanner(formats, ordinary, limits)
 
 

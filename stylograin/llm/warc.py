@@ -234,7 +234,8 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, *, min_bytes
             for path, content, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 original = {r["at"]: r for r in known or ()}
                 out = b"\r\n\r\n".join(warc_record(path, r, original.get(at)) for at, r in enumerate(arc_records(_plain(content))))
-                yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["value"])
+                if out:  # a file without records, as Spark writes for no rows, gives no archive
+                    yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["value"])
 
     _write(mapped(archives.join(stored(revisits, "revisits"), "path", "left").select("path", "content", "revisits"), rewrite, "value binary"),
            warc_folder, "\r\n\r\n")

@@ -1,0 +1,81 @@
+import random
+import re
+import string
+
+import pytest
+
+from stylograin.llm import secrets
+
+
+def brute(text):
+    out = [(m.start(), m.end(), "assign") for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    return out + [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+
+
+def test_patterns_against_plain_search():
+    random.seed(6)
+    parts = ["password", "PassWd", "SECRET", "token", "api_key", "ApiKey", "ſecret", "toKen", "=", ": ", " := '", '"', "AKIA", "AKIAZZ",
+             "abcdef0123456789", "a" * 31, "é", " ", "\n", "0" * 8, "Z" * 9, "AKIA0123456789AB", ".", "x"]
+    for _ in range(3000):
+        text = "".join(random.choice(parts) for _ in range(random.randint(0, 12)))
+        assert sorted(secrets.base_spans(text)[0]) == sorted(brute(text)), text
+
+
+def hexes(n, size, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice("0123456789abcdef") for _ in range(size)) for _ in range(n)]
+
+
+def test_format_tells_its_strings_from_others():
+    learned = secrets.Format({f"sk-{x}": 1 for x in hexes(400, 20, 1)})
+    assert len(learned.steps) < 400  # states were merged
+    mine = [learned.log_likelihood(f"sk-{x}") for x in hexes(50, 20, 2)]
+    other = [learned.log_likelihood("".join(random.Random(k).choice(string.ascii_lowercase) for _ in range(23))) for k in range(50)]
+    assert sorted(mine)[5] > max(other)
+    total = sum(2.718281828459045 ** p for p in (learned.steps[0][c][1] for c in learned.steps[0]))
+    assert total < 1.0
+
+
+def corpus(spark):
+    r = random.Random(7)
+    words = ["the", "quick", "mail2.example.com", "internationalisation", "4565410125667261"]
+    rows = []
+    for i, h in enumerate(hexes(300, 40, 3)):
+        text = " ".join(r.choice(words) for _ in range(20))
+        rows.append((i, f"{text} token = \"{h}\" {text}", "x"))
+    rows.append((900, "a stray " + hexes(1, 28, 4)[0] + " and internationalisation", None))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, secrets string")
+
+
+def test_learned_format_finds_what_patterns_miss(spark):
+    docs = corpus(spark)
+    scanner = secrets.learned(docs)
+    rows = secrets.with_secrets(docs, scanner).collect()
+    for r in rows:
+        found = [(s.start, s.end, s.kind) for s in r.secrets]
+        assert [f for f in found if f[2] != secrets.FORMAT] == sorted(brute(r.text), key=lambda f: (f[0], secrets.KINDS.index(f[2])))
+        assert [r.text[a:b] for a, b, k in found if k == secrets.FORMAT] == ([hexes(1, 28, 4)[0]] if r.doc_id == 900 else [])
+    clean = secrets.redacted(docs, scanner).collect()
+    assert not any(brute(r.text) for r in clean) and clean[0].text.count("[SECRET]") == 1
+    assert "[SECRET]" in next(r.text for r in clean if r.doc_id == 900)
+
+
+def test_awkward_rows(awkward, nothing):
+    scanner = secrets.learned(awkward)
+    assert scanner.formats == {}  # too few examples
+    rows = secrets.with_secrets(awkward, scanner)
+    assert rows.columns == [c for c in awkward.columns if c != "secrets"] + ["secrets"]
+    assert all(r.secrets == [] for r in rows.collect()) and rows.count() == awkward.count()
+    assert sorted(map(str, secrets.redacted(awkward, scanner).select("doc_id", "text").collect())) == sorted(map(str, awkward.select("doc_id", "text").collect()))
+    assert secrets.with_secrets(nothing, secrets.learned(nothing)).count() == 0
+
+
+def test_runs_that_touch_no_span():
+    assert list(secrets.apart([(0, 5), (6, 9), (12, 20)], [(4, 7, "x"), (20, 21, "x")])) == [(12, 20)]
+    assert list(secrets.apart([(0, 5)], [])) == [(0, 5)]
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_format_of_few_strings(n):
+    assert secrets.Format({"ab": 1} if n else {}).log_likelihood("ab") <= 0
