@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,6 @@ class Vocabulary:
         self.bytes = {int(p.id_to_piece(i)[1:-1], 16): i for i in range(n) if p.is_byte(i)}
         self.pieces = pieces = {p.id_to_piece(i): (i, p.get_score(i)) for i in plain}
         self.longest = max(map(len, pieces), default=1)
-        #: A piece's id and score; empty for what only begins a piece.
-        self.table = dict.fromkeys((x[:k] for x in pieces for k in range(1, len(x))), ()) | pieces
         self.least = min((s for _, s in pieces.values()), default=0.0) - 10.0
         #: No piece goes on to a blank: blanks start segments, and all paths meet there.
         self.blank_starts = not any(BLANK in x.lstrip(BLANK) for x in pieces)
@@ -51,6 +50,11 @@ class Vocabulary:
             self.byte_of[i] = byte
         self.leading_blank = p.normalize("a") != "a"
 
+    @cached_property
+    def table(self) -> dict[str, tuple]:
+        """A piece's id and score; empty for what only begins a piece. Decoding does without it."""
+        return dict.fromkeys((x[:k] for x in self.pieces for k in range(1, len(x))), ()) | self.pieces
+
     def normalised(self, text: str) -> str:
         """As the model's normaliser gives it, with its leading blank, and blanks as their mark."""
         return self.processor.normalize(text) if text else ""
@@ -142,7 +146,7 @@ class Search:
 class Encoder:
     """Ids of texts. Segments between boundaries that every path takes are remembered, up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 1 << 18):
+    def __init__(self, vocabulary: Vocabulary, remember: int = 1 << 17):
         self.v, self.remember = vocabulary, remember
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # what was known before ``known`` was last begun anew
