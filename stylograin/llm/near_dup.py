@@ -7,8 +7,8 @@ one of its symbols left out, and all pairs within the distance meet in some file
 of Jaccard similarity 0.8 exceed that distance with a chance of 1.2 in a million.
 
 Texts with equal sets are one class from the start. Within a file signatures are compared
-in numpy and a spanning forest of the pairs within the distance is kept, never the pairs.
-The components of these forests are then linked on their full sets. Files and components
+in numpy, and of each connected part of the pairs within the distance a star is kept, never
+the pairs. The components of these stars are then linked on their full sets. Files and components
 of more than ``BLOCK`` members are cut into blocks, and each pair of blocks is a group of
 its own: all pairs are compared, and no task holds more than two blocks.
 """
@@ -144,28 +144,32 @@ def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def forest(n: int, near) -> list[tuple[int, int]]:
-    """A spanning forest of the graph in which ``near(i)`` lists the neighbours of ``i`` after it, as an array."""
-    label = np.arange(n)
-    edges = []
-    for i in range(n - 1):
+def stars(ids: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the smallest id of each connected part to the others, where ``near(i)`` lists the neighbours of row ``i`` after it.
+
+    Files that hold the same texts give the same edges, which a tree of the links would not.
+    """
+    label = np.arange(len(ids))
+    for i in range(len(ids) - 1):
         others = near(i)
         if len(others):
-            labels, at = np.unique(label[others], return_index=True)
-            fresh = labels != label[i]
-            if fresh.any():
-                edges += [(i, int(others[k])) for k in at[fresh]]
-                label[np.isin(label, labels[fresh])] = label[i]
-    return edges
-
-
-def edge_batches(found: Iterator[tuple[np.ndarray, list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
+            labels = np.unique(label[others])
+            fresh = labels[labels != label[i]]
+            if len(fresh):
+                label[np.isin(label, fresh)] = label[i]
+    order = np.lexsort([ids, label])
+    first = np.ones(len(ids), bool)
+    first[1:] = label[order][1:] != label[order][:-1]
+    smallest = ids[order][first][np.cumsum(first) - 1]
+    return smallest[~first], ids[order][~first]
+
+
+def edge_batches(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     a, b = [], []
-    for ids, edges in found:
-        if edges:
-            at = np.array(edges)
-            a.append(ids[at[:, 0]])
-            b.append(ids[at[:, 1]])
+    for smallest, others in found:
+        if len(others):
+            a.append(smallest)
+            b.append(others)
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
                 a, b = [], []
@@ -185,7 +189,7 @@ def close_signatures(classes: DataFrame) -> DataFrame:
             for table in groups(batches, names):
                 ids = table.column("id").to_numpy()
                 signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                yield ids, forest(len(ids), lambda i: i + 1 + np.flatnonzero(np.count_nonzero(signed[i + 1:] != signed[i], axis=1) <= ERRORS))
+                yield stars(ids, lambda i: i + 1 + np.flatnonzero(np.count_nonzero(signed[i + 1:] != signed[i], axis=1) <= ERRORS))
         yield from edge_batches(each())
 
     return mapped(rows.repartition(*names).sortWithinPartitions(*names), compare, "a bigint, b bigint").distinct()
@@ -238,7 +242,7 @@ def similar_sets(docs: DataFrame, members: DataFrame, key: str, text: str, size:
                     seen[number[begin[i]:begin[i + 1]]] = False
                     return i + 1 + np.flatnonzero(both >= similarity * (n[i] + n[i + 1:] - both) - 1e-9)
 
-                yield ids, forest(len(ids), near)
+                yield stars(ids, near)
         yield from edge_batches(each())
 
     return mapped(rows.repartition(*names).sortWithinPartitions(*names), link, "a bigint, b bigint").distinct()
