@@ -59,12 +59,12 @@ def vocabulary_overlap(t: Tables):
     return j.vocabulary_overlap(a, b)
 
 
-@query("j04_vocabulary_lookup", f"""WITH {DOCS_SQL}, {vocab_sql('a', "split = 'train'", 500, 5)},
+@query("j04_vocabulary_lookup", f"""WITH {DOCS_SQL}, {vocab_sql('a', "split = 'train'", 2000, 5)},
   w AS (SELECT sample_id, unnest({TOKENS_SQL}) AS term FROM docs WHERE split = 'ood')
   SELECT sample_id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM a) GROUP BY 1, 2""")
 def vocabulary_lookup(t: Tables):
-    vocab = terms.vocabulary(part(t, "train"), tokens(), 5, 500)
-    return terms.counts_in_vocabulary(part(t, "ood"), tokens(), vocab.select("term"), 500)
+    vocab = terms.vocabulary(part(t, "train"), tokens(), 5, 2000)
+    return terms.counts_in_vocabulary(part(t, "ood"), tokens(), vocab.select("term"), 2000)
 
 
 @query("j05_type_map_lookup", f"""WITH {NODES_SQL} SELECT {GROUP_SQL.format('parent_type')} AS parent_type,

@@ -145,12 +145,12 @@ def macro_recall(t: Tables):
 
 @query("m07_roc_auc", f"WITH {SCORED_SQL}, {curve_sql()} SELECT round(roc_auc, 6) AS roc_auc FROM areas")
 def roc_auc(t: Tables):
-    return m.score_steps(t.scored(), pred=None).agg(m.area_metrics()["roc_auc"].alias("roc_auc"))
+    return m.score_steps(t.scored()).agg(m.area_metrics()["roc_auc"].alias("roc_auc"))
 
 
 @query("m08_pr_auc", f"WITH {SCORED_SQL}, {curve_sql()} SELECT round(pr_auc, 6) AS pr_auc FROM areas")
 def pr_auc(t: Tables):
-    return m.score_steps(t.scored(), pred=None).agg(m.area_metrics()["pr_auc"].alias("pr_auc"))
+    return m.score_steps(t.scored()).agg(m.area_metrics()["pr_auc"].alias("pr_auc"))
 
 
 @query("m09_mcc", one_metric_sql("mcc"))

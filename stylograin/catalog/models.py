@@ -1,7 +1,7 @@
 """Fitted models. Fits have no SQL twin; weights and contributions do.
 
-Tree counts and rounds are far below the defaults of the library, so that a fit on the
-small given tables takes seconds.
+Sizes are the library's defaults, but for the rounds of boosting: a round is a handful of
+jobs, one after the other, however small the table is.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stylograin.catalog.registry import query
 from stylograin.catalog.surface import KEYWORDS, MARKS
-from stylograin.catalog.tables import LANGS, SAMPLES_SQL, Tables
+from stylograin.catalog.tables import SAMPLES_SQL, Tables
 from stylograin.catalog.terms import CLASS_WEIGHTS_SQL, class_weights
 from stylograin.functions.text import surface_features, words
 from stylograin.operators import models as m
@@ -18,7 +18,11 @@ from stylograin.operators.terms import class_means
 from stylograin.operators.trees import SHAPE_FEATURES, shape_features
 from stylograin.plans import studies as s
 
-ROUNDS = 5
+ROUNDS = 40
+
+
+#: What stands for decisions and calls in the trees of pages.
+PAGE_MARKS = {"decisions": ["li", "p"], "call_mark": "a"}
 
 
 def samples(t: Tables):
@@ -26,12 +30,12 @@ def samples(t: Tables):
 
 
 def lexical(t: Tables):
-    return s.lexical_rows(samples(t), words, 2000, 2)
+    return s.lexical_rows(samples(t), words, 150_000)
 
 
 def shapes(t: Tables):
     """Pages with their 18 shape features."""
-    features = shape_features(t.nodes(), decisions=["li", "p"], call_mark="a")
+    features = shape_features(t.nodes(), **PAGE_MARKS)
     return t.pages().drop("code").join(features, "sample_id")
 
 
@@ -45,7 +49,7 @@ def run(rows, name: str, fit):
 
 @query("ml01_logistic_regression")
 def logistic_regression(t: Tables):
-    return run(lexical(t), "logistic", m.logistic(max_iter=50))
+    return run(lexical(t), "logistic", m.logistic())
 
 
 @query("ml02_balanced_weights", f"""WITH {SAMPLES_SQL}, l AS (SELECT * FROM samples WHERE label IS NOT NULL)
@@ -57,17 +61,17 @@ def balanced_weights(t: Tables):
 
 @query("ml03_balanced_logistic_regression")
 def balanced_logistic(t: Tables):
-    return run(lexical(t), "balanced logistic", m.logistic(balanced=True, max_iter=50))
+    return run(lexical(t), "balanced logistic", m.logistic(balanced=True))
 
 
 @query("ml04_linear_svm")
 def linear_svm(t: Tables):
-    return run(scaled_shapes(t), "svm", m.linear_svm(max_iter=10))
+    return run(scaled_shapes(t), "svm", m.linear_svm())
 
 
 @query("ml05_random_forest")
 def random_forest(t: Tables):
-    return run(scaled_shapes(t), "random forest", m.random_forest(trees=20, depth=8))
+    return run(scaled_shapes(t), "random forest", m.random_forest())
 
 
 @query("ml06_boosted_trees")
@@ -77,7 +81,7 @@ def boosted_trees(t: Tables):
 
 @query("ml07_weighted_boosted_trees")
 def weighted_boosted_trees(t: Tables):
-    return run(scaled_shapes(t), "weighted boosted trees", m.boosted_trees(ROUNDS, weighted=True))
+    return run(scaled_shapes(t), "weighted boosted trees", m.boosted_trees(ROUNDS, ratio_weighted=True))
 
 
 @query("ml07_ratio_weights", f"""WITH {SAMPLES_SQL}, l AS (SELECT * FROM samples WHERE label IS NOT NULL AND split = 'train')
@@ -90,17 +94,17 @@ def ratio_weights(t: Tables):
 
 @query("ml08_calibrated_svm")
 def calibrated_svm(t: Tables):
-    return run(scaled_shapes(t), "calibrated svm", m.calibrated_svm(max_iter=10))
+    return run(scaled_shapes(t), "calibrated svm", m.calibrated_svm())
 
 
 @query("ml09_length_only")
 def length_only(t: Tables):
-    return m.length_only_accuracy(t.judged(), F.col("words"), LANGS)
+    return m.length_only_accuracy(t.judged(), F.col("words"))
 
 
 @query("ml10_batch_scoring")
 def batch_scoring(t: Tables):
-    return s.run_models(lexical(t), {"logistic": m.logistic(max_iter=50)})
+    return s.run_models(lexical(t), {"logistic": m.logistic()})
 
 
 @query("ml10_linear_scoring", f"""WITH {CLASS_WEIGHTS_SQL}, n AS (SELECT count(*) FILTER (label = 0) AS n0,
@@ -114,13 +118,13 @@ def linear_scoring(t: Tables):
     weights = class_weights(t)
     listing = t.labelled_listing()
     coefficients = class_means(weights, listing).select("term", F.col("difference").alias("coefficient"))
-    return m.linear_scores(listing, weights, coefficients, -0.01, 500)
+    return m.linear_scores(listing, weights, coefficients, -0.01, 2000)
 
 
 @query("ml11_feature_importance")
 def feature_importance(t: Tables):
     rows = scaled_shapes(t)
-    model = m.random_forest(trees=20, depth=8)(s.of_split(rows, "train"))
+    model = m.random_forest()(s.of_split(rows, "train"))
     return m.importance_rows(model, SHAPE_FEATURES, rows).orderBy(F.desc("importance"), "term")
 
 
@@ -133,7 +137,7 @@ def surface_rows(t: Tables):
 @query("ml12_permutation_importance")
 def permutation_importance(t: Tables):
     rows, names = surface_rows(t)
-    model = m.logistic(balanced=True, max_iter=50)(s.of_split(rows, "train"))
+    model = m.logistic(balanced=True)(s.of_split(rows, "train"))
     return m.permutation_importance(model, s.of_split(rows, "ood"), names)
 
 
@@ -148,7 +152,7 @@ def linear_contributions(t: Tables):
     weights = class_weights(t)
     coefficients = class_means(weights, t.labelled_listing()).select("term", F.col("difference").alias("coefficient"))
     n = t.labelled_listing().agg(F.count(F.lit(1))).scalar()
-    return m.linear_contributions(weights, coefficients, n, 500)
+    return m.linear_contributions(weights, coefficients, n, 2000)
 
 
 @query("ml20_cluster_summary")

@@ -113,11 +113,11 @@ def coverage_by_language(t: Tables):
 
 
 CLASS_WEIGHTS_SQL = f"""{SAMPLES_SQL}, labelled AS (SELECT * FROM samples WHERE label IS NOT NULL),
-  {weights_sql(500, 5, 'tf * idf', 'labelled', 'label, language,')}"""
+  {weights_sql(2000, 5, 'tf * idf', 'labelled', 'label, language,')}"""
 
 
 def class_weights(t: Tables):
-    return m.tfidf(part(t, "train"), t.labelled(), tokens(), 5, 500, keep=["label", "language"])
+    return m.tfidf(part(t, "train"), t.labelled(), tokens(), 5, 2000, keep=["label", "language"])
 
 
 @query("t11_class_means", f"""WITH {CLASS_WEIGHTS_SQL}, n AS (SELECT count(*) FILTER (label = 0) AS n0,

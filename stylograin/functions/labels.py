@@ -8,9 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The languages a detector was trained on, and the unseen ones.
+# The languages a detector was trained on.
 SEEN_LANGUAGES = ["Python", "Java", "C++"]
-UNSEEN_LANGUAGES = ["Go", "PHP", "C#", "C", "JavaScript"]
 
 # Generator name -> model family.
 GENERATOR_FAMILIES = {

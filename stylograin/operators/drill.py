@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stylograin.functions.labels import GENERATOR_FAMILIES, lookup
 from stylograin.functions.text import word_count
+from stylograin.operators.profile import all_values, listed
 
 
 def machine_rows(df: DataFrame, label: str = "label") -> DataFrame:
@@ -60,11 +61,17 @@ def length_by_generator(df: DataFrame, at_least: int = 3, length: Column | None
         F.count(F.lit(1)).alias("total")).where(F.col("total") >= at_least)
 
 
-def generator_language_matrix(df: DataFrame, languages: Sequence[str], at_least: int = 3,
+def generator_language_matrix(df: DataFrame, languages: Sequence[str] | None = None, at_least: int = 3,
                               generator: str = "generator", language: str = "language",
                               label: str = "label") -> DataFrame:
-    """Detection rate per generator and language (0 where empty) with the cell sizes."""
-    table = machine_rows(df, label).groupBy(generator).pivot(language, list(languages)).agg(
+    """Detection rate per generator and language (0 where empty) with the cell sizes.
+
+    A row in a language outside the list (or null) is an error, as the minimum support is
+    about all rows; without a list the languages are those that occur.
+    """
+    rows = machine_rows(df, label)
+    languages = all_values(rows, language) if languages is None else languages
+    table = rows.withColumn(language, listed(F.col(language), languages)).groupBy(generator).pivot(language, list(languages)).agg(
         F.avg("correct").alias("rate"), F.count(F.lit(1)).alias("n"))
     rates = [F.coalesce(F.col(f"`{v}_rate`"), F.lit(0.0)).alias(f"rate_{v}") for v in languages]
     sizes = [F.coalesce(F.col(f"`{v}_n`"), F.lit(0)).alias(f"n_{v}") for v in languages]

@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 
 from stylograin.functions.labels import lookup
 from stylograin.operators.profile import text_digest
+from stylograin.session import broadcast_if_small
 
-# A side is only hinted for broadcast when its row count is bounded by a parameter
-# (vocabulary size, bucket count) no larger than this.
+# A side is only hinted for broadcast when a parameter bounds its rows (vocabulary size) to
+# no more than this, and the table has been found to keep to it.
 BROADCAST_ROWS = 200_000
 
 
 def bounded(df: DataFrame, rows: int | None) -> DataFrame:
-    """Hint a broadcast if the caller can prove that ``df`` has few rows; else leave it to Spark."""
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+    """Hint a broadcast of a table that is meant to have at most ``rows`` rows, if it has.
+
+    The table is counted up to the bound, and kept for the join; without a bound, or beyond
+    it, the join is left to Spark.
+    """
+    return broadcast_if_small(df, rows) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
 def leaked_rows(right: DataFrame, left: DataFrame, text: str) -> DataFrame:
@@ -40,7 +45,9 @@ def aligned_shares(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
         total = counts.agg(F.sum("n")).scalar()
         return counts.select(key, (100.0 * F.col("n") / total).alias(name))
 
-    both = shares(a, "pct_a").join(shares(b, "pct_b"), key, "full_outer")
+    # A null key is a key like any other, and is found on either side.
+    sides = shares(a, "pct_a").unionByName(shares(b, "pct_b"), allowMissingColumns=True)
+    both = sides.groupBy(key).agg(F.max("pct_a").alias("pct_a"), F.max("pct_b").alias("pct_b"))
     return both.select(key, F.coalesce("pct_a", F.lit(0.0)).alias("pct_a"),
                        F.coalesce("pct_b", F.lit(0.0)).alias("pct_b"))
 
@@ -66,12 +73,20 @@ def mapped_ends(edges: DataFrame, mapping: Mapping[str, str], parent: str = "par
 
 def attach_predictions(samples: DataFrame, predictions: DataFrame, key: str = "sample_id",
                        label: str = "label") -> DataFrame:
-    """Join predictions by key and add ``correct``; fails if the two sides differ in size."""
-    n_samples = samples.agg(F.count(F.lit(1))).scalar()
-    n_predictions = predictions.agg(F.count(F.lit(1))).scalar()
-    joined = samples.join(predictions, key)
-    message = F.concat(F.lit("Predictions length "), n_predictions.cast("string"),
-                       F.lit(" != samples length "), n_samples.cast("string"))
-    pred = F.when(n_samples == n_predictions, F.col("pred")).otherwise(F.raise_error(message).cast("int"))
-    return joined.withColumn("pred", pred).withColumn(
-        "correct", (F.col("pred") == F.col(label)).cast("int"))
+    """Join predictions by key and add ``correct``.
+
+    Fails if a sample has no prediction, a prediction no sample, or a key two predictions.
+    """
+    others = [c for c in predictions.columns if c != key]
+    per_key = predictions.groupBy(F.col(key).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_times"), *[F.first(c).alias(c) for c in others])
+    joined = samples.withColumn("_sample", F.lit(True)).join(per_key, F.col(key).eqNullSafe(F.col("_key")), "full_outer")
+    fault = (F.when(F.col("_sample").isNull(), F.lit("prediction without a sample: "))
+             .when(F.col("_times").isNull(), F.lit("sample without a prediction: "))
+             .when(F.col("_times") > 1, F.lit("several predictions for: ")))
+    name = F.coalesce(F.col(key), F.col("_key")).cast("string")
+    pred = F.when(fault.isNull(), F.col("pred")).otherwise(
+        F.raise_error(F.concat(fault, F.coalesce(name, F.lit("null")))).cast("int"))
+    return (joined.withColumn("pred", pred).where(fault.isNull() | F.col("pred").isNotNull())
+            .withColumn("correct", (F.col("pred") == F.col(label)).cast("int"))
+            .select(*samples.columns, *others, "correct"))

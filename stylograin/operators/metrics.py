@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylograin.functions.labels import SEEN_LANGUAGES, setting
-from stylograin.operators.ordering import prefix_sums
+from stylograin.operators.ordering import join_groups, prefix_sums
+from stylograin.operators.profile import all_values, listed
 from stylograin.session import reused
 
 
@@ -57,11 +58,18 @@ def count_metrics() -> dict[str, Column]:
     }
 
 
-def confusion_table(df: DataFrame, classes: Sequence[int], y: str = "y", pred: str = "pred") -> DataFrame:
-    """One row per (true, predicted) class, zeros included; the grid has fixed size."""
+def confusion_table(df: DataFrame, classes: Sequence[int] | None = None, y: str = "y", pred: str = "pred") -> DataFrame:
+    """One row per (true, predicted) class, zeros included.
+
+    A pair with a class outside the list (or null) is an error; without a list the classes
+    are all that occur on either side.
+    """
     spark = df.sparkSession
-    counts = df.groupBy(F.col(y).cast("int").alias("y"), F.col(pred).cast("int").alias("pred")).agg(
-        F.count(F.lit(1)).alias("n"))
+    pairs = df.select(F.col(y).cast("int").alias("y"), F.col(pred).cast("int").alias("pred"))
+    if classes is None:
+        classes = sorted({*all_values(pairs, "y"), *all_values(pairs, "pred")})
+    counts = pairs.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"))
+    counts = reused(counts.select(*[listed(F.col(c), classes).alias(c) for c in ("y", "pred")], "n"))
     lists = F.array(*[F.lit(c) for c in classes])
     grid = (spark.range(1).select(F.explode(lists).alias("y"))
             .select("y", F.explode(lists).alias("pred")))
@@ -111,22 +119,35 @@ def classification_report(df: DataFrame, names: Mapping[int, str] | None = None,
     return rows.select(label.alias("class"), "precision", "recall", "f1", "support").unionByName(averages)
 
 
-def score_steps(df: DataFrame, by: Sequence[str] = (), y: str = "y", pred: str | None = "pred",
-                score: str = "score") -> DataFrame:
+def score_counts(df: DataFrame, by: Sequence[str] = (), y: str = "y", pred: str | None = None,
+                 score: str = "score") -> DataFrame:
+    """One row per distinct score with class counts; the rows without a score are one row with ``known`` 0.
+
+    With ``pred`` there are the four outcomes as well.
+    """
+    t = F.col(y)
+    outcomes = []
+    if pred:
+        p = F.col(pred)
+        outcomes = [F.count_if((t == a) & (p == b)).alias(name)
+                    for name, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))]
+    return reused(df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
+        F.count(score).alias("known"), F.count_if(t == 1).alias("pos"), F.count_if(t == 0).alias("neg"), *outcomes))
+
+
+def score_steps(df: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "score") -> DataFrame:
     """One row per distinct score with class counts, then counts at and above that score.
 
     Adds ``tp_at`` and ``fp_at`` (rows with at least this score), ``pos_all`` and ``neg_all``.
+    Rows without a score are on no curve.
     """
-    t = F.col(y)
-    hits = F.col(pred) if pred else F.lit(0)
-    steps = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
-        F.count(score).alias("known"),
-        F.count_if(t == 1).alias("pos"), F.count_if(t == 0).alias("neg"),
-        F.count_if((t == 1) & (hits == 1)).alias("pos_hit"),
-        F.count_if((t == 0) & (hits == 1)).alias("neg_hit"))
+    return steps_of(score_counts(df, by, y, None, score), by)
+
+
+def steps_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     # Rows without a score go by their count: a null test on a computed score would be
     # pushed below the aggregate and compute the score twice.
-    steps = reused(steps.where(F.col("known") > 0).drop("known"))
+    steps = counts.where(F.col("known") > 0).drop("known")
     sums = prefix_sums(steps, ["threshold"], {"pos": F.col("pos"), "neg": F.col("neg")}, by)
     return sums.withColumns({
         "tp_at": F.col("pos_all") - F.col("pos_upto") + F.col("pos"),
@@ -145,21 +166,28 @@ def area_metrics() -> dict[str, Column]:
 
 def metric_rows(df: DataFrame, by: Sequence[str] = (), y: str = "y", pred: str = "pred",
                 score: str = "score") -> DataFrame:
-    """The full metric row per group, from one scan of the predictions."""
-    steps = score_steps(df, by, y, pred, score)
+    """The full metric row per group, from one scan of the predictions.
+
+    Rows without a score count in all metrics but the two areas. A group without any pair
+    of label and prediction has no metrics: they are null, and ``n_samples`` is 0.
+    """
+    by = list(by)
+    counted = score_counts(df, by, y, pred, score)
     areas = area_metrics()
-    sums = steps.groupBy(*by).agg(
-        F.sum("pos_hit").alias("tp"), F.sum("neg_hit").alias("fp"),
-        F.sum(F.col("pos") - F.col("pos_hit")).alias("fn"),
-        F.sum(F.col("neg") - F.col("neg_hit")).alias("tn"),
-        *[column.alias(name) for name, column in areas.items()])
+    sums = counted.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "tn")])
+    under = steps_of(counted, by).groupBy(*by).agg(*[column.alias(name) for name, column in areas.items()])
+    if by:
+        sums = join_groups(sums, under, by, "left")
+    else:
+        # One row on either side.
+        sums = sums.withColumn("_a", under.select(F.struct(*areas)).scalar()).select("*", "_a.*").drop("_a")
     counts = count_metrics()
     names = ["accuracy", "binary_f1", "macro_f1", "macro_precision", "macro_recall", "roc_auc",
              "pr_auc", "mcc", "fnr"]
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     positives = F.col("tp") + F.col("fn")
     return sums.select(*by, n.alias("n_samples"), positives.alias("n_machine"),
-                       *[(F.col(m) if m in areas else counts[m]).alias(m) for m in names])
+                       *[F.when(n > 0, F.col(m) if m in areas else counts[m]).alias(m) for m in names])
 
 
 def group_breakdown(df: DataFrame, group: str, seen: Sequence = SEEN_LANGUAGES, y: str = "y",
@@ -183,14 +211,14 @@ def accuracy_by(df: DataFrame, group: str, y: str = "y", pred: str = "pred") ->
 
 def roc_curve(df: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score."""
-    return score_steps(df, by, y, None, score).select(
+    return score_steps(df, by, y, score).select(
         *by, "threshold", ratio(F.col("fp_at"), F.col("neg_all")).alias("fpr"),
         ratio(F.col("tp_at"), F.col("pos_all")).alias("tpr"))
 
 
 def pr_curve(df: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "score") -> DataFrame:
     """(threshold, precision, recall) for every distinct score, and the prevalence."""
-    return score_steps(df, by, y, None, score).select(
+    return score_steps(df, by, y, score).select(
         *by, "threshold", ratio(F.col("tp_at"), F.col("tp_at") + F.col("fp_at")).alias("precision"),
         ratio(F.col("tp_at"), F.col("pos_all")).alias("recall"),
         ratio(F.col("pos_all"), F.col("pos_all") + F.col("neg_all")).alias("prevalence"))
@@ -201,9 +229,9 @@ def youden_threshold(df: DataFrame, by: Sequence[str] = (), y: str = "y", score:
 
     The difference is compared as a whole number, so ties do not hang on rounding.
     """
-    steps = score_steps(df, by, y, None, score)
-    gain = (F.col("tp_at") * F.col("neg_all")).cast("decimal(38,0)") - (
-        F.col("fp_at") * F.col("pos_all")).cast("decimal(38,0)")
+    steps = score_steps(df, by, y, score)
+    tp, fp, pos, neg = (F.col(c).cast("decimal(19,0)") for c in ("tp_at", "fp_at", "pos_all", "neg_all"))
+    gain = (tp * neg).cast("decimal(38,0)") - (fp * pos).cast("decimal(38,0)")
     best = F.max(F.struct(gain.alias("gain"), F.col("threshold"), F.col("tp_at"), F.col("fp_at"),
                           F.col("pos_all"), F.col("neg_all")))
     return steps.groupBy(*by).agg(best.alias("b")).select(
@@ -222,7 +250,7 @@ def f1_curve(df: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "
 def best_f1(df: DataFrame, fixed: float = 0.5, by: Sequence[str] = (), y: str = "y",
             score: str = "score") -> DataFrame:
     """Best F1 and its threshold (the lowest on ties), and F1 when cutting at ``fixed``."""
-    steps = score_steps(df, by, y, None, score)
+    steps = score_steps(df, by, y, score)
     p = ratio(F.col("tp_at"), F.col("tp_at") + F.col("fp_at"))
     r = ratio(F.col("tp_at"), F.col("pos_all"))
     f1 = 2 * p * r / (p + r + F.lit(1e-9))
@@ -260,8 +288,8 @@ def shift_drop(results: DataFrame, model: str, split: str, metric: str, known: s
 def variant_comparison(a: DataFrame, b: DataFrame, group: str, metric: str,
                        up: float = 0.05, down: float = -0.02) -> DataFrame:
     """Metric of two variants per group, gain and marker."""
-    joined = a.select(group, F.col(metric).alias("value_a")).join(
-        b.select(group, F.col(metric).alias("value_b")), group)
+    joined = join_groups(a.select(group, F.col(metric).alias("value_a")),
+                         b.select(group, F.col(metric).alias("value_b")), [group])
     gain = F.col("value_b") - F.col("value_a")
     mark = F.when(gain > up, " ★").when(gain < down, " ↓").otherwise("")
     return joined.select(group, "value_a", "value_b", gain.alias("gain"), mark.alias("mark"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from stylograin.operators.joins import bounded
 from stylograin.operators.metrics import confusion_counts, count_metrics
 from stylograin.operators.ordering import hash_key
+from stylograin.operators.profile import all_values
 from stylograin.operators.sampling import folds, stratified_split
-from stylograin.session import reused
+from stylograin.session import reused, shared_folder
 
 Fit = Callable[[DataFrame], object]
 
@@ -35,32 +37,35 @@ def with_ratio_weights(df: DataFrame, label: str = "label", name: str = "weight"
     return df.withColumn(name, F.when(F.col(label) == 1, ratio).otherwise(1.0))
 
 
-def sized(train: DataFrame, n: int, rows_per_task: int = 2000) -> DataFrame:
-    """Put a small training set into few partitions; every iteration is a job over all of them."""
-    tasks = max(1, n // rows_per_task)
-    return train.repartition(tasks) if tasks < train.sparkSession.sparkContext.defaultParallelism else train
+def weighted(train: DataFrame, label: str, kind: str | None, name: str = "weight") -> tuple[DataFrame, int]:
+    """The training rows with their weights as constants, and their number: one aggregate tells both.
+
+    ``kind`` is "balanced", "ratio" or nothing, as in the two functions above.
+    """
+    n, n0, n1 = train.agg(F.count(label), F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
+    weights = {"balanced": (n / (2.0 * n0) if n0 else 1.0, n / (2.0 * n1) if n1 else 1.0),
+               "ratio": (1.0, n0 / n1 if n1 else 1.0), None: (1.0, 1.0)}[kind]
+    return train.withColumn(name, F.when(F.col(label) == 1, weights[1]).otherwise(weights[0])), n
 
 
 def logistic(balanced: bool = False, max_iter: int = 1000, c: float = 1.0, features: str = "features",
              label: str = "label") -> Fit:
     """L2 logistic regression with strength ``1 / c`` on the sum of losses, not standardised."""
     def fit(train: DataFrame):
-        n = train.count()
-        rows = with_balanced_weights(train, label) if balanced else train.withColumn("weight", F.lit(1.0))
+        rows, n = weighted(train, label, "balanced" if balanced else None)
         return LogisticRegression(
             featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
-            regParam=1.0 / (c * max(n, 1)), standardization=False).fit(sized(rows, n))
+            regParam=1.0 / (c * max(n, 1)), standardization=False).fit(rows)
     return fit
 
 
-def linear_svm(max_iter: int = 5000, c: float = 1.0, features: str = "features", label: str = "label") -> Fit:
-    """Balanced linear SVM (hinge loss)."""
+def linear_svm(max_iter: int = 5000, c: float = 1.0, tol: float = 1e-4, features: str = "features", label: str = "label") -> Fit:
+    """Balanced linear SVM (hinge loss); iterations end when the loss changes by less than ``tol``."""
     def fit(train: DataFrame):
-        n = train.count()
+        rows, n = weighted(train, label, "balanced")
         return LinearSVC(
-            featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
-            regParam=1.0 / (c * max(n, 1)), standardization=False,
-        ).fit(sized(with_balanced_weights(train, label), n))
+            featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol,
+            regParam=1.0 / (c * max(n, 1)), standardization=False).fit(rows)
     return fit
 
 
@@ -70,17 +75,22 @@ def random_forest(trees: int = 300, depth: int = 20, min_leaf: int = 5, seed: in
         return RandomForestClassifier(
             featuresCol=features, labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
             minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
-        ).fit(sized(with_balanced_weights(train, label), train.count()))
+        ).fit(weighted(train, label, "balanced")[0])
     return fit
 
 
-def boosted_trees(rounds: int = 300, depth: int = 6, rate: float = 0.1, weighted: bool = False, seed: int = 42,
+def boosted_trees(rounds: int = 300, depth: int = 6, rate: float = 0.1, ratio_weighted: bool = False, seed: int = 42,
                   features: str = "features", label: str = "label") -> Fit:
-    """Gradient-boosted trees; ``weighted`` gives machine rows ``n_human / n_machine`` of train."""
+    """Gradient-boosted trees; ``ratio_weighted`` gives machine rows ``n_human / n_machine`` of train.
+
+    Every round is a handful of jobs. The residual labels are cut from their history each
+    ten rounds by a checkpoint in the shared folder.
+    """
     def fit(train: DataFrame):
-        rows = with_ratio_weights(train, label) if weighted else train.withColumn("weight", F.lit(1.0))
+        shared_folder(train.sparkSession)
         return GBTClassifier(featuresCol=features, labelCol=label, weightCol="weight", maxIter=rounds,
-                             maxDepth=depth, stepSize=rate, seed=seed).fit(sized(rows, train.count()))
+                             maxDepth=depth, stepSize=rate, seed=seed,
+                             ).fit(weighted(train, label, "ratio" if ratio_weighted else None)[0])
     return fit
 
 
@@ -159,24 +169,44 @@ def permutation_importance(model, df: DataFrame, columns: Sequence[str], key: st
     """Loss of macro F1 when one feature is permuted, for all features in one pass.
 
     A row borrows the feature from the next row in random order; the order is cut into
-    buckets by hash, each rotated on its own. One shuffle serves every feature.
+    buckets by hash, each rotated on its own. One shuffle serves every feature. Only the
+    slots in which a row and its partner differ are judged again, as the others cannot
+    change a prediction; a linear model needs the two values and its margin for that, and no
+    vector.
     """
-    arrays = df.select(key, label, vector_to_array(features).alias("x")).withColumn("_key", hash_key(key, seed))
+    judged = model.transform(df)
+    arrays = judged.select(key, F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"),
+                           vector_to_array("rawPrediction")[1].alias("margin"), vector_to_array(features).alias("x"))
+    arrays = arrays.withColumn("_key", hash_key(key, seed))
     n = df.agg(F.count(F.lit(1))).scalar()
     buckets = F.greatest(F.lit(1), F.ceil(n / rows_per_bucket)).cast("bigint")
     placed = arrays.withColumn("_bucket", F.pmod(F.xxhash64("_key"), buckets))
     in_order = Window.partitionBy("_bucket").orderBy("_key")
-    partner = F.coalesce(F.lead("x").over(in_order), F.first("x").over(in_order))
-    paired = placed.withColumn("partner", partner)
-    slots = F.sequence(F.lit(-1), F.lit(len(columns) - 1))
-    mixed = paired.withColumn("slot", F.explode(slots)).withColumn("x", F.transform(
-        "x", lambda v, i: F.when(i == F.col("slot"), F.get("partner", i)).otherwise(v)))
-    judged = model.transform(mixed.select("slot", label, array_to_vector("x").alias(features)))
-    counts = confusion_counts(judged.select("slot", F.col(label).alias("y"), F.col("prediction").cast("int").alias("pred")), ["slot"])
-    f1 = reused(counts.select("slot", count_metrics()["macro_f1"].alias("f1")))
-    base = f1.where(F.col("slot") == -1).select("f1").scalar()
+    paired = placed.withColumn("partner", F.coalesce(F.lead("x").over(in_order), F.first("x").over(in_order)))
+    slots = F.filter(F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda i: F.get("x", i) != F.get("partner", i))
+    mixed = paired.withColumn("slot", F.explode(slots))
+    before, after = F.get("x", F.col("slot")), F.get("partner", F.col("slot"))
+    if hasattr(model, "coefficients"):
+        weights = F.array(*[F.lit(float(c)) for c in model.coefficients.toArray()])
+        moved = F.col("margin") + F.get(weights, F.col("slot")) * (after - before)
+        changed = mixed.select("slot", "y", F.col("pred").alias("old"), (moved > 0).cast("int").alias("new"))
+    else:
+        x = F.transform("x", lambda v, i: F.when(i == F.col("slot"), after).otherwise(v))
+        again = model.transform(mixed.select("slot", "y", F.col("pred").alias("old"), array_to_vector(x).alias(features)))
+        changed = again.select("slot", "y", "old", F.col("prediction").cast("int").alias("new"))
+    outcomes = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
+    moves = changed.where(F.col("old") != F.col("new")).groupBy("slot").agg(*[
+        (F.count_if((F.col("y") == a) & (F.col("new") == b)) - F.count_if((F.col("y") == a) & (F.col("old") == b))).alias(f"d_{name}")
+        for name, (a, b) in outcomes.items()])
+    base = confusion_counts(arrays).select(F.struct(*outcomes).alias("base"))
+    every = (df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("slot"))
+             .withColumn("_base", base.scalar()).join(moves, "slot", "left"))
+    f1 = count_metrics()["macro_f1"]
+    whole = every.select("slot", "_base.*").select("slot", f1.alias("base"))
+    after_move = every.select("slot", *[(F.col(f"_base.{n}") + F.coalesce(f"d_{n}", F.lit(0))).alias(n) for n in outcomes])
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("slot") + 1)
-    return f1.where(F.col("slot") >= 0).select(name.alias("feature"), (base - F.col("f1")).alias("importance"))
+    return (after_move.select("slot", f1.alias("f1")).join(whole, "slot")
+            .select(name.alias("feature"), (F.col("base") - F.col("f1")).alias("importance")))
 
 
 def linear_contributions(values: DataFrame, coefficients: DataFrame, n: Column,
@@ -194,23 +224,28 @@ def linear_contributions(values: DataFrame, coefficients: DataFrame, n: Column,
     return apart.select(term, (F.abs("coefficient") * total / n).alias("contribution"))
 
 
-def length_only_accuracy(df: DataFrame, length: Column, languages: Sequence[str], language: str = "language",
+def length_only_accuracy(df: DataFrame, length: Column, languages: Sequence[str] | None = None, language: str = "language",
                          key: str = "sample_id", label: str = "label") -> DataFrame:
-    """Accuracy of a model that sees the length only, for all rows and per language."""
+    """Accuracy of a model that sees the length only, for all rows and per language.
+
+    Without a list the languages are those that occur. Where the training part has one class
+    only, no model can be fitted: the row is there with the size of its test part and no
+    accuracy. A model is fitted per scope, so the languages are a loop.
+    """
     rows = df.select(key, language, label, array_to_vector(F.array(length.cast("double"))).alias("features"))
     parts = []
-    for scope in ["all", *languages]:
+    for scope in ["all", *(all_values(df, language) if languages is None else languages)]:
         subset = rows if scope == "all" else rows.where(F.col(language) == scope)
         split = reused(stratified_split(subset, label, 0.2, key))
-        if split.where(F.col("part") == "train").select(label).distinct().count() < 2:
-            continue
-        model = logistic(max_iter=100, label=label)(split.where(F.col("part") == "train"))
-        parts.append(scored(model, split.where(F.col("part") == "test"), [key], label).withColumn("scope", F.lit(scope)))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.groupBy("scope").agg(F.count(F.lit(1)).alias("n_test"),
-                                      F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))
+        train, test = (split.where(F.col("part") == part) for part in ("train", "test"))
+        if train.select(label).distinct().count() < 2:
+            part = test.select(key, F.col(label).cast("int").alias("y"), F.lit(None).cast("int").alias("pred"), F.lit(None).cast("double").alias("score"))
+        else:
+            part = scored(logistic(max_iter=100, label=label)(train), test, [key], label)
+        n = F.count(F.lit(1))
+        parts.append(part.agg(n.alias("n_test"), F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))
+                     .select(F.lit(str(scope)).alias("scope"), "n_test", "accuracy"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cluster_summary(df: DataFrame, vector: str, k: int = 20, seed: int = 42) -> DataFrame:

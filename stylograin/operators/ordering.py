@@ -9,6 +9,7 @@ its order key and on constant cut points, so a recomputed task gives the same re
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,18 +17,24 @@ from pyspark.sql import functions as F
 from stylograin.session import broadcast_if_small, reused
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group columns of which any may be null: null is a group like any other."""
+    renamed = {name: f"_right_{name}" for name in by}
+    condition = reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(other)) for name, other in renamed.items()])
+    return left.join(right.withColumnsRenamed(renamed), condition, how).drop(*renamed.values())
+
+
 def bucket_count(df: DataFrame) -> int:
-    """As many buckets as shuffle partitions, within bounds that keep the cut points few."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(64, min(partitions, 1024))
+    """As many buckets as shuffle partitions, the number that a cluster is set up to work through."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_quantile_bucket(df: DataFrame, order: str, buckets: int | None = None,
                          name: str = "_bucket") -> DataFrame:
     """Add the number of approximate quantiles of ``order`` that lie below its value.
 
-    The cut points are fetched once, at most 1023 numbers, and become constants of the
-    plan. Approximate quantiles may differ between two runs; as constants they are the
+    The cut points are fetched once, fewer numbers than buckets, and become constants of
+    the plan. Approximate quantiles may differ between two runs; as constants they are the
     same for the bucket sums and for the rows. They only steer the partitioning, results
     do not depend on them.
     """
@@ -60,12 +67,12 @@ def prefix_sums(df: DataFrame, order: Sequence[str], values: Mapping[str, Column
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in values],
         *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_all") for n in values],
     )
-    if not by:
-        # At most one row per bucket.
+    if not by and bucket is None:
+        # One row per bucket, and the buckets are as many as was asked for.
         offsets = F.broadcast(offsets)
     inside = (Window.partitionBy(*by, "_bucket").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = rows.join(offsets, [*by, "_bucket"])
+    joined = join_groups(rows, offsets, [*by, "_bucket"])
     out = joined.withColumns({f"{n}_upto": F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(inside)
                               for n in values})
     return out.drop("_bucket", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
@@ -88,49 +95,54 @@ def hash_key(id_col: str, seed: int) -> Column:
 
 
 def random_cutoffs(df: DataFrame, id_col: str, seed: int, quotas: Mapping[str, Column],
-                   by: Sequence[str] = (), digits: int = 3) -> DataFrame:
+                   by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Per group, the order key of the last row of each quota in random order.
 
-    ``quotas`` are expressions over ``size``, the group's row count. A row belongs to a
+    ``quotas`` are expressions over ``size``, the group's row count, and ``total``, the count
+    of all rows. A row belongs to a
     quota exactly if its order key is not above the cutoff, so samples and splits are
     plain filters and texts never move. Only keys are read; after counting them per
     (group, first digits of the hash), only the buckets that hold a cutoff are ranked.
-    A quota below 1 gives an empty cutoff, which no key reaches.
+    There are as many digits as give each shuffle partition 16 buckets or more, so that a
+    bucket of one group is a small part of what one task is meant to hold. A quota below 1
+    gives an empty cutoff, which no key reaches. Null groups are groups.
     """
     by = list(by)
+    digits = digits or max(3, len(f"{16 * bucket_count(df) - 1:x}"))
     keys = df.select(*by, hash_key(id_col, seed).alias("_key"))
     keys = keys.withColumn("_bucket", F.coalesce(F.substring("_key", 1, digits), F.lit("")))
     counts = reused(keys.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
     whole = Window.partitionBy(*by)
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumns({"size": F.sum("_n").over(whole), "_upto": F.sum("_n").over(upto)})
+    placed = counts.withColumns({"size": F.sum("_n").over(whole), "_upto": F.sum("_n").over(upto),
+                                 "total": counts.agg(F.sum("_n")).scalar()})
     wanted = F.inline(F.array(*[F.struct(F.lit(name).alias("_quota"), value.cast("bigint").alias("_row"))
                                 for name, value in quotas.items()]))
-    marks = placed.select(*by, "_bucket", "_n", "_upto", "size", wanted)
+    marks = placed.select(*by, "_bucket", "_n", "_upto", wanted)
     first = F.col("_upto") - F.col("_n")
     edge = marks.where((F.col("_row") > first) & (F.col("_row") <= F.col("_upto")))
     edge = edge.select(*by, "_bucket", "_quota", (F.col("_row") - first).alias("_place"))
     in_bucket = Window.partitionBy(*by, "_bucket", "_quota").orderBy("_key")
     # One row per group and quota; without groups that is one row per quota.
     edge = broadcast_if_small(edge) if by else F.broadcast(edge)
-    ranked = keys.join(edge, [*by, "_bucket"]).withColumn("_rank", F.row_number().over(in_bucket))
+    ranked = join_groups(keys, edge, [*by, "_bucket"]).withColumn("_rank", F.row_number().over(in_bucket))
     found = ranked.where(F.col("_rank") == F.col("_place"))
-    groups = placed.select(*by, "size").distinct()
+    groups = placed.select(*by, "size", "total").distinct()
     cuts = found.groupBy(*by).agg(*[
         F.max(F.when(F.col("_quota") == name, F.col("_key"))).alias(name) for name in quotas])
     if not by:
         return cuts.select(*[F.coalesce(name, F.lit("")).alias(name) for name in quotas])
-    return groups.join(cuts, by, "left").select(
-        *by, "size", *[F.coalesce(name, F.lit("")).alias(name) for name in quotas])
+    return join_groups(groups, cuts, by, "left").select(
+        *by, "size", "total", *[F.coalesce(name, F.lit("")).alias(name) for name in quotas])
 
 
 def with_cutoffs(df: DataFrame, id_col: str, seed: int, quotas: Mapping[str, Column],
                  by: Sequence[str] = ()) -> DataFrame:
-    """Add ``_key`` and one cutoff column per quota. ``by`` columns must not be null."""
+    """Add ``_key`` and one cutoff column per quota."""
     cuts = random_cutoffs(df, id_col, seed, quotas, by)
     keyed = df.withColumn("_key", hash_key(id_col, seed))
     if by:
-        return keyed.join(broadcast_if_small(cuts.drop("size")), list(by))
+        return join_groups(keyed, broadcast_if_small(cuts.drop("size", "total")), by)
     return keyed.withColumns({name: cuts.select(name).scalar() for name in quotas})
 
 
@@ -169,14 +181,18 @@ def quantiles(df: DataFrame, value: str, shares: Mapping[str, float],
 
 def top_per_group(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = (),
                   name: str = "rank") -> DataFrame:
-    """First ``k`` rows per group; every partition is trimmed to ``k`` before the shuffle.
+    """First ``k`` rows per group, or of all rows, with their rank.
 
-    Spark trims partitions of a ranked window for small ``k`` only, so a large ``k`` per
-    group is refused: ``row_index`` ranks whole groups in many tasks.
+    Spark trims each partition to ``k`` rows before the shuffle while ``k`` is small. For a
+    larger ``k`` the rows of a group are first dealt out by hash and cut to ``k`` in each
+    share, so that the one task which ranks the group gets shares times ``k`` rows at most.
     """
     window = Window.partitionBy(*by).orderBy(*order)
-    if not by:
-        return df.orderBy(*order).limit(k).withColumn(name, F.row_number().over(window))
     if k > 1000:
-        raise ValueError("top_per_group is for k up to 1000; use row_index")
+        shares = bucket_count(df)
+        dealt = df.withColumn("_share", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(shares)))
+        part = Window.partitionBy(*by, "_share").orderBy(*order)
+        df = dealt.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= k).drop("_share", "_place")
+    elif not by:
+        df = df.orderBy(*order).limit(k)
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylograin.operators.ordering import quantiles, value_counts_of
+from stylograin.operators.ordering import join_groups, quantiles, value_counts_of
 from stylograin.session import reused
 
 
@@ -20,10 +20,10 @@ def value_counts(df: DataFrame, *by: str) -> DataFrame:
 def value_shares(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows and share per value, within ``by`` if given."""
     by = list(by)
-    counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
-    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
+    counts = reused(df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
     if by:
-        counts = counts.join(totals, by)
+        counts = join_groups(counts, totals, by)
         return counts.withColumn("share", F.col("n") / F.col("_total")).drop("_total")
     return counts.withColumn("share", F.col("n") / totals.scalar())
 
@@ -39,7 +39,7 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
         F.min(value).alias("min"), F.max(value).alias("max"))
     quarts = quantiles(df, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by)
     if by:
-        return stats.join(quarts, list(by))
+        return join_groups(stats, quarts, by, "left")
     # One row on either side.
     one = quarts.select(F.struct("q25", "q50", "q75")).scalar()
     return stats.withColumn("_q", one).select("*", "_q.*").drop("_q")
@@ -56,17 +56,41 @@ def duplicate_count(df: DataFrame, text: str) -> DataFrame:
     return copies.agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") - 1).alias("n_duplicates"))
 
 
-def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
-    """Counts per row value and column value, 0 where there are none."""
-    table = df.groupBy(rows).pivot(columns, list(values)).count()
+def all_values(df: DataFrame, column: str, most: int = 1000) -> list:
+    """The distinct values of a column, in order, without null; a table cannot have more than ``most`` columns for them."""
+    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(found)
+
+
+def listed(column: Column, values: Sequence) -> Column:
+    """``column``, or an error where it has a value (or null) that is not in the list: a table by list must not lose rows."""
+    message = F.concat(F.lit("value not listed: "), F.coalesce(column.cast("string"), F.lit("null")))
+    return F.when(column.isin(list(values)), column).otherwise(F.raise_error(message))
+
+
+def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence | None = None) -> DataFrame:
+    """Counts per row value and column value, 0 where there are none.
+
+    Columns are the given values, and a row with another one (or null) is an error; without
+    a list they are the values that occur, and rows of null are left to ``n_null``, which
+    is there if there are any.
+    """
+    if values is None:
+        values = all_values(df, columns)
+        if not df.where(F.col(columns).isNull()).isEmpty():
+            df, values = df.withColumn(columns, F.coalesce(F.col(columns).cast("string"), F.lit("null"))), [*map(str, values), "null"]
+    table = df.withColumn(columns, listed(F.col(columns), values)).groupBy(rows).pivot(columns, list(values)).count()
     return table.select(rows, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"n_{v}") for v in values])
 
 
-def crosstab_percent(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
+def crosstab_percent(df: DataFrame, rows: str, columns: str, values: Sequence | None = None) -> DataFrame:
     """Crosstab in percent of each row."""
     table = crosstab(df, rows, columns, values)
-    whole = sum((F.col(f"n_{v}") for v in values), F.lit(0))
-    return table.select(rows, *[(100.0 * F.col(f"n_{v}") / whole).alias(f"pct_{v}") for v in values])
+    names = [c for c in table.columns if c != rows]
+    whole = sum((F.col(f"`{n}`") for n in names), F.lit(0))
+    return table.select(rows, *[(100.0 * F.col(f"`{n}`") / whole).alias(f"pct_{n[2:]}") for n in names])
 
 
 def class_prior(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -100,7 +124,7 @@ def density_histogram(df: DataFrame, value: str, bins: int = 40, by: Sequence[st
                            F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
                            F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
     if by:
-        placed = counts.join(ranges, by)
+        placed = join_groups(counts, ranges, by)
     else:
         one = ranges.select(F.struct("low", "high", "total").alias("r")).scalar()
         placed = counts.withColumn("_r", one).select("_x", "n", "_r.low", "_r.high", "_r.total")
@@ -109,7 +133,7 @@ def density_histogram(df: DataFrame, value: str, bins: int = 40, by: Sequence[st
         F.sum("n").alias("n"))
     grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("high") - F.col("low")) / bins
-    full = grid.join(hits, [*by, "bin"], "left")
+    full = join_groups(grid, hits, [*by, "bin"], "left")
     n = F.coalesce("n", F.lit(0))
     return full.select(*by, "bin", (F.col("low") + F.col("bin") * width).alias("bin_low"),
                        n.alias("n"), (n / (F.col("total") * width)).alias("density"))
@@ -121,7 +145,7 @@ def box_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     counts = reused(value_counts_of(df, value, by)).withColumnRenamed("n", "_n")
     boxes = quantiles(df, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by)
     if by:
-        joined = counts.join(boxes, by)
+        joined = join_groups(counts, boxes, by)
     else:
         one = boxes.select(F.struct("q25", "q50", "q75").alias("b")).scalar()
         joined = counts.withColumn("_b", one).select("*", "_b.*")

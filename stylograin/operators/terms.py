@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylograin.operators.joins import bounded
+from stylograin.operators.ordering import join_groups, row_index
+from stylograin.session import reused
 
 
 def token_rows(df: DataFrame, tokens: Column, key: str = "sample_id") -> DataFrame:
@@ -23,14 +25,16 @@ def token_rows(df: DataFrame, tokens: Column, key: str = "sample_id") -> DataFra
 def term_totals(df: DataFrame, tokens: Column) -> DataFrame:
     """(term, tf, df): occurrences and samples per term, with a single shuffle.
 
-    Every sample emits its tokens followed by its distinct tokens; the position tells
-    the two apart. Both counts are added up inside a partition before the shuffle.
+    A sample sorts its tokens and emits one row per distinct term, with the length of its
+    run. Both counts are added up inside a partition before the shuffle.
     """
-    arrays = df.select(tokens.alias("tokens"))
-    both = arrays.select(F.size("tokens").alias("n"),
-                         F.posexplode(F.concat("tokens", F.array_distinct("tokens"))).alias("pos", "term"))
-    return both.groupBy("term").agg(F.count_if(F.col("pos") < F.col("n")).alias("tf"),
-                                    F.count_if(F.col("pos") >= F.col("n")).alias("df"))
+    ordered = df.select(F.array_sort(tokens).alias("tokens")).where(F.size("tokens") > 0)
+    places = F.sequence(F.lit(0), F.size("tokens") - 1)
+    first = F.filter(places, lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    runs = ordered.select("tokens", first.alias("first"))
+    terms = F.transform("first", lambda at, k: F.struct(
+        F.get("tokens", at).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("tokens")) - at).alias("times")))
+    return runs.select(F.inline(terms)).groupBy("term").agg(F.sum("times").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
 def vocabulary(df: DataFrame, tokens: Column, min_df: int = 1,
@@ -40,8 +44,26 @@ def vocabulary(df: DataFrame, tokens: Column, min_df: int = 1,
 
 
 def limit_vocabulary(totals: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
+    """Terms in at least ``min_df`` samples, cut to the ``max_features`` most frequent (ties by term).
+
+    The count at the cut is found in a histogram with one row per distinct count. All terms
+    above it are in; only those with that very count are ranked, in many tasks.
+    """
     kept = totals.where(F.col("df") >= min_df)
-    return kept if max_features is None else kept.orderBy(F.desc("tf"), "term").limit(max_features)
+    if max_features is None:
+        return kept
+    kept = reused(kept)
+    sizes = kept.groupBy("tf").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    over = sizes.select("tf", "n", upto.alias("upto")).where(F.col("upto") > max_features)
+    cut = over.orderBy(F.desc("tf")).limit(1).first()
+    if cut is None:
+        return kept
+    above, places = kept.where(F.col("tf") > cut.tf), max_features - (cut.upto - cut.n)
+    # The first bytes of a term as a number pick its bucket; inside a bucket terms are compared.
+    code = F.conv(F.rpad(F.hex(F.substring(F.encode("term", "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    ties = row_index(kept.where(F.col("tf") == cut.tf).withColumn("_code", code), ["_code", "term"], name="_place")
+    return above.unionByName(ties.where(F.col("_place") <= places).select(*kept.columns)) if places else above
 
 
 def with_idf(vocab: DataFrame, fitted_on: DataFrame) -> DataFrame:
@@ -90,13 +112,14 @@ def coverage_by_language(train: DataFrame, apply_to: DataFrame, tokens: Column,
     counts below the line.
     """
     vocab = vocabulary(train, tokens, 1, max_features)
+    vocab = reused(vocab.select("term"))
     size = vocab.agg(F.count(F.lit(1))).scalar()
     rows = apply_to.select(language, F.explode(F.array_distinct(tokens)).alias("term"))
-    hits = rows.join(bounded(vocab.select("term"), max_features), "term").groupBy(language).agg(
+    hits = rows.join(bounded(vocab, max_features), "term").groupBy(language).agg(
         F.count(F.lit(1)).alias("hits"))
     samples = apply_to.groupBy(language).agg(F.count(F.lit(1)).alias("n"))
     share = F.coalesce(F.col("hits"), F.lit(0)) / (F.col("n") * size)
-    return samples.join(hits, language, "left").select(
+    return join_groups(samples, hits, [language], "left").select(
         language, "n", share.alias("coverage")).orderBy(F.desc("coverage"), language)
 
 
@@ -114,7 +137,7 @@ def class_means(weights: DataFrame, samples: DataFrame, label: str = "label",
     sizes = samples.groupBy(*by).agg(F.count_if(F.col(label) == 0).alias("n0"),
                                      F.count_if(F.col(label) == 1).alias("n1"))
     if by:
-        placed = sums.join(sizes.where((F.col("n0") > 0) & (F.col("n1") > 0)), by)
+        placed = join_groups(sums, sizes.where((F.col("n0") > 0) & (F.col("n1") > 0)), by)
     else:
         placed = sums.withColumns({n: sizes.select(n).scalar() for n in ("n0", "n1")})
     human, machine = F.try_divide("s0", "n0"), F.try_divide("s1", "n1")

@@ -134,7 +134,7 @@ def shape_features(nodes: DataFrame, key: str = "sample_id",
     n = F.lit(1).cast("double")
     cells = nodes.groupBy(key, "type", "n_children").agg(
         F.sum(n).alias("c"), F.sum("depth").alias("d1"),
-        F.sum(F.col("depth") * F.col("depth")).alias("d2"), F.max("depth").alias("dm"))
+        F.sum(F.col("depth").cast("double") * F.col("depth")).alias("d2"), F.max("depth").alias("dm"))
     whole = Window.partitionBy(key)
     of_type = Window.partitionBy(key, "type")
     of_branch = Window.partitionBy(key, "n_children")

@@ -66,7 +66,11 @@ def lexical_rows(samples: DataFrame, tokens, max_features: int, min_df: int = 1,
 def baseline_family(samples: DataFrame, word_features: int = 150_000, bigram_features: int = 120_000,
                     char_features: int = 100_000, min_df: int = 5, per_language: int = 15_000,
                     max_iter: int = 1000) -> DataFrame:
-    """Predictions of the four lexical baselines on the splits other than train."""
+    """Predictions of the four lexical baselines on the splits other than train.
+
+    ``per_language`` bounds the training rows of the fourth: at most so many of each
+    language, by hash. The others are fitted on all rows.
+    """
     plain, balanced = logistic(max_iter=max_iter), logistic(balanced=True, max_iter=max_iter)
     even = sample_per_group(of_split(samples, "train"), per_language, ["language"])
     even_rows = even.unionByName(samples.where(F.col("split") != "train"))
@@ -103,9 +107,12 @@ def shift_diagnostic(samples: DataFrame, nodes: DataFrame, language: str, char_f
     ])
 
 
-def shape_model_run(samples: DataFrame, nodes: DataFrame, fits: Mapping[str, Fit]) -> DataFrame:
-    """Predictions from the 18 shape features, scaled; a sample without a tree has zeros."""
-    shapes = with_missing_as_zero(samples.select(*KEEP, "label"), shape_features(nodes))
+def shape_model_run(samples: DataFrame, nodes: DataFrame, fits: Mapping[str, Fit], **marks) -> DataFrame:
+    """Predictions from the 18 shape features, scaled; a sample without a tree has zeros.
+
+    ``marks`` name the decision and call nodes of the trees, as for ``shape_features``.
+    """
+    shapes = with_missing_as_zero(samples.select(*KEEP, "label"), shape_features(nodes, **marks))
     return run_models(scaled_rows(shapes, SHAPE_FEATURES), fits)
 
 
@@ -137,7 +144,7 @@ def robustness_study(samples: DataFrame, nodes: DataFrame, mapping: Mapping[str,
     """Predictions of three ways to meet the class shift and two to meet the language shift."""
     standard, _ = path_rows(samples, nodes, min_df=min_df)
     universal, _ = path_rows(samples, nodes, min_df=min_df, mapping=mapping)
-    default, weighted = boosted_trees(rounds), boosted_trees(rounds, weighted=True)
+    default, weighted = boosted_trees(rounds), boosted_trees(rounds, ratio_weighted=True)
     return run_models(standard, {
         "1 standard paths + default": default, "2 standard paths + class-weighted": weighted,
         "3 standard paths + calibrated": calibrated_svm(max_iter=max_iter),
@@ -159,10 +166,10 @@ def language_gain(predictions: DataFrame, first: str, second: str, split: str =
     return metrics.variant_comparison(a, b, "language", "macro_f1")
 
 
-def fusion_study(samples: DataFrame, nodes: DataFrame, rounds: int = 300, min_df: int = 5) -> DataFrame:
-    """Predictions from paths, from tree shape, and from both together."""
+def fusion_study(samples: DataFrame, nodes: DataFrame, rounds: int = 300, min_df: int = 5, **marks) -> DataFrame:
+    """Predictions from paths, from tree shape, and from both together; ``marks`` as for ``shape_features``."""
     paths, _ = path_rows(samples, nodes, min_df=min_df)
-    shapes = with_missing_as_zero(samples.select(*KEEP, "label"), shape_features(nodes))
+    shapes = with_missing_as_zero(samples.select(*KEEP, "label"), shape_features(nodes, **marks))
     scalars = scaled_rows(shapes, SHAPE_FEATURES).select("sample_id", F.col("features").alias("shape"))
     both = reused(paths.withColumnRenamed("features", "path").join(scalars, "sample_id"))
     fit = boosted_trees(rounds)

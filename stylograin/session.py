@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests on one machine) is a fresh folder made and
-    set as the checkpoint folder.
+    Only a session on one machine may name none: a fresh folder is then made and set as the
+    checkpoint folder. On a cluster the executors would each write to their own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="stylograin-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

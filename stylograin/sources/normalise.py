@@ -25,14 +25,13 @@ def read_splits(spark: SparkSession, paths: Mapping[str, str], columns: Sequence
 
 
 def normalised_columns(df: DataFrame, aliases: Mapping[str, list[str]] = COLUMN_ALIASES) -> DataFrame:
-    """Lower-case, trimmed names; aliases renamed; integer label; an error if one is missing."""
+    """Lower-case, trimmed names; aliases renamed; integer label; an error names all that are missing."""
     df = df.toDF(*[c.strip().lower() for c in df.columns])
-    for wanted, others in aliases.items():
-        if wanted not in df.columns:
-            found = next((o for o in others if o in df.columns), None)
-            if found is None:
-                raise KeyError(f"Column '{wanted}' not found. Available: {df.columns}")
-            df = df.withColumnRenamed(found, wanted)
+    sources = {wanted: next((n for n in (wanted, *others) if n in df.columns), None) for wanted, others in aliases.items()}
+    missing = [wanted for wanted, source in sources.items() if source is None]
+    if missing:
+        raise KeyError(f"no column for {', '.join(missing)} among {', '.join(df.columns)}")
+    df = df.withColumnsRenamed({source: wanted for wanted, source in sources.items()})
     return df.withColumn("label", F.col("label").cast("int")) if "label" in df.columns else df
 
 

@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from stylograin.operators.ordering import row_index
 
@@ -19,11 +18,15 @@ def materialised(spark: SparkSession, folder: str, split: str, variant: str,
     The variant is part of the path, so two ways to compute a feature never share a file.
     """
     path = f"{folder.rstrip('/')}/variant={variant}/split={split}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    if not written(spark, path):
         compute().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the path has ended: Spark then leaves an empty file as a mark."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(mark)
 
 
 def write_results_csv(df: DataFrame, path: str) -> None:

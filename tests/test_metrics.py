@@ -92,9 +92,32 @@ def test_one_class_group_is_left_out(spark):
     assert [(r.language, r.setting) for r in out] == [("a", "Seen")]
 
 
-def test_null_scores_are_ignored(spark):
+def test_rows_without_a_score_count_in_all_but_the_areas(spark):
     rows = ROWS + [(1, 0, None)]
-    assert m.metric_rows(frame(spark, rows)).first().n_samples == 8
+    row, counts = m.metric_rows(frame(spark, rows)).first(), m.confusion_counts(frame(spark, rows)).first()
+    assert (row.n_samples, row.n_machine) == (len(rows), counts.tp + counts.fn)
+    assert row.accuracy == pytest.approx((counts.tp + counts.tn) / len(rows))
+    assert row.roc_auc == m.metric_rows(frame(spark, ROWS)).first().roc_auc
+
+
+def test_no_rows_have_no_metrics(spark):
+    row = m.metric_rows(frame(spark, [])).first()
+    assert row.n_samples == 0 and row.accuracy is None and row.fnr is None
+
+
+def test_threshold_of_very_large_counts(spark, monkeypatch):
+    big = 5 * 10 ** 9
+    steps = spark.createDataFrame([(.9, 4 * 10 ** 9, 10, 4 * 10 ** 9, big), (.1, 4 * 10 ** 9, big, 4 * 10 ** 9, big)],
+                                  "threshold double, tp_at bigint, fp_at bigint, pos_all bigint, neg_all bigint")
+    monkeypatch.setattr(m, "score_steps", lambda *args: steps)
+    assert m.youden_threshold(frame(spark, ROWS)).first().threshold == .9
+
+
+def test_tables_by_list_refuse_what_is_not_listed(spark):
+    df = spark.createDataFrame([(0, 0), (1, 2)], "y int, pred int")
+    with pytest.raises(Exception, match="not listed"):
+        m.confusion_table(df, [0, 1]).collect()
+    assert sum(r.n for r in m.confusion_table(df).collect()) == 2 and m.confusion_table(df).count() == 9
 
 
 def test_undefined_metrics_are_zero(spark):

@@ -30,7 +30,7 @@ def test_ratio_weights(spark):
 
 
 @pytest.mark.parametrize("fit", [m.logistic(True, 30), m.linear_svm(10), m.random_forest(10, 4), m.boosted_trees(3, 3),
-                                 m.calibrated_svm(3, 10)])
+                                 m.boosted_trees(3, 3, ratio_weighted=True), m.calibrated_svm(3, 10)])
 def test_models_learn(spark, fit):
     df = rows(spark).persist()
     scored = m.scored(fit(df.where("split = 'train'")), df.where("split = 'ood'"), ["sample_id"])
@@ -74,3 +74,34 @@ def test_linear_contributions(spark):
     got = {r.term: r.contribution for r in m.linear_contributions(values, table, F.lit(3)).collect()}
     # a: values 2, 4, 0 with mean 2; b: values 3, 0, 0 with mean 1.
     assert got == pytest.approx({"a": 2 * 4 / 3, "b": 4 / 3})
+
+
+def test_permuting_a_feature_judges_every_row_again(spark):
+    """Counts after a permutation, from the changed predictions alone, equal those of all rows judged anew."""
+    df = rows(spark, 60).select("sample_id", "label", F.array(F.get("v", F.lit(0)), F.lit(0.0), F.get("v", F.lit(1))).alias("v"))
+    df = df.withColumn("features", array_to_vector("v"))
+    for model in (m.logistic(max_iter=30)(df), m.random_forest(5, 3)(df)):
+        got = {r.feature: r.importance for r in m.permutation_importance(model, df, ["a", "constant", "b"], rows_per_bucket=10 ** 6).collect()}
+        assert got["constant"] == 0
+        order = [r.sample_id for r in df.select("sample_id", m.hash_key("sample_id", 42).alias("k")).orderBy("k").collect()]
+        partner = dict(zip(order, order[1:] + order[:1]))
+        values = {r.sample_id: (r.label, list(r.v)) for r in df.collect()}
+        for slot, name in ((0, "a"), (2, "b")):
+            mixed = [(k, y, [values[partner[k]][1][j] if j == slot else x for j, x in enumerate(v)]) for k, (y, v) in values.items()]
+            again = spark.createDataFrame(mixed, "sample_id long, label int, v array<double>").withColumn("features", array_to_vector("v"))
+            f1 = [m.confusion_counts(m.scored(model, part, ["sample_id"])).select(m.count_metrics()["macro_f1"].alias("f")).first().f for part in (df, again)]
+            assert got[name] == pytest.approx(f1[0] - f1[1])
+
+
+def test_length_only_keeps_languages_of_one_class(spark):
+    data = [(i, "a", i % 2, float(i % 2) * 5 + 1) for i in range(40)] + [(100 + i, "b", 1, 2.0) for i in range(10)]
+    df = spark.createDataFrame(data, "sample_id long, language string, label int, n double")
+    got = {r.scope: r for r in m.length_only_accuracy(df, F.col("n")).collect()}
+    assert set(got) == {"all", "a", "b"} and got["a"].accuracy == 1.0
+    assert got["b"].n_test == 2 and got["b"].accuracy is None
+
+
+def test_clusters_of_separate_points(spark):
+    df = spark.createDataFrame([([float(x) + (i % 3) / 100],) for i in range(30) for x in (0, 10)], "v array<double>")
+    got = m.cluster_summary(df, "v", 2).collect()
+    assert sorted(r.n for r in got) == [30, 30] and sorted(round(r.centre[0]) for r in got) == [0, 10]

@@ -6,12 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from stylograin.catalog import all_sql
 from stylograin.catalog.tables import Tables
 from stylograin.functions.text import words
 from stylograin.operators import terms
 from stylograin.operators.trees import shape_features
 
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES = driver.queries()
 
 
 def plan(df):
@@ -34,12 +35,22 @@ def test_tree_features_cost_one_shuffle(spark, folder):
     assert text.count("Exchange hashpartitioning") == 1
 
 
-def test_vocabulary_costs_one_shuffle(spark, folder):
+def test_term_totals_cost_one_shuffle(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    text = plan(terms.vocabulary(docs, words(F.col("text")), 5, 100))
+    text = plan(terms.term_totals(docs, words(F.col("text"))))
     assert text.count("Exchange hashpartitioning") == 1 and "partial_count" in text
 
 
+@pytest.mark.parametrize("name", ["t05_vocabulary", "t06_idf", "t09_tfidf", "j04_vocabulary_lookup", "tr18_path_tfidf"])
+def test_vocabularies_are_not_cut_in_one_task(name, spark, folder):
+    limits = [int(n) for n in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", plan(QUERIES[name](spark, folder)))]
+    assert all(n <= 1000 for n in limits)
+
+
+def test_shares_read_the_table_once(spark, folder):
+    assert plan(QUERIES["a02_value_shares"](spark, folder)).count("FileScan") <= 2  # the kept counts, shown on either side
+
+
 def test_large_vocabulary_is_not_broadcast(spark, folder):
     docs = Tables(spark, folder).documents()
     vocab = terms.vocabulary(docs, words(F.col("code")))
@@ -47,7 +58,7 @@ def test_large_vocabulary_is_not_broadcast(spark, folder):
     assert "hint" not in counted._jdf.queryExecution().logical().toString().lower()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in SQL if not n.startswith(("ml", "s0", "s1"))))
+@pytest.mark.parametrize("name", sorted(n for n in all_sql() if not n.startswith(("ml", "s0", "s1"))))
 def test_no_cross_join_and_no_python(name, spark, folder):
     text = plan(QUERIES[name](spark, folder))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
