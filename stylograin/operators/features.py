@@ -7,19 +7,29 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stylograin.operators.profile import standard_scales
 from stylograin.operators.terms import vocabulary, with_idf
+from stylograin.session import scratch_path
 
 
-@F.udf(VectorUDT(), useArrow=True)
-def log_counts(counts):
-    """1 + ln(tf) for the terms present; Spark ML has no stage for it."""
-    return SparseVector(counts.size, counts.indices, 1.0 + np.log(counts.values))
+def with_log_counts(df: DataFrame, column: str) -> DataFrame:
+    """A column of sparse counts as 1 + ln(count), for the terms present.
+
+    Spark ML has no stage for it, and an expression can open a vector but not close it. The
+    opened vectors are written to the shared folder and read back as vectors: no Python, and
+    the texts before them are not computed again.
+    """
+    inside = F.unwrap_udt(column)
+    opened = F.struct(*[inside[f].alias(f) for f in ("type", "size", "indices")],
+                      F.transform(inside["values"], lambda n: 1.0 + F.log(n)).alias("values"))
+    path = scratch_path(df.sparkSession, "vectors")
+    df.withColumn(column, opened).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class TfidfVectors(Estimator):
@@ -61,7 +71,7 @@ class TfidfVectorsModel(Model):
         terms, idf = (self.terms, self.idf) if self.terms else ([""], [1.0])
         out = CountVectorizerModel.from_vocabulary(terms, self.tokens, "_tf").transform(df)
         if self.sublinear:
-            out = out.withColumn("_tf", log_counts("_tf"))
+            out = with_log_counts(out.drop(self.tokens), "_tf")
         weighed = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_w")
         last = "_n" if self.factors else self.output
         out = Normalizer(p=2.0, inputCol="_w", outputCol=last).transform(weighed.transform(out))

@@ -5,6 +5,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from stylograin.operators import models as m
+from stylograin.operators.features import TfidfVectors
+from stylograin.operators.terms import tfidf
 
 
 def rows(spark, n=300, seed=3):
@@ -105,3 +107,14 @@ def test_clusters_of_separate_points(spark):
     df = spark.createDataFrame([([float(x) + (i % 3) / 100],) for i in range(30) for x in (0, 10)], "v array<double>")
     got = m.cluster_summary(df, "v", 2).collect()
     assert sorted(r.n for r in got) == [30, 30] and sorted(round(r.centre[0]) for r in got) == [0, 10]
+
+
+def test_sublinear_vectors_equal_the_long_table_and_need_no_python(spark):
+    texts = ["a a a b", "b c", "c c c c d", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, code string").withColumn("tokens", F.filter(F.split("code", " "), lambda t: t != ""))
+    out = TfidfVectors("tokens", "features", 10, 1, sublinear=True).fit(df).transform(df)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    terms_in_order = TfidfVectors("tokens", "features", 10, 1).fit(df).terms
+    got = {(r.sample_id, terms_in_order[i]): v for r in out.collect() for i, v in zip(r.features.indices.tolist(), r.features.values.tolist())}
+    want = {(r.sample_id, r.term): r.weight for r in tfidf(df, df, F.col("tokens"), 1, 10, sublinear=True).collect()}
+    assert got == pytest.approx(want)
