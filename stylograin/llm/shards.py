@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -62,17 +63,17 @@ class Order:
 class Tokens:
     """16-bit ids of texts under a file of byte-pair ranks; pieces are remembered up to a bound."""
 
-    def __init__(self, ranks_path: str, pattern: str, remember: int = 1 << 18):
+    def __init__(self, ranks_path: str, pattern: str, remember: int = 1 << 17):
         import tiktoken
 
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding(uuid.uuid4().hex, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = np.uint16(max(ranks.values()) + 1).tobytes()
-        self.known, self.remember = {}, remember
+        self.known, self.before, self.remember = {}, {}, remember  # ``before``: what was known until ``known`` was begun anew
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
+        return array("H", self.encoding.encode_ordinary(text)).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """The text's ids and the end token."""
@@ -81,19 +82,20 @@ class Tokens:
         found = pieces("\n" + text)[1:]
         parts = list(map(self.known.get, found))
         if None in parts:
+            known, before = self.known, self.before
             for k, part in enumerate(parts):
                 if part is None:
                     piece = found[k]
-                    part = self.known.get(piece)
+                    part = known.get(piece) or before.get(piece)
                     if part is None:
                         if not TokenCounter.cuttable(piece):
                             return self._encode(text) + self.end
                         part = self._encode(piece if piece[:1] == "\n" else " " + piece)
-                        if len(piece) <= LONGEST_PIECE:
-                            if len(self.known) >= self.remember:
-                                self.known.clear()
-                            self.known[piece] = part
+                    if len(piece) <= LONGEST_PIECE:
+                        known[piece] = part
                     parts[k] = part
+            if len(known) >= self.remember:
+                self.known, self.before = {}, known
         parts.append(self.end)
         return b"".join(parts)[2:]  # without the line feed before the first word
 
