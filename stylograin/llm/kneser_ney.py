@@ -82,6 +82,15 @@ class Gathered:
             self.keys, self.counts = added_up(np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts]))
             self.open, self.size = [], 0
 
+    def by_range(self, bits: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+        """All keys by their first bits, one row per range that has any; counts up to ``most``."""
+        self.settle()
+        edges = np.searchsorted((self.keys >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+        full = np.flatnonzero(np.diff(edges)).tolist()
+        counts = self.counts if most is None else np.minimum(self.counts, most)
+        if full:
+            yield packed_rows(full, [self.keys[edges[p]:edges[p + 1]] for p in full], [counts[edges[p]:edges[p + 1]] for p in full])
+
 
 PACKED = "part int, keys binary, counts binary"
 
@@ -243,12 +252,10 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         held = Gathered()
         for batch in slices(batches, "text"):
             held.add(tokens(batch.column(0))[0])
-        held.settle()
-        part = (held.keys >> np.uint64(64 - bits)).astype(np.int64)
-        edges = np.searchsorted(part, np.arange(n_parts + 1))
-        full = np.flatnonzero(np.diff(edges)).tolist()
-        if full:
-            yield packed_rows(full, [held.keys[edges[p]:edges[p + 1]] for p in full], [held.counts[edges[p]:edges[p + 1]] for p in full])
+            if len(held.keys) >= GATHERED:
+                yield from held.by_range(bits)
+                held = Gathered()
+        yield from held.by_range(bits)
 
     def save_words(batches):
         part, words, counts = merged(batches)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stylograin.llm.common import mapped, mapped_array, mix, raw, save_array, shared_files, slices
-from stylograin.llm.kneser_ney import PACKED, Gathered, merged, packed_counts, packed_rows, unpacked_counts
+from stylograin.llm.kneser_ney import GATHERED, PACKED, Gathered, merged, packed_counts, unpacked_counts
 from stylograin.llm.wordhash import BASE, INVERSE, powers
 
 WINDOW = 50
@@ -359,18 +359,10 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
             new = np.ones(len(head), bool)
             new[1:] = (head[1:] != head[:-1]) | (row[1:] != row[:-1])
             held.add(head[new])
-            if len(held.keys) > 1 << 22:
-                yield given_out(held)
+            if len(held.keys) >= GATHERED:
+                yield from held.by_range(bits, 2)
                 held = Gathered()
-        held.settle()
-        if len(held.keys):
-            yield given_out(held)
-
-    def given_out(held):
-        held.settle()
-        edges = np.searchsorted((held.keys >> np.uint64(64 - bits)).astype(np.int64), np.arange(n_parts + 1))
-        full = np.flatnonzero(np.diff(edges)).tolist()
-        return packed_rows(full, [held.keys[edges[p]:edges[p + 1]] for p in full], [np.minimum(held.counts[edges[p]:edges[p + 1]], 2) for p in full])
+        yield from held.by_range(bits, 2)
 
     def save_heads(batches):
         part, heads, counts = merged(batches)
