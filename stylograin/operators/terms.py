@@ -25,16 +25,16 @@ def token_rows(df: DataFrame, tokens: Column, key: str = "sample_id") -> DataFra
 def term_totals(df: DataFrame, tokens: Column) -> DataFrame:
     """(term, tf, df): occurrences and samples per term, with a single shuffle.
 
-    A sample sorts its tokens and emits one row per distinct term, with the length of its
-    run. Both counts are added up inside a partition before the shuffle.
+    Every sample emits its tokens followed by its distinct tokens; the position tells
+    the two apart. Both counts are added up inside a partition before the shuffle. (One row
+    per distinct term, from runs of sorted tokens, is fewer rows, but finding the runs by
+    array functions took 3.7 times as long on character n-grams.)
     """
-    ordered = df.select(F.array_sort(tokens).alias("tokens")).where(F.size("tokens") > 0)
-    places = F.sequence(F.lit(0), F.size("tokens") - 1)
-    first = F.filter(places, lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
-    runs = ordered.select("tokens", first.alias("first"))
-    terms = F.transform("first", lambda at, k: F.struct(
-        F.get("tokens", at).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("tokens")) - at).alias("times")))
-    return runs.select(F.inline(terms)).groupBy("term").agg(F.sum("times").alias("tf"), F.count(F.lit(1)).alias("df"))
+    arrays = df.select(tokens.alias("tokens"))
+    both = arrays.select(F.size("tokens").alias("n"),
+                         F.posexplode(F.concat("tokens", F.array_distinct("tokens"))).alias("pos", "term"))
+    return both.groupBy("term").agg(F.count_if(F.col("pos") < F.col("n")).alias("tf"),
+                                    F.count_if(F.col("pos") >= F.col("n")).alias("df"))
 
 
 def vocabulary(df: DataFrame, tokens: Column, min_df: int = 1,
