@@ -45,9 +45,13 @@ class Vocabulary:
         self.blank_starts = not any(BLANK in x.lstrip(BLANK) for x in pieces)
         kept = set(plain)
         self.text = [p.id_to_piece(i).replace(BLANK, " ") if i in kept else " ⁇ " if i == self.unknown else "" for i in range(n)]
+        #: Bytes that are part of a character; one below 128 is a character of its own.
         self.byte_of = np.full(n, -1, np.int16)
         for byte, i in self.bytes.items():
-            self.byte_of[i] = byte
+            if byte < 128:
+                self.text[i] = chr(byte)
+            else:
+                self.byte_of[i] = byte
         self.leading_blank = p.normalize("a") != "a"
 
     @cached_property
