@@ -63,10 +63,15 @@ def nesting_tree(t: Tables):
   marks AS (SELECT sample_id, unnest(t) AS mark, generate_subscripts(t, 1) - 1 AS pos FROM found),
   named AS (SELECT sample_id, pos, CASE WHEN regexp_matches(mark, '^[)}\]]') THEN -1 ELSE 1 END AS step,
     CASE WHEN regexp_matches(mark, '^[\p{L}\p{N}_]') THEN regexp_extract(mark, '^[\p{L}\p{N}_]+') ELSE right(mark, 1) END AS type FROM marks),
-  placed AS (SELECT *, sum(step) OVER (PARTITION BY sample_id ORDER BY pos) - CASE WHEN step = 1 THEN 1 ELSE 0 END AS depth FROM named)
-  SELECT sample_id, pos::INTEGER AS node_id, depth::INTEGER AS depth, type FROM placed WHERE step = 1""")
+  placed AS (SELECT *, sum(step) OVER (PARTITION BY sample_id ORDER BY pos) - CASE WHEN step = 1 THEN 1 ELSE 0 END AS depth FROM named),
+  opened AS (SELECT sample_id, pos, type, depth, depth - 1 AS above FROM placed WHERE step = 1),
+  linked AS (SELECT c.sample_id, c.pos, c.type, c.depth, p.pos AS parent, p.type AS parent_type FROM opened c
+    ASOF LEFT JOIN opened p ON c.sample_id = p.sample_id AND c.above = p.depth AND c.pos > p.pos),
+  kids AS (SELECT sample_id, parent, count(*) AS n FROM linked WHERE parent IS NOT NULL GROUP BY 1, 2)
+  SELECT l.sample_id, l.pos::INTEGER AS node_id, l.parent::INTEGER AS parent_id, l.depth::INTEGER AS depth, l.type, l.parent_type,
+    coalesce(n, 0)::INTEGER AS n_children FROM linked l LEFT JOIN kids k ON k.sample_id = l.sample_id AND k.parent = l.pos""")
 def bracket_tree(t: Tables):
-    return m.nest(m.bracket_marks(t.documents(), "code")).select("sample_id", "node_id", "depth", "type")
+    return m.nest(m.bracket_marks(t.documents(), "code")).select("sample_id", "node_id", "parent_id", "depth", "type", "parent_type", "n_children")
 
 
 @query("tr2_missing_tree_as_zero", f"""WITH {SHAPE_SQL}, {PAGES_SQL} SELECT p.sample_id, p.language,
