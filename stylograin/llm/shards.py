@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stylograin.llm.common import SortedArrays, mapped, mix, saved_sorted, slices, stored
-from stylograin.llm.token_counts import LONGEST_PIECE, TokenCounter, pieces
 
 #: Ends each record; as one 16-bit number it also shows a reader that it is in step.
 END_OF_RECORD = "\r\n"
@@ -61,43 +60,23 @@ class Order:
 
 
 class Tokens:
-    """16-bit ids of texts under a file of byte-pair ranks; pieces are remembered up to a bound."""
+    """16-bit ids of texts under a file of byte-pair ranks; special tokens' strings are ordinary text."""
 
-    def __init__(self, ranks_path: str, pattern: str, remember: int = 1 << 17):
+    def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
 
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding(uuid.uuid4().hex, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = np.uint16(max(ranks.values()) + 1).tobytes()
-        self.known, self.before, self.remember = {}, {}, remember  # ``before``: what was known until ``known`` was begun anew
 
-    def _encode(self, text: str) -> bytes:
-        return array("H", self.encoding.encode_ordinary(text)).tobytes()
+    def count(self, text: str | None) -> int:
+        """Tokens of the text and its end."""
+        return len(self.encoding.encode_ordinary(text or "")) + 1
 
     def ids(self, text: str | None) -> bytes:
         """The text's ids and the end token."""
-        if not text:
-            return self.end
-        found = pieces("\n" + text)[1:]
-        parts = list(map(self.known.get, found))
-        if None in parts:
-            known, before = self.known, self.before
-            for k, part in enumerate(parts):
-                if part is None:
-                    piece = found[k]
-                    part = known.get(piece) or before.get(piece)
-                    if part is None:
-                        if not TokenCounter.cuttable(piece):
-                            return self._encode(text) + self.end
-                        part = self._encode(piece if piece[:1] == "\n" else " " + piece)
-                    if len(piece) <= LONGEST_PIECE:
-                        known[piece] = part
-                    parts[k] = part
-            if len(known) >= self.remember:
-                self.known, self.before = {}, known
-        parts.append(self.end)
-        return b"".join(parts)[2:]  # without the line feed before the first word
+        return array("H", self.encoding.encode_ordinary(text or "")).tobytes() + self.end
 
 
 _held: dict = {}
@@ -116,7 +95,7 @@ def layout(docs: DataFrame, ranks_path: str, pattern: str, *, key: str, text: st
     def count(batches):
         tokens = _tokens(ranks_path, pattern)
         for batch in slices(batches, "text"):
-            n = [len(tokens.ids(t)) // 2 for t in batch.column("text").to_pylist()]
+            n = [tokens.count(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["name", "key", "n"])
 
     key_type = docs.schema[key].dataType.simpleString()
