@@ -1,13 +1,14 @@
-"""An interpolated modified Kneser-Ney model of word pairs, counted in Spark and read from sorted arrays.
-
-Words are 64-bit hashes. Counting goes in three exchanges, each of packed sorted arrays
-that a task has already added up: words by range of hash; pairs by the range of their first
-word, where those of frequent first words are dealt out by their second; and, from the
-distinct pairs, the number of different words before each word. Every range is added up by
-one task, which writes its arrays to the shared folder; scoring maps them into memory.
-
-The model has order 2. The exchange and the arrays of a third order would be twice as large
-again, as nearly every run of three words is new.
+"""An interpolated modified Kneser-Ney model of any order, counted in Spark and read from sorted arrays.
+
+Words are 64-bit hashes, numbered by their place among all words. A run of k words (a gram)
+is the number of its first k - 1 words, its context, and the number of its last word; its
+own number is its place among all grams of k words. Each order takes an exchange of packed
+sorted arrays that a task has already added up: by scrambled context, so that a context's
+grams are together, where those of frequent contexts are dealt out by their last word too.
+From the distinct grams, a further exchange counts the different words before each shorter
+gram, which are the counts of the lower orders; a gram at the start of a text has no word
+before it and keeps its own count. Every range is added up by one task, which writes its
+arrays to the shared folder; scoring maps them into memory.
 """
 
 from __future__ import annotations
@@ -21,13 +22,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylograin.llm.common import mapped, mapped_array, raw, save_array, shared_files, slices, stored
+from stylograin.llm.common import mapped, mapped_array, mix, raw, save_array, shared_files, slices, stored
 from stylograin.llm.wordhash import LOWER, hashes, spans
 
-START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+END = np.uint64(0x13198A2E03707344)
 PART_BYTES = 8 << 20
 GATHERED = 1 << 22
-SECOND_BITS = 40  # of the second word's number, below the first word's number within its part
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -134,14 +134,38 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def before(found: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The token before each token; a text's first has the start."""
-    out = np.empty_like(found)
-    out[1:] = found[:-1]
-    out[begin[:-1]] = START
+def after(numbers: np.ndarray, begin: np.ndarray, start: int) -> np.ndarray:
+    """The number that stands before each token; a text's first has ``start``."""
+    out = np.empty_like(numbers)
+    out[1:] = numbers[:-1]
+    out[begin[:-1]] = start
     return out
 
 
+def by_part(part: np.ndarray, key: np.ndarray, n_parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part and its rows in order of their keys."""
+    if len(part):
+        order = np.argsort(key)
+        order = order[np.argsort(part[order].astype(np.uint16 if n_parts <= 1 << 16 else np.int64), kind="stable")]
+        sorted_parts = part[order]
+        edges = np.flatnonzero(sorted_parts[1:] != sorted_parts[:-1]) + 1
+        yield from zip(sorted_parts[np.concatenate([[0], edges])].tolist(), np.split(order, edges))
+
+
+@dataclass
+class Level:
+    """The grams of one length, by part."""
+
+    hot: np.ndarray  # numbers of frequent contexts, in order
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of each part's first gram
+    hot_kinds: np.ndarray = field(default_factory=lambda: np.zeros((0, 4)))  # of each: sum of counts, grams with count 1, 2, 3 or more
+    discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
+
+    @property
+    def size(self) -> int:
+        return int(self.starts[-1])
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the numbers that belong to no part."""
@@ -150,11 +174,8 @@ class Model:
     bits: int
     sizes: np.ndarray  # distinct words of each part
     total: int  # training tokens
-    hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # frequent first words, by hash
-    hot_counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    hot_weights: np.ndarray = field(default_factory=lambda: np.empty(0))
-    pairs: int = 0
-    pair_discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    order: int = 2
+    levels: dict[int, Level] = field(default_factory=dict)  # by length of gram, from 2
     word_discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
     word_weight: float = 1.0  # what discounting leaves to the uniform distribution
 
@@ -176,6 +197,15 @@ class Model:
     def vocabulary(self) -> int:
         return int(self.starts[-1])
 
+    @property
+    def pairs(self) -> int:
+        return self.levels[2].size if 2 in self.levels else 0
+
+    @property
+    def word_bits(self) -> np.uint64:
+        """Bits of a word's number, below the context's number in a key."""
+        return np.uint64(self.vocabulary.bit_length())
+
     def array(self, name: str) -> np.ndarray:
         if name not in self.arrays:
             self.arrays[name] = mapped_array(self.folder, name)
@@ -205,14 +235,103 @@ class Model:
             out[at] = self.array(f"{name}-{part}")[numbers[at] - self.starts[part]]
         return out
 
-    def pair_keys(self, first: np.ndarray, first_number: np.ndarray, second: np.ndarray, second_number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Part and key of pairs of known words: frequent first words have parts of their own, by their second word."""
-        at = np.minimum(np.searchsorted(self.hot, first), max(len(self.hot) - 1, 0))
-        hot = self.hot[at] == first if len(self.hot) else np.zeros(len(first), bool)
-        own = self.part_of(first)
-        part = np.where(hot, self.n_parts + self.part_of(second), own)
-        local = np.where(hot, at, first_number - self.starts[np.minimum(own, self.n_parts - 1)])
-        return part, local.astype(np.uint64) << np.uint64(SECOND_BITS) | second_number.astype(np.uint64)
+    def hot_at(self, k: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each context is a frequent one, and its place among them."""
+        hot = self.levels[k].hot
+        if not len(hot):
+            return np.zeros(len(context), bool), np.zeros(len(context), np.int64)
+        at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+        return hot[at] == context, at
+
+    def keys(self, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Part and key of grams of known contexts and words."""
+        key = context.astype(np.uint64) << self.word_bits | word.astype(np.uint64)
+        return self.part_of(mix(np.where(self.hot_at(k, context)[0], key, context.astype(np.uint64)))), key
+
+    def apart(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts and words of keys."""
+        return (keys >> self.word_bits).astype(np.int64), (keys & ((np.uint64(1) << self.word_bits) - np.uint64(1))).astype(np.int64)
+
+    def grams(self, k: int, context: np.ndarray, word: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each gram, or -1 (also where context or word is -1), and its count (0 unless ``counted``)."""
+        level = self.levels[k]
+        numbers, counts = np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64)
+        known = np.flatnonzero((context >= 0) & (word >= 0))
+        part, key = self.keys(k, context[known], word[known])
+        for p, rows in by_part(part, key, self.n_parts):
+            if level.starts[p + 1] == level.starts[p]:
+                continue
+            held, wanted = self.array(f"grams{k}-{p}"), key[rows]
+            at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+            hit = held[at] == wanted
+            at, rows = at[hit], known[rows[hit]]
+            numbers[rows] = level.starts[p] + at
+            if counted:
+                counts[rows] = self.counts(f"n{k}-{p}", at)
+        return numbers, counts
+
+    def counts(self, name: str, at: np.ndarray | None = None) -> np.ndarray:
+        few = self.array(name)
+        n = (few if at is None else few[at]).astype(np.int64)
+        large = np.flatnonzero(n == 255)
+        if len(large):
+            many = self.array(f"{name}-many")
+            n[large] = many[1][np.searchsorted(many[0], large if at is None else at[large])]
+        return n
+
+    def save_counts(self, name: str, counts: np.ndarray) -> None:
+        """Counts as bytes, and those from 255 apart: their places and counts."""
+        save_array(self.folder, name, np.minimum(counts, 255).astype(np.uint8))
+        many = np.flatnonzero(counts >= 255)
+        save_array(self.folder, f"{name}-many", np.stack([many, counts[many]]).astype(np.int64))
+
+    def tails(self, k: int, numbers: np.ndarray) -> np.ndarray:
+        """The number of the last k - 1 words of each of the sorted grams of k words."""
+        numbers, back = np.unique(numbers, return_inverse=True)
+        starts = self.levels[k].starts
+        out = np.empty(len(numbers), np.int64)
+        part_of = np.searchsorted(starts, numbers, "right") - 1
+        for p in np.unique(part_of).tolist():
+            a, b = np.searchsorted(part_of, [p, p + 1])
+            at = numbers[a:b] - starts[p]
+            out[a:b] = self.apart(self.array(f"grams2-{p}")[at])[1] if k == 2 else self.array(f"tails{k}-{p}")[at]
+        return out[back]
+
+    def save_contexts(self, k: int, part: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Write a part's final counts and contexts; returns the kinds of the frequent contexts.
+
+        A context that is followed once needs no row: every context of the training texts is followed.
+        """
+        self.save_counts(f"n{k}-{part}", counts)
+        context = self.apart(keys)[0]
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        context = context[first]
+        kinds = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
+        hot, at = self.hot_at(k, context)
+        kept = ~hot & (kinds[:, 0] > 1)
+        save_array(self.folder, f"contexts{k}-{part}", context[kept])
+        save_array(self.folder, f"kinds{k}-{part}", kinds[kept].astype(np.uint32))
+        out = np.zeros((len(self.levels[k].hot), 4), np.int64)
+        out[at[hot]] = kinds[hot]
+        return out
+
+    def contexts(self, k: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each context the sum of its grams' counts, and the weight of the lower order (1 and 1 where it is -1)."""
+        level = self.levels[k]
+        asked, back = np.unique(context, return_inverse=True)
+        kinds = np.tile(np.array([1.0, 1.0, 0.0, 0.0]), (len(asked), 1))
+        hot, at = self.hot_at(k, asked)
+        kinds[hot] = level.hot_kinds[at[hot]]
+        other = np.flatnonzero(~hot & (asked >= 0))
+        for p, rows in by_part(self.part_of(mix(asked[other].astype(np.uint64))), asked[other], self.n_parts):
+            held, wanted = self.array(f"contexts{k}-{p}"), asked[other[rows]]
+            if len(held):
+                i = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+                hit = held[i] == wanted
+                kinds[other[rows[hit]]] = self.array(f"kinds{k}-{p}")[i[hit]]
+        weight = kinds[:, 1:] @ level.discounts[1:] / kinds[:, 0]
+        weight[asked < 0] = 1.0
+        return kinds[back, 0], weight[back]
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -236,11 +355,50 @@ def _exchanged(df: DataFrame, n_parts: int) -> DataFrame:
     return df.repartitionById(n_parts, F.col("part"))
 
 
-def train(texts: DataFrame, text: str = "text") -> Model:
+INFO = ", level int, size bigint, many array<bigint>, times array<bigint>, hot array<bigint>"
+INFO_NAMES = ["part", "keys", "counts", "level", "size", "many", "times", "hot"]
+
+
+def _info_row(part: int, level: int, size: int, many: np.ndarray | None = None,
+              times_: np.ndarray | None = None, hot: np.ndarray | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([level], pa.int32()), pa.array([size], pa.int64()),
+         *[pa.array([None if x is None else x.ravel().tolist()], pa.list_(pa.int64())) for x in (many, times_, hot)]], names=INFO_NAMES)
+
+
+def _with_info(made: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*made.columns, pa.nulls(made.num_rows, pa.int32()), pa.nulls(made.num_rows, pa.int64()),
+                                       *[pa.nulls(made.num_rows, pa.list_(pa.int64())) for _ in range(3)]], names=INFO_NAMES)
+
+
+def _without_info(batches: Iterator[pa.RecordBatch], infos: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that hold keys; the others are put into ``infos``."""
+    for batch in batches:
+        infos.append(batch.filter(batch.column(1).is_null()))
+        yield batch.filter(batch.column(1).is_valid())
+
+
+def _times(infos: DataFrame) -> np.ndarray:
+    return np.array(infos.select(*[F.coalesce(F.sum(F.col("times")[k]), F.lit(0)) for k in range(5)]).first(), np.int64)
+
+
+def _settle(infos: DataFrame, level: Level) -> None:
+    """Set the discounts and frequent contexts of a level from the rows of its parts."""
+    hot = np.zeros(4 * len(level.hot))
+    for r in infos.select(F.posexplode("hot").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        hot[r.at] = r.n
+    level.hot_kinds, level.discounts = hot.reshape(-1, 4), discounts(_times(infos))
+
+
+def train(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
     """Count the texts and write the model's arrays; whole texts, all words, no cut-off.
 
-    A null or empty text is an end alone. Without texts every word is unknown.
+    ``order`` is the number of words of the longest grams. A null or empty text is an end
+    alone. Without texts every word is unknown. A context's number and a word's number must
+    fit into 64 bits together; if they do not, training fails.
     """
+    if order < 2:
+        raise ValueError(f"the order of the model must be at least 2, not {order}")
     spark = texts.sparkSession
     folder = shared_files(spark, "model")
     texts = texts.select(F.col(text).alias("text"))
@@ -265,7 +423,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         save_array(folder, f"counts-{part}", counts)
         many = np.argsort(-counts, kind="stable")[:16]  # a part holds eight frequent words on average
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [len(words)], "total": [int(counts.sum())],
-                                          "many": pa.array([words[many].view(np.int64).tolist()], pa.list_(pa.int64())),
+                                          "many": pa.array([many.tolist()], pa.list_(pa.int64())),
                                           "counts": pa.array([counts[many].tolist()], pa.list_(pa.int64()))})
 
     rows = mapped(_exchanged(mapped(texts, count_words, PACKED), n_parts), save_words,
@@ -273,102 +431,124 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     sizes = np.zeros(n_parts, np.int64)
     for r in rows:
         sizes[r.part] = r.n
-    model = Model(folder, bits, sizes, sum(r.total for r in rows))
-    n_texts = texts.count()
-    hot = {int(START): n_texts}
-    for r in rows:
-        hot.update((w & (1 << 64) - 1, n) for w, n in zip(r.many, r.counts) if n > model.total / (8 * n_parts))
-    model.hot = np.array(sorted(hot), np.uint64)
-    model.hot_counts = np.array([hot[w] for w in sorted(hot)], np.int64)
+    model = Model(folder, bits, sizes, sum(r.total for r in rows), order)
     if not rows:
         return model
-    counting = model
+    least_hot = model.total // (8 * n_parts)
+    hot = [model.vocabulary]  # the start goes by the number after all words
+    for r in rows:
+        hot += [int(model.starts[r.part]) + w for w, n in zip(r.many, r.counts) if n > least_hot]
+    empty = [bytearray(packed(np.empty(0, np.uint64))), bytearray(packed_counts(np.empty(0, np.int64)))]
+    for k in range(2, order + 1):
+        n_contexts = model.levels[k - 1].size if k > 2 else model.vocabulary + 1
+        if n_contexts.bit_length() + int(model.word_bits) > 64:
+            raise ValueError(f"{n_contexts} contexts and {model.vocabulary} words do not fit into 64 bits")
+        model.levels[k] = Level(np.array(sorted(hot), np.int64))
+        made = mapped(_exchanged(mapped(texts, _count_grams(model, k), PACKED), n_parts), _save_grams(model, k, least_hot), PACKED + INFO)
+        if k > 2:  # parts that hold starts of texts alone get no suffixes
+            every = [(p, *empty) for p in np.flatnonzero(np.diff(model.levels[k - 1].starts)).tolist()]
+            made = made.unionByName(spark.createDataFrame(every, PACKED), allowMissingColumns=True)
+        infos = stored(mapped(_exchanged(made, n_parts), _save_lower(model, k - 1), PACKED + INFO), "grams")
+        in_part, hot = np.zeros(n_parts, np.int64), []
+        sized = infos.where(F.col("level") == k).select("part", "size", "many").collect()
+        for r in sized:
+            in_part[r.part] = r.size
+        model.levels[k].starts = np.concatenate([[0], np.cumsum(in_part)])
+        for r in sized:
+            hot += [int(model.levels[k].starts[r.part]) + i for i in r.many]
+        if k == 2:
+            word_times = _times(infos.where("level = 1"))
+        else:
+            _settle(infos.where(F.col("level") == k - 1), model.levels[k - 1])
+        if k == order:
+            _settle(infos.where(F.col("level") == k), model.levels[k])
+    model.word_discounts = discounts(word_times)
+    model.word_weight = float(word_times[[0, 1, 4]] @ model.word_discounts[1:] / model.pairs)
+    return model
 
-    def count_pairs(batches):
+
+def _count_grams(model: Model, k: int):
+    """Count the grams of k words of texts, by part: the part does not fit into the key, so each is added up on its own."""
+    def count(batches):
         parts: dict[int, list] = {}
 
         def flush():
-            """Pairs by part: the part does not fit into the key, so each part is added up on its own."""
-            for p, found in parts.items():
-                yield p, *added_up(np.concatenate(found))
+            done = [(p, *added_up(np.concatenate(found))) for p, found in parts.items()]
             parts.clear()
+            if done:
+                yield packed_rows([p for p, _, _ in done], [x for _, x, _ in done], [n for _, _, n in done])
 
         size = 0
         for batch in slices(batches, "text"):
             found, begin = tokens(batch.column(0))
             known, at = np.unique(found, return_inverse=True)
-            number = counting.numbers(known)[at]
-            first = before(found, begin)
-            first_number = np.empty_like(number)
-            first_number[1:] = number[:-1]
-            first_number[begin[:-1]] = 0  # the start is a frequent first word and goes by its place among them
-            part, key = counting.pair_keys(first, first_number, found, number)
-            order = np.argsort(part, kind="stable")
-            part, key = part[order], key[order]
-            full, edges = np.unique(part, return_index=True)
-            for p, keys in zip(full.tolist(), np.split(key, edges[1:])):
-                parts.setdefault(p, []).append(keys)
+            word = model.numbers(known)[at]
+            context = after(word, begin, model.vocabulary)
+            for lower in range(2, k):
+                context = after(model.grams(lower, context, word)[0], begin, -1)
+            whole = context >= 0  # a text's first words have fewer before them
+            part, key = model.keys(k, context[whole], word[whole])
+            for p, rows in by_part(part, key, model.n_parts):
+                parts.setdefault(p, []).append(key[rows])
             size += len(key)
             if size >= GATHERED:
-                done = list(flush())
-                yield packed_rows([p for p, _, _ in done], [k for _, k, _ in done], [c for _, _, c in done])
+                yield from flush()
                 size = 0
-        done = list(flush())
-        if done:
-            yield packed_rows([p for p, _, _ in done], [k for _, k, _ in done], [c for _, _, c in done])
+        yield from flush()
+
+    return count
+
 
-    def save_pairs(batches):
+def _save_grams(model: Model, k: int, least_hot: int):
+    """Write the distinct grams of a part, and give out what is left of them without their first word."""
+    def save(batches):
         part, keys, counts = merged(batches)
         if part is None:
             return
-        save_array(folder, f"pairs-{part}", keys)
-        save_array(folder, f"few-{part}", np.minimum(counts, 255).astype(np.uint8))
-        many = np.flatnonzero(counts >= 255)
-        save_array(folder, f"many-at-{part}", many)
-        save_array(folder, f"many-{part}", counts[many])
-        first = (keys >> np.uint64(SECOND_BITS)).astype(np.int64)
-        n = len(counting.hot) if part >= n_parts else int(sizes[part])
-        kinds = np.stack([np.bincount(first[which], minlength=n) for which in (counts == 1, counts == 2, counts >= 3)], 1)
-        if part < n_parts:
-            save_array(folder, f"followers-{part}", kinds.astype(np.uint32))
-            hot_kinds = []
+        save_array(model.folder, f"grams{k}-{part}", keys)
+        context, word = model.apart(keys)
+        if k == 2:
+            seconds, n_before = added_up(word.astype(np.uint64))
+            edges = np.searchsorted(seconds, model.starts.astype(np.uint64))
+            given = [(p, seconds[edges[p]:edges[p + 1]], n_before[edges[p]:edges[p + 1]]) for p in np.flatnonzero(np.diff(edges)).tolist()]
         else:
-            hot_kinds = kinds.ravel().tolist()
-        seconds, n_before = added_up(keys & np.uint64((1 << SECOND_BITS) - 1))
-        edges = np.searchsorted(seconds, counting.starts.astype(np.uint64))
-        full = np.flatnonzero(np.diff(edges)).tolist()
-        made = packed_rows(full, [seconds[edges[p]:edges[p + 1]] for p in full], [n_before[edges[p]:edges[p + 1]] for p in full])
-        yield pa.RecordBatch.from_arrays([*made.columns, pa.nulls(len(full), pa.list_(pa.int64())), pa.nulls(len(full), pa.list_(pa.int64()))],
-                                         names=["part", "keys", "counts", "times", "hot"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
-                                          pa.array([times(counts).tolist()], pa.list_(pa.int64())), pa.array([hot_kinds], pa.list_(pa.int64()))],
-                                         names=["part", "keys", "counts", "times", "hot"])
-
-    def save_before(batches):
-        part, numbers, counts = merged(batches)
+            tail = model.tails(k - 1, context)
+            suffix_part, suffix = model.keys(k - 1, tail, word)
+            given = [(p, *added_up(suffix[rows])) for p, rows in by_part(suffix_part, suffix, model.n_parts)]
+            if k < model.order:
+                save_array(model.folder, f"tails{k}-{part}", model.grams(k - 1, tail, word)[0])
+        for some in range(0, len(given), 256):
+            yield _with_info(packed_rows(*map(list, zip(*given[some:some + 256]))))
+        many = np.flatnonzero(counts > least_hot)
+        if k == model.order:
+            yield _info_row(part, k, len(keys), many, times(counts), model.save_contexts(k, part, keys, counts))
+        else:
+            model.save_counts(f"raw{k}-{part}", counts)
+            yield _info_row(part, k, len(keys), many)
+
+    return save
+
+
+def _save_lower(model: Model, k: int):
+    """Write the number of different words before each word or gram of a part as its count; pass on what the grams' parts say."""
+    def save(batches):
+        infos: list[pa.RecordBatch] = []
+        part, suffix, n_before = merged(_without_info(batches, infos))
+        yield from infos
         if part is None:
             return
-        dense = np.zeros(sizes[part], np.int64)
-        dense[numbers.astype(np.int64) - counting.starts[part]] = counts
-        save_array(folder, f"before-{part}", dense)
-        yield pa.RecordBatch.from_pydict({"times": pa.array([times(dense).tolist()], pa.list_(pa.int64()))})
-
-    pairs = stored(mapped(_exchanged(mapped(texts, count_pairs, PACKED), 2 * n_parts), save_pairs,
-                          PACKED + ", times array<bigint>, hot array<bigint>"), "pairs")
-    pair_times = np.zeros(5, np.int64)
-    sums = pairs.where("times IS NOT NULL").select(*[F.sum(F.col("times")[k]) for k in range(5)]).first()
-    pair_times += np.array(sums, np.int64)
-    hot_sums = (pairs.where("hot IS NOT NULL").select(F.posexplode("hot").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect())
-    hot_kinds = np.zeros(3 * len(model.hot), np.int64)
-    for r in hot_sums:
-        hot_kinds[r.at] = r.n
-    word_rows = mapped(_exchanged(pairs.where("part IS NOT NULL").select("part", "keys", "counts"), n_parts), save_before, "times array<bigint>")
-    word_times = np.array(word_rows.select(*[F.sum(F.col("times")[k]) for k in range(5)]).first(), np.int64)
-    model.pair_discounts, model.word_discounts = discounts(pair_times), discounts(word_times)
-    model.pairs = int(pair_times[[0, 1, 4]].sum())
-    model.hot_weights = hot_kinds.reshape(-1, 3) @ model.pair_discounts[1:] / model.hot_counts
-    model.word_weight = float(word_times[[0, 1, 4]] @ model.word_discounts[1:] / model.pairs)
-    return model
+        if k == 1:
+            counts = np.zeros(model.sizes[part], np.int64)
+            counts[suffix.astype(np.int64) - model.starts[part]] = n_before
+            save_array(model.folder, f"before-{part}", counts)
+            yield _info_row(part, k, len(counts), times_=times(counts))
+        else:
+            keys = np.array(mapped_array(model.folder, f"grams{k}-{part}"))
+            counts = model.counts(f"raw{k}-{part}")  # a gram at the start of a text has none before it and keeps these
+            counts[np.searchsorted(keys, suffix)] = n_before
+            yield _info_row(part, k, len(keys), times_=times(counts), hot=model.save_contexts(k, part, keys, counts))
+
+    return save
 
 
 class Scorer:
@@ -387,59 +567,17 @@ class Scorer:
         known, at = np.unique(found, return_inverse=True)
         number, part_of = m.numbers(known), m.part_of(known)
         count = m.values("counts", number, part_of, np.int64)
-        word = self.word_probabilities(m.values("before", number, part_of, np.int64))[at]
-        discounted, weight = np.zeros(len(found)), np.ones(len(found))
-        if m.total:
-            contexts = np.zeros(len(known))
-            for part in np.unique(part_of[number >= 0]).tolist():
-                held = f"followers-{part}"
-                which = (number >= 0) & (part_of == part)
-                kinds = self.followers(held)[number[which] - m.starts[part]]
-                contexts[which] = kinds @ m.pair_discounts[1:]
-            first = before(found, begin)
-            first_number, first_count, context = (np.empty(len(found), x.dtype) for x in (number, count, contexts))
-            for to, x in ((first_number, number), (first_count, count), (context, contexts)):
-                to[1:] = x[at][:-1]
-            hot_at = np.minimum(np.searchsorted(m.hot, first), len(m.hot) - 1)
-            hot = m.hot[hot_at] == first
-            first_number[begin[:-1]] = 0
-            first_count = np.where(hot, m.hot_counts[hot_at], first_count)
-            usable = hot | (first_number >= 0) & (first_count > 0)
-            weight = np.where(hot, m.hot_weights[hot_at], np.divide(context, first_count, out=np.ones(len(found)), where=first_count > 0))
-            weight[~usable] = 1.0
-            weight[(first == END)] = 1.0
-            both = np.flatnonzero(usable & (number[at] >= 0))
-            part, key = m.pair_keys(first[both], first_number[both], found[both], number[at][both])
-            n = self.pair_counts(part, key)
-            discounted[both] = np.maximum(n - m.pair_discounts[np.minimum(n, 3)], 0) / first_count[both]
-        per_token = np.log10(discounted + weight * word)
+        probability = self.word_probabilities(m.values("before", number, part_of, np.int64))[at]
+        word = number[at]
+        context = after(word, begin, m.vocabulary)
+        for k, level in m.levels.items():
+            gram, n = m.grams(k, context, word, True)
+            total, weight = m.contexts(k, context)
+            probability = np.maximum(n - level.discounts[np.minimum(n, 3)], 0) / total + weight * probability
+            context = after(gram, begin, -1)
         base = np.log10((count[at] + 1.0) / (m.total + 1.0 * (m.vocabulary + 1)))
         return {"n_tokens": np.diff(begin), "n_known": np.add.reduceat((count > 0)[at].astype(np.int64), begin[:-1]),
-                "base_score": np.add.reduceat(base, begin[:-1]), "score": np.add.reduceat(per_token, begin[:-1])}
-
-    def followers(self, name: str) -> np.ndarray:
-        try:
-            return self.m.array(name)
-        except FileNotFoundError:  # all first words of the part are frequent ones
-            part = int(name.rsplit("-", 1)[1])
-            return np.zeros((int(self.m.sizes[part]), 3), np.uint32)
-
-    def pair_counts(self, part: np.ndarray, key: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(part), np.int64)
-        order = np.lexsort([key, part])
-        full, edges = np.unique(part[order], return_index=True)
-        for p, rows in zip(full.tolist(), np.split(order, edges[1:])):
-            try:
-                held, few, many_at, many = (self.m.array(f"{x}-{p}") for x in ("pairs", "few", "many-at", "many"))
-            except FileNotFoundError:  # no training pair falls there
-                continue
-            wanted = key[rows]
-            at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
-            n = np.where(held[at] == wanted, few[at], 0).astype(np.int64)
-            large = np.flatnonzero(n == 255)
-            n[large] = many[np.searchsorted(many_at, at[large])]
-            out[rows] = n
-        return out
+                "base_score": np.add.reduceat(base, begin[:-1]), "score": np.add.reduceat(np.log10(probability), begin[:-1])}
 
 
 _held: dict = {}

@@ -167,9 +167,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_language_model")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of every document under a model of the documents that are not held out."""
+    """Scores of every document under a model of three words of the documents that are not held out."""
     docs = documents(spark, folder).select("doc_id", "text").withColumn("held_out", kneser_ney.held_out("doc_id"))
-    model = kneser_ney.train(docs.where("NOT held_out"))
+    model = kneser_ney.train(docs.where("NOT held_out"), order=3)
     return kneser_ney.with_scores(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
                                                       "base_score", "score")
 

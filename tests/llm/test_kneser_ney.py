@@ -115,3 +115,64 @@ def test_perplexity_beats_the_word_model_on_held_out_texts(spark, folder):
     scored = kn.with_scores(docs, kn.train(docs.where("NOT held_out"))).where("held_out")
     row = scored.agg(F.sum("score"), F.sum("base_score")).first()
     assert row[0] > row[1]
+
+
+class BruteOfOrder(Brute):
+    """Grams as tuples; a text starts with one <s>, and grams that begin with it keep their own counts in the lower orders."""
+
+    def __init__(self, texts, order):
+        super().__init__(texts)
+        rows = [("<s>", *self.tokens(t)) for t in texts]
+        raw = {k: Counter(r[i:i + k] for r in rows for i in range(len(r) - k + 1)) for k in range(2, order + 1)}
+        self.counts = {order: raw[order]}
+        for k in range(2, order):
+            self.counts[k] = Counter(g[1:] for g in raw[k + 1])
+            self.counts[k].update({g: n for g, n in raw[k].items() if g[0] == "<s>"})
+        self.d = {k: self.discounts(c) for k, c in self.counts.items()}
+        self.sums, self.left = Counter(), defaultdict(float)
+        for k, c in self.counts.items():
+            for g, n in c.items():
+                self.sums[g[:-1]] += n
+                self.left[g[:-1]] += self.d[k][min(n, 3)]
+        self.order = order
+
+    def gram(self, w, context):
+        lower = self.gram(w, context[1:]) if context else 0
+        if not context:
+            return self.word(w)
+        if not self.sums[context]:
+            return lower
+        k, n = len(context) + 1, self.counts[len(context) + 1][(*context, w)]
+        return max(n - self.d[k][min(n, 3)], 0) / self.sums[context] + self.left[context] / self.sums[context] * lower
+
+    def score(self, text):
+        t = ["<s>", *self.tokens(text)]
+        return super().score(text)[:3] + (sum(math.log10(self.gram(t[i], tuple(t[max(0, i - self.order + 1):i]))) for i in range(1, len(t))),)
+
+
+@pytest.mark.parametrize("order, part_bytes", [(2, 8 << 20), (3, 8 << 20), (3, 64), (4, 1 << 10)])
+def test_orders_against_brute_force(spark, monkeypatch, order, part_bytes):
+    monkeypatch.setattr(kn, "PART_BYTES", part_bytes)
+    random.seed(10)
+    vocabulary = [f"w{int(random.paretovariate(0.8))}" for _ in range(60)]
+    texts = [" ".join(random.choice(vocabulary) for _ in range(random.randint(0, 40))) for _ in range(80)] + [None, "", "a b", "a b", "a b c", "x"]
+    brute = BruteOfOrder(texts[10:], order)
+    model = kn.train(spark.createDataFrame([(t,) for t in texts[10:]], "text string").repartition(3), order=order)
+    assert sorted(model.levels) == list(range(2, order + 1)) and model.levels[order].size == len(brute.counts[order])
+    wanted = [*texts, "never seen words", "w1 never w1 w1 w2", "a b d"]
+    for r in kn.with_scores(spark.createDataFrame(list(enumerate(wanted)), "k int, text string"), model).collect():
+        want = brute.score(wanted[r.k])
+        assert (r.n_tokens, r.n_known) == want[:2]
+        assert r.base_score == pytest.approx(want[2], rel=1e-9) and r.score == pytest.approx(want[3], rel=1e-9)
+    seen = random.Random(1).choice([c for c in brute.sums if len(c) == order - 1])
+    assert sum(brute.gram(w, seen) for w in [*brute.words, "unknown"]) == pytest.approx(1.0)
+
+
+def test_op8_uses_two_words_of_context(spark, tmp_path):
+    from stylograin.llm.queries import QUERIES
+
+    texts = ["a x b", "c x d", "a x b", "c x d", "a x d"] * 4
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op8_language_model"](spark, str(tmp_path)).collect()
+    brute = BruteOfOrder([texts[r.doc_id] for r in rows if not r.held_out], 3)
+    assert all(r.score == pytest.approx(brute.score(texts[r.doc_id])[3], rel=1e-9) for r in rows)
