@@ -3,8 +3,9 @@
 The credentials found by the patterns are the labelled examples. Per kind, their prefix tree
 is folded into a probabilistic automaton: states whose outgoing choices do not differ by
 more than chance (Hoeffding's bound) are merged. Every other run of credential characters
-in the corpus is then scored by how much likelier a learned format makes it than the
-corpus's own runs do.
+in the corpus that is as long as the shortest credential (8 characters), and every such
+piece of a run beside a pattern's span, is then scored by how much likelier a learned
+format makes it than the corpus's own runs do.
 """
 
 from __future__ import annotations
@@ -27,10 +28,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_LEAST = 8
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
+PATTERN_LEAST = 16  # of an access key; hexadecimal runs are longer
 
 #: What an assignment must contain, in lower case.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")  # ASSIGN_LEAST
+CREDENTIAL = re.compile(r"[A-Za-z0-9+/_.=-]")
+MARKS = "+/_.=-"
 FORMAT = "format"
 END = ""
 
@@ -40,8 +44,8 @@ Span = tuple[int, int, str]
 def base_spans(text: str) -> tuple[list[Span], list[tuple[str, str]], list[tuple[int, int]]]:
     """Spans (start, end, kind) of the fixed patterns, the (kind, credential) pairs, and all runs of credential characters.
 
-    A run of 32 hexadecimal digits, or an access key, lies within a run of 16 or more
-    credential characters, so only those runs are searched for them.
+    Runs have ``ASSIGN_LEAST`` characters or more. A run of 32 hexadecimal digits, or an
+    access key, lies within a run of 16 or more, so only those are searched for them.
     """
     spans, found = [], []
     lower = text.lower()
@@ -52,6 +56,8 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[str, str]], list[tuple
                 found.append(("assign", m[2]))
     runs = [m.span() for m in RUN.finditer(text)]
     for start, end in runs:
+        if end - start < PATTERN_LEAST:
+            continue
         for kind, pattern in (("access", ACCESS), ("hex", HEX)):
             for m in pattern.finditer(text, start, end):
                 spans.append((m.start(), m.end(), kind))
@@ -60,16 +66,34 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[str, str]], list[tuple
 
 
 def apart(runs: list[tuple[int, int]], spans: list[Span]) -> Iterator[tuple[int, int]]:
-    """The runs that touch no span."""
+    """The runs, or what the spans leave of them in pieces of ``ASSIGN_LEAST`` characters or more."""
     taken = sorted((s, e) for s, e, _ in spans)
     k = 0
     reach = -1
     for start, end in runs:
+        at = max(start, reach)
         while k < len(taken) and taken[k][0] < end:
+            if taken[k][0] - at >= ASSIGN_LEAST:
+                yield at, taken[k][0]
             reach = max(reach, taken[k][1])
+            at = max(at, reach)
             k += 1
-        if reach <= start:
-            yield start, end
+        if at == start or end - at >= ASSIGN_LEAST:
+            yield at, end
+
+
+def candidates(text: str, runs: list[tuple[int, int]], spans: list[Span]) -> Iterator[tuple[int, int]]:
+    """What is scored: the pieces of ``apart``, without the marks that join them to a span."""
+    for start, end in apart(runs, spans):
+        a, b = start, end
+        if a and CREDENTIAL.match(text, a - 1):
+            while a < b and text[a] in MARKS:
+                a += 1
+        if CREDENTIAL.match(text, b):
+            while a < b and text[b - 1] in MARKS:
+                b -= 1
+        if b - a >= ASSIGN_LEAST:
+            yield a, b
 
 
 class Format:
@@ -226,7 +250,7 @@ def learned(docs: DataFrame, text: str = "text", max_examples: int = 2000, least
                 if value:
                     spans, credentials, runs = base_spans(value)
                     found.update(credentials)
-                    for start, end in apart(runs, spans):
+                    for start, end in candidates(value, runs, spans):
                         run = value[start:end]
                         pairs.update(map("".join, zip("^" + run, run)))
             if len(found) > 1 << 17:
@@ -268,7 +292,7 @@ def with_secrets(docs: DataFrame, scanner: Scanner, *, text: str = "text", name:
     """``docs`` with an array of the spans of secrets, in order of start, then kind (patterns as listed, then learned formats).
 
     Starts and ends count code points, end exclusive. Spans of different kinds may overlap;
-    a learned span touches no other. Nulls and empty texts have none; repeated rows are each
+    a learned span overlaps no other. Nulls and empty texts have none; repeated rows are each
     scanned; whole texts are scanned. A column called ``name`` is replaced.
     """
     held, token = docs.sparkSession.sparkContext.broadcast(scanner), uuid.uuid4().hex
@@ -284,7 +308,7 @@ def with_secrets(docs: DataFrame, scanner: Scanner, *, text: str = "text", name:
             result = []
             for value in batch.column(text).to_pylist():
                 spans, _, runs = base_spans(value) if value else ([], [], [])
-                for start, end in apart(runs, spans) if scanner.formats else ():
+                for start, end in candidates(value, runs, spans) if scanner.formats else ():
                     run = value[start:end]
                     if run not in seen:
                         if len(seen) > 1 << 16:
