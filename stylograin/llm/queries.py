@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograin.llm import decontaminate, kneser_ney, near_dup, pieces, quality, secrets, shards, suffixes, token_counts, warc
+from stylograin.llm import decontaminate, kneser_ney, merkle, near_dup, pieces, quality, secrets, shards, suffixes, token_counts, warc
 from stylograin.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,3 +181,72 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n_removed.alias("n_removed"),
                         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: CRC-32 for DuckDB: a table of one row with the 256 steps of the polynomial, and the sum over a list of bytes.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS steps"""
+
+
+def crc_sql(data: str) -> str:
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), "
+            "lambda c, b: xor(c >> 8, steps[CAST((xor(c, b) & 255) + 1 AS INTEGER)])), 4294967295)")
+
+
+def field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ROW_SQL = " || ".join(field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+SHOWN_SQL = " || ".join(field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", f"translate(text, '{UPPER}', '{LOWER}')"))
+
+
+@query("op11_merkle_manifest", sql=f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}), d AS (
+  SELECT doc_id, coalesce('v' || lang, 'n') AS grp, sha256({ROW_SQL}) AS leaf,
+         CASE WHEN {crc_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 3 = 0
+              THEN sha256({SHOWN_SQL}) ELSE sha256({ROW_SQL}) END AS shown
+  FROM documents, crc
+), leaves AS (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, shown) - 1 AS pos,
+         count(*) OVER (PARTITION BY grp) AS n FROM d
+), up AS (
+  SELECT grp, 0 AS level, pos, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT grp, level + 1, pos // 8, any_value(n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1
+  GROUP BY grp, level, pos // 8
+), subroots AS (
+  SELECT grp, level, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS level, place AS pos, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, any_value(n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1
+  GROUP BY level, pos // 8
+), nodes AS (
+  SELECT grp, level, pos, n, digest FROM up UNION ALL SELECT '', level, pos, n, digest FROM top
+), sides AS (
+  SELECT grp, level, pos,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY grp, level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY grp, level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WHERE n > 1
+), fold AS (
+  SELECT id, grp, 0 AS level, pos, shown AS digest, '' AS proof FROM leaves
+  UNION ALL
+  SELECT id, f.grp, f.level + 1, f.pos // 8, sha256(l || digest || r), proof || l || r FROM fold f JOIN sides s ON f.grp = s.grp AND f.level = s.level AND f.pos = s.pos
+), on_top AS (
+  SELECT id, '' AS grp, 0 AS level, place AS pos, f.digest, proof FROM fold f JOIN subroots USING (grp, level)
+  UNION ALL
+  SELECT id, f.grp, f.level + 1, f.pos // 8, sha256(l || digest || r), proof || l || r FROM on_top f JOIN sides s ON f.grp = s.grp AND f.level = s.level AND f.pos = s.pos
+)
+SELECT doc_id, leaf, subroot, top.digest AS root, sha256(proof) AS proof_sha256, o.digest AS folded_root, o.digest = top.digest AS verified
+FROM leaves JOIN subroots USING (grp) JOIN on_top o ON o.id = leaves.id JOIN top ON o.level = top.level AND top.n = 1""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Merkle leaf, subroot, root and proof of each document; a third of them are shown lower-cased and must fail if that changes them."""
+    text = F.col("text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    shown = {"text": F.when(tampered, F.translate(text, UPPER, LOWER)).otherwise(text)}
+    found = merkle.with_proofs(documents(spark, folder), fields=["doc_id", "source", "lang", "n_chars", "text"], shown=shown)
+    proof = F.concat_ws("", F.zip_with("lefts", "rights", lambda a, b: F.concat(a, b)))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof.cast("binary"), 256).alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
