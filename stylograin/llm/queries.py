@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograin.llm import decontaminate, kneser_ney, merkle, near_dup, pieces, quality, secrets, shards, suffixes, token_counts, warc
+from stylograin.llm import decontaminate, kneser_ney, merkle, near_dup, pieces, quality, secrets, shards, spelling, suffixes, token_counts, warc
 from stylograin.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,3 +250,49 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     proof = F.concat_ws("", F.zip_with("lefts", "rights", lambda a, b: F.concat(a, b)))
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof.cast("binary"), 256).alias("proof_sha256"), "folded_root",
                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+BYTES_SQL = """flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128
+  THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END))"""
+
+
+@query("op13_spelling_variants", sql=f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]+')) AS w FROM documents
+), counted AS (
+  SELECT doc_id, w, length(w) AS size, count(*) AS k FROM runs WHERE length(w) >= 7 GROUP BY doc_id, w
+), hashed AS (
+  SELECT w, size, k, CASE WHEN doc_id IS NOT NULL THEN {crc_sql(BYTES_SQL)} END AS h FROM counted, crc
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % size) || substr(w, h % size + 2) ELSE w END AS word, CAST(sum(k) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(k) >= 2
+), holes AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word
+), near AS (
+  SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS place FROM pairs
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN x.n >= 10 * w.n THEN other END AS form, CASE WHEN x.n >= 10 * w.n THEN x.n END AS form_n
+  FROM words w LEFT JOIN near x ON x.word = w.word AND place = 1
+), follow AS (
+  SELECT word, form AS root, 1 AS step FROM formed WHERE form IS NOT NULL
+  UNION ALL
+  SELECT f.word, g.form, step + 1 FROM follow f JOIN formed g ON f.root = g.word WHERE g.form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(root, step) AS root FROM follow GROUP BY word
+)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN roots USING (word)""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of seven letters or more, some with a letter dropped by a rule, and the more frequent words one edit away."""
+    def one_letter_dropped(run):
+        h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), run).cast("binary"))
+        at = (h % F.char_length(run)).cast("int")
+        return F.when(h % 31 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.char_length(run)))).otherwise(run)
+
+    words = spelling.vocabulary(documents(spark, folder), least_length=7, least_count=2, altered=one_letter_dropped)
+    return spelling.spelling_variants(words, ratio=10)
