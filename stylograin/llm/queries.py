@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylograin.llm import decontaminate, kneser_ney, merkle, near_dup, pieces, quality, secrets, shards, spelling, suffixes, token_counts, warc
+from stylograin.llm import decontaminate, kneser_ney, merkle, near_dup, pieces, quality, secrets, set_join, shards, spelling, suffixes, token_counts, warc
 from stylograin.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,3 +296,38 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 
     words = spelling.vocabulary(documents(spark, folder), least_length=7, least_count=2, altered=one_letter_dropped)
     return spelling.spelling_variants(words, ratio=10)
+
+
+def components_sql(percent: int, more: str) -> str:
+    """Components of documents linked by four-word shingles; copies are one row until the end."""
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM d
+), classes AS (
+  SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), grams AS (
+  SELECT id, n, unnest(s) AS g FROM classes
+), linked AS (
+  SELECT a.id AS a, b.id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.id <> b.id AND a.n * 100 >= {percent} * b.n AND b.n * 100 >= {percent} * a.n
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), reach AS (
+  SELECT id, id AS other FROM classes
+  UNION
+  SELECT r.id, b FROM reach r JOIN linked ON r.other = a
+), least AS (
+  SELECT id, min(other) AS component FROM reach GROUP BY id
+)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id{more}
+FROM sets LEFT JOIN classes USING (s) LEFT JOIN least USING (id)"""
+
+
+@query("op12_ngram_jaccard_join", sql=components_sql(85, ""))
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of each document under links of 0.85 Jaccard similarity on four-word shingles."""
+    return set_join.jaccard_components(documents(spark, folder), size=4, percent=85)
+
+
+SQL["op9_near_duplicates"] = components_sql(80, ", coalesce(component, doc_id) = doc_id AS kept")
