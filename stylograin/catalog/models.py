@@ -1,8 +1,6 @@
 """Fitted models. Fits have no SQL twin; weights and contributions do.
 
-Vocabularies and forests have the library's defaults. Rounds of boosting and iterations of
-linear models are fewer: each is one or more jobs, one after the other, however small the
-table is (see README, "Limits").
+Vocabularies, forests, rounds of boosting and tolerances are the library's defaults.
 """
 
 from __future__ import annotations
@@ -19,10 +17,8 @@ from stylograin.operators.terms import class_means
 from stylograin.operators.trees import SHAPE_FEATURES, shape_features
 from stylograin.plans import studies as s
 
-ROUNDS = 10
-PATH_ROUNDS = 5  # over 2,000 path terms a round takes a hundred times as long as over 18 shape features
-SVM_ITERATIONS = 20
-ITERATIONS = 50
+ROUNDS = 500  # over shape features
+PATH_ROUNDS = 300
 
 
 #: What stands for decisions and calls in the trees of pages.
@@ -53,7 +49,7 @@ def run(rows, name: str, fit):
 
 @query("ml01_logistic_regression")
 def logistic_regression(t: Tables):
-    return run(lexical(t), "logistic", m.logistic(max_iter=ITERATIONS))
+    return run(lexical(t), "logistic", m.logistic())
 
 
 @query("ml02_balanced_weights", f"""WITH {SAMPLES_SQL}, l AS (SELECT * FROM samples WHERE label IS NOT NULL)
@@ -65,12 +61,12 @@ def balanced_weights(t: Tables):
 
 @query("ml03_balanced_logistic_regression")
 def balanced_logistic(t: Tables):
-    return run(lexical(t), "balanced logistic", m.logistic(balanced=True, max_iter=ITERATIONS))
+    return run(lexical(t), "balanced logistic", m.logistic(balanced=True))
 
 
 @query("ml04_linear_svm")
 def linear_svm(t: Tables):
-    return run(scaled_shapes(t), "svm", m.linear_svm(SVM_ITERATIONS))
+    return run(scaled_shapes(t), "svm", m.linear_svm())
 
 
 @query("ml05_random_forest")
@@ -98,7 +94,7 @@ def ratio_weights(t: Tables):
 
 @query("ml08_calibrated_svm")
 def calibrated_svm(t: Tables):
-    return run(scaled_shapes(t), "calibrated svm", m.calibrated_svm(max_iter=SVM_ITERATIONS))
+    return run(scaled_shapes(t), "calibrated svm", m.calibrated_svm())
 
 
 @query("ml09_length_only")
@@ -108,7 +104,7 @@ def length_only(t: Tables):
 
 @query("ml10_batch_scoring")
 def batch_scoring(t: Tables):
-    return s.run_models(lexical(t), {"logistic": m.logistic(max_iter=ITERATIONS)})
+    return s.run_models(lexical(t), {"logistic": m.logistic()})
 
 
 @query("ml10_linear_scoring", f"""WITH {CLASS_WEIGHTS_SQL}, n AS (SELECT count(*) FILTER (label = 0) AS n0,
@@ -141,7 +137,7 @@ def surface_rows(t: Tables):
 @query("ml12_permutation_importance")
 def permutation_importance(t: Tables):
     rows, names = surface_rows(t)
-    model = m.logistic(balanced=True, max_iter=ITERATIONS)(s.of_split(rows, "train"))
+    model = m.logistic(balanced=True)(s.of_split(rows, "train"))
     return m.permutation_importance(model, s.of_split(rows, "ood"), names)
 
 

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stylograin.operators import boosting, linear
+from stylograin.operators.isotonic import IsotonicModel
 from stylograin.operators.joins import bounded
 from stylograin.operators.metrics import confusion_counts, count_metrics
 from stylograin.operators.ordering import hash_key
-from stylograin.operators.profile import all_values
 from stylograin.operators.sampling import folds, stratified_split
-from stylograin.session import reused, shared_folder
+from stylograin.session import importable_on_workers, reused
 
 Fit = Callable[[DataFrame], object]
 
@@ -48,24 +49,20 @@ def weighted(train: DataFrame, label: str, kind: str | None, name: str = "weight
     return train.withColumn(name, F.when(F.col(label) == 1, weights[1]).otherwise(weights[0])), n
 
 
-def logistic(balanced: bool = False, max_iter: int = 1000, c: float = 1.0, features: str = "features",
+def logistic(balanced: bool = False, max_iter: int = 1000, c: float = 1.0, tol: float = 1e-5, features: str = "features",
              label: str = "label") -> Fit:
-    """L2 logistic regression with strength ``1 / c`` on the sum of losses, not standardised."""
+    """L2 logistic regression, ``c`` on the sum of losses, not standardised; steps end at a gradient of ``tol`` times the first."""
     def fit(train: DataFrame):
-        rows, n = weighted(train, label, "balanced" if balanced else None)
-        return LogisticRegression(
-            featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
-            regParam=1.0 / (c * max(n, 1)), standardization=False).fit(rows)
+        rows, _ = weighted(train, label, "balanced" if balanced else None)
+        return linear.fitted(rows, linear.LOGISTIC, c, tol, max_iter, features, label, "weight")
     return fit
 
 
 def linear_svm(max_iter: int = 5000, c: float = 1.0, tol: float = 1e-4, features: str = "features", label: str = "label") -> Fit:
-    """Balanced linear SVM (hinge loss); iterations end when the loss changes by less than ``tol``."""
+    """Balanced linear SVM (squared hinge); steps end at a duality gap of ``tol`` times the objective."""
     def fit(train: DataFrame):
-        rows, n = weighted(train, label, "balanced")
-        return LinearSVC(
-            featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol,
-            regParam=1.0 / (c * max(n, 1)), standardization=False).fit(rows)
+        rows, _ = weighted(train, label, "balanced")
+        return linear.fitted(rows, linear.SQUARED_HINGE, c, tol, max_iter, features, label, "weight")
     return fit
 
 
@@ -79,18 +76,12 @@ def random_forest(trees: int = 300, depth: int = 20, min_leaf: int = 5, seed: in
     return fit
 
 
-def boosted_trees(rounds: int = 300, depth: int = 6, rate: float = 0.1, ratio_weighted: bool = False, seed: int = 42,
-                  features: str = "features", label: str = "label") -> Fit:
-    """Gradient-boosted trees; ``ratio_weighted`` gives machine rows ``n_human / n_machine`` of train.
-
-    Every round is a handful of jobs. The residual labels are cut from their history each
-    ten rounds by a checkpoint in the shared folder.
-    """
+def boosted_trees(rounds: int = 300, depth: int = 6, rate: float = 0.1, ratio_weighted: bool = False, l2: float = 3.0,
+                  bins: int = 64, features: str = "features", label: str = "label") -> Fit:
+    """Gradient-boosted symmetric trees on the logistic loss; ``ratio_weighted`` gives machine rows ``n_human / n_machine`` of train."""
     def fit(train: DataFrame):
-        shared_folder(train.sparkSession)
-        return GBTClassifier(featuresCol=features, labelCol=label, weightCol="weight", maxIter=rounds,
-                             maxDepth=depth, stepSize=rate, seed=seed,
-                             ).fit(weighted(train, label, "ratio" if ratio_weighted else None)[0])
+        rows, _ = weighted(train, label, "ratio" if ratio_weighted else None)
+        return boosting.fitted(rows, rounds, depth, rate, l2, bins, features, label, "weight")
     return fit
 
 
@@ -124,7 +115,7 @@ def calibrated_svm(k: int = 3, max_iter: int = 5000, key: str = "sample_id", fea
             svm = linear_svm(max_iter, features=features, label=label)(rows.where(F.col("fold") != fold))
             held_out = margin(svm, rows.where(F.col("fold") == fold)).select(
                 "margin", F.col(label).cast("double").alias(label))
-            pairs.append((svm, IsotonicRegression(featuresCol="margin", labelCol=label).fit(held_out)))
+            pairs.append((svm, IsotonicModel(held_out, "margin", label)))
         return CalibratedModel(pairs, features)
     return fit
 
@@ -226,26 +217,39 @@ def linear_contributions(values: DataFrame, coefficients: DataFrame, n: Column,
 
 def length_only_accuracy(df: DataFrame, length: Column, languages: Sequence[str] | None = None, language: str = "language",
                          key: str = "sample_id", label: str = "label") -> DataFrame:
-    """Accuracy of a model that sees the length only, for all rows and per language.
+    """Accuracy of a logistic model that sees the length only: (level, scope, n_test, accuracy).
 
-    Without a list the languages are those that occur. Where the training part has one class
+    Level ``all`` is one model for all rows, with scope ``all``; level ``language`` has one
+    per language, null included, or per language of a list. Where the training part has one class
     only, no model can be fitted: the row is there with the size of its test part and no
-    accuracy. A model is fitted per scope, so the languages are a loop.
+    accuracy. All scopes are fitted in one plan: equal lengths are counted first, so
+    that a scope's task gets a row per distinct length, class and part.
     """
-    rows = df.select(key, language, label, array_to_vector(F.array(length.cast("double"))).alias("features"))
-    parts = []
-    for scope in ["all", *(all_values(df, language) if languages is None else languages)]:
-        subset = rows if scope == "all" else rows.where(F.col(language) == scope)
-        split = reused(stratified_split(subset, label, 0.2, key))
-        train, test = (split.where(F.col("part") == part) for part in ("train", "test"))
-        if train.select(label).distinct().count() < 2:
-            part = test.select(key, F.col(label).cast("int").alias("y"), F.lit(None).cast("int").alias("pred"), F.lit(None).cast("double").alias("score"))
-        else:
-            part = scored(logistic(max_iter=100, label=label)(train), test, [key], label)
-        n = F.count(F.lit(1))
-        parts.append(part.agg(n.alias("n_test"), F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))
-                     .select(F.lit(str(scope)).alias("scope"), "n_test", "accuracy"))
-    return reduce(DataFrame.unionByName, parts)
+    scopes = F.array(F.struct(F.lit("all").alias("level"), F.lit("all").alias("scope")),
+                     F.struct(F.lit("language").alias("level"), F.col(language).cast("string").alias("scope")))
+    rows = df.where(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("y"), length.cast("double").alias("x"), F.explode(scopes).alias("_s"))
+    if languages is not None:
+        rows = rows.where((F.col("_s.level") == "all") | F.col("_s.scope").isin(list(languages)))
+    rows = rows.withColumn("_stratum", F.struct("_s.level", "_s.scope", "y"))
+    split = stratified_split(rows, "_stratum", 0.2, key)
+    counts = split.groupBy("_s.level", "_s.scope", "part", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    importable_on_workers(df.sparkSession)
+
+    def judge(table: pa.Table) -> pa.Table:
+        part, x, y, n = (table.column(name).to_numpy() for name in ("part", "x", "y", "n"))
+        train, x = part == "train", np.nan_to_num(x)
+        correct = None
+        if len(np.unique(y[train])) == 2:
+            block = linear.Block.of_column(x[train], y[train], n[train], linear.LOGISTIC)
+            weights = linear.solved(block.value_and_gradient, block.product, 1, 1.0, linear.LOGISTIC, 1e-8, 100).x
+            right = (x[~train] * weights[0] + weights[1] > 0) == (y[~train] == 1)
+            correct = float(n[~train][right].sum())
+        n_test = int(n[~train].sum())
+        accuracy = correct / n_test if correct is not None and n_test else None
+        return pa.table({"level": table.column("level")[:1], "scope": table.column("scope")[:1], "n_test": pa.array([n_test], pa.int64()),
+                         "accuracy": pa.array([accuracy], pa.float64())})
+
+    return counts.groupBy("level", "scope").applyInArrow(judge, "level string, scope string, n_test bigint, accuracy double")
 
 
 def cluster_summary(df: DataFrame, vector: str, k: int = 20, seed: int = 42) -> DataFrame:

@@ -103,6 +103,15 @@ def test_length_only_keeps_languages_of_one_class(spark):
     assert got["b"].n_test == 2 and got["b"].accuracy is None
 
 
+def test_length_only_counts_null_and_a_language_called_all(spark):
+    data = [(i, lang, i % 2, float(i % 2) * 5 + 1 + i % 3) for k, lang in enumerate(["all", None, "c"]) for i in range(100 * k, 100 * k + 60)]
+    df = spark.createDataFrame(data, "sample_id long, language string, label int, n double")
+    got = {(r.level, r.scope): r for r in m.length_only_accuracy(df, F.col("n")).collect()}
+    assert set(got) == {("all", "all"), ("language", "all"), ("language", None), ("language", "c")}
+    assert all(r.accuracy == 1.0 for r in got.values()) and got["language", None].n_test == 12 and got["all", "all"].n_test == 36
+    assert {r.scope for r in m.length_only_accuracy(df, F.col("n"), ["c"]).collect()} == {"all", "c"}
+
+
 def test_clusters_of_separate_points(spark):
     df = spark.createDataFrame([([float(x) + (i % 3) / 100],) for i in range(30) for x in (0, 10)], "v array<double>")
     got = m.cluster_summary(df, "v", 2).collect()

@@ -87,9 +87,11 @@ def test_split_and_folds(spark):
         assert abs(r["count"] - sizes[r.g] / 3) <= 1
 
 
-def test_top_per_group_refuses_large_k(spark):
-    df, rows = frame(spark, 50)
-    with pytest.raises(ValueError):
-        o.top_per_group(df, 2000, [F.col("sample_id")], ["g"])
-    got = [r.sample_id for r in o.top_per_group(df, 3, [F.desc("sample_id")]).orderBy("rank").collect()]
-    assert got == [49, 48, 47]
+@pytest.mark.parametrize("k", [3, 2000])
+def test_top_per_group(spark, k):
+    df, rows = frame(spark, 3000)
+    want = {g: sorted((i for i, x, _ in rows if x == g), reverse=True)[:k] for g in {x for _, x, _ in rows}}
+    got = o.top_per_group(df, k, [F.desc("sample_id")], ["g"]).collect()
+    assert sorted((r.g, r["rank"], r.sample_id) for r in got) == sorted((g, n + 1, i) for g, ids in want.items() for n, i in enumerate(ids))
+    whole = o.top_per_group(df, k, [F.desc("sample_id")]).collect()
+    assert sorted((r["rank"], r.sample_id) for r in whole) == [(n + 1, i) for n, i in enumerate(sorted((i for i, _, _ in rows), reverse=True)[:k])]

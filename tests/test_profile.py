@@ -52,11 +52,12 @@ def test_defaults(spark):
     assert (row.label, row.language) == (-1, "Python")
 
 
-def test_prediction_sizes_must_agree(spark):
+@pytest.mark.parametrize("preds, message", [([(1, 1)], "sample without a prediction: 2"), ([(1, 1), (2, 0), (3, 0)], "prediction without a sample: 3"),
+                                            ([(1, 1), (2, 0), (2, 1)], "several predictions for: 2")])
+def test_predictions_must_match_the_samples(spark, preds, message):
     samples = spark.createDataFrame([(1, 1), (2, 0)], "sample_id long, label int")
-    preds = spark.createDataFrame([(1, 1)], "sample_id long, pred int")
-    with pytest.raises(Exception, match="Predictions length 1 != samples length 2"):
-        joins.attach_predictions(samples, preds).collect()
+    with pytest.raises(Exception, match=message):
+        joins.attach_predictions(samples, spark.createDataFrame(preds, "sample_id long, pred int")).collect()
 
 
 def test_materialised_is_computed_once(spark, tmp_path):
