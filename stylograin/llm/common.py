@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
+import resource
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from stylograin.session import scratch_path
 
 SLICE_BYTES = 2 << 20
+OPEN_FILES = 1024
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -55,16 +59,45 @@ def shared_files(spark: SparkSession, name: str) -> str:
     return folder
 
 
-def save_array(folder: str, name: str, array: np.ndarray) -> None:
-    """Write an array so that readers see all of it or nothing, also when a task runs twice."""
-    partial = f"{folder}/.{name}-{uuid.uuid4().hex}"
+def save_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Write several arrays into one file, all of it or nothing: their bytes, a table of contents, and its length."""
+    partial, at, contents = f"{folder}/.{name}-{uuid.uuid4().hex}", 0, {}
     with open(partial, "wb") as out:
-        np.save(out, array, allow_pickle=False)
-    os.replace(partial, f"{folder}/{name}.npy")
-
+        for key, array in arrays.items():
+            data = np.ascontiguousarray(array)
+            contents[key] = (data.dtype.str, data.shape, at)
+            out.write(data.tobytes())
+            pad = -data.nbytes % 8
+            out.write(bytes(pad))
+            at += data.nbytes + pad
+        end = json.dumps(contents).encode()
+        out.write(end + len(end).to_bytes(8, "little"))
+    os.replace(partial, f"{folder}/{name}.arrays")
+
+
+class MappedArrays:
+    """Files of ``save_arrays`` mapped into memory: one mapping per file, and only of the files used last.
+
+    Each takes a file handle: a quarter of those that the process may have, at most ``OPEN_FILES``.
+    """
 
-def mapped_array(folder: str, name: str) -> np.ndarray:
-    return np.load(f"{folder}/{name}.npy", mmap_mode="r", allow_pickle=False)
+    def __init__(self, folder: str):
+        self.folder, self.most, self.open = folder, min(OPEN_FILES, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 4), OrderedDict()
+
+    def __call__(self, name: str) -> dict[str, np.ndarray]:
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name]
+        data = np.memmap(f"{self.folder}/{name}.arrays", np.uint8, "r")
+        length = int.from_bytes(data[-8:].tobytes(), "little")
+        contents = json.loads(data[-8 - length:-8].tobytes())
+        # Views of the plain array below the mapping, which are quicker to index than memmaps.
+        plain = data.view(np.ndarray)
+        found = {key: plain[at:at + int(np.prod(shape)) * np.dtype(kind).itemsize].view(kind).reshape(shape) for key, (kind, shape, at) in contents.items()}
+        self.open[name] = found
+        if len(self.open) > self.most:
+            self.open.popitem(last=False)
+        return found
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,9 +158,7 @@ def saved_sorted(df: DataFrame, key: str, values: list[str], name: str) -> list[
             table = pa.Table.from_batches(batches)
             keys = table.column(key).to_numpy()
             part = f"{int(keys[0]) & (1 << 64) - 1:016x}"
-            save_array(folder, f"{part}-{key}", keys)
-            for value in values:
-                save_array(folder, f"{part}-{value}", table.column(value).to_numpy())
+            save_arrays(folder, part, {c: table.column(c).to_numpy() for c in (key, *values)})
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{part}"], "first": [int(keys[0])], "last": [int(keys[-1])]})
 
     rows = mapped(ranged, save, "path string, first bigint, last bigint").collect()
@@ -138,14 +169,12 @@ class SortedArrays:
     """Look-up in the arrays of ``saved_sorted``, mapped into memory part by part."""
 
     def __init__(self, parts: list[tuple[str, int, int]], key: str):
-        self.parts, self.key, self.open = sorted(parts, key=lambda p: p[1]), key, {}
+        self.parts, self.key = sorted(parts, key=lambda p: p[1]), key
+        self.files = MappedArrays(os.path.dirname(self.parts[0][0]) if parts else "")
         self.lasts = np.array([p[2] for p in self.parts], np.int64)
 
     def array(self, part: int, column: str) -> np.ndarray:
-        if (part, column) not in self.open:
-            path = self.parts[part][0]
-            self.open[part, column] = mapped_array(os.path.dirname(path), f"{os.path.basename(path)}-{column}")
-        return self.open[part, column]
+        return self.files(os.path.basename(self.parts[part][0]))[column]
 
     def look_up(self, keys: np.ndarray, columns: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Whether each key is there, and the values of its first row (0 where it is not)."""

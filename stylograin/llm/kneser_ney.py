@@ -13,6 +13,7 @@ arrays to the shared folder; scoring maps them into memory.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylograin.llm.common import mapped, mapped_array, mix, raw, save_array, shared_files, slices, stored
+from stylograin.llm.common import MappedArrays, mapped, mix, raw, save_arrays, shared_files, slices, stored
 from stylograin.llm.wordhash import LOWER, hashes, spans
 
 END = np.uint64(0x13198A2E03707344)
@@ -181,13 +182,13 @@ class Model:
 
     def __post_init__(self):
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.arrays: dict[str, np.ndarray] = {}
+        self.files = MappedArrays(self.folder)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "arrays"}
+        return {k: v for k, v in self.__dict__.items() if k != "files"}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, arrays={})
+        self.__dict__.update(state, files=MappedArrays(state["folder"]))
 
     @property
     def n_parts(self) -> int:
@@ -206,11 +207,6 @@ class Model:
         """Bits of a word's number, below the context's number in a key."""
         return np.uint64(self.vocabulary.bit_length())
 
-    def array(self, name: str) -> np.ndarray:
-        if name not in self.arrays:
-            self.arrays[name] = mapped_array(self.folder, name)
-        return self.arrays[name]
-
     def part_of(self, words: np.ndarray) -> np.ndarray:
         return (words >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -219,20 +215,20 @@ class Model:
         out = np.full(len(words), -1, np.int64)
         part_of = self.part_of(words)
         for part in np.unique(part_of).tolist():
-            held = self.array(f"words-{part}") if self.sizes[part] else np.empty(0, np.uint64)
+            held = self.files(f"words-{part}")["words"] if self.sizes[part] else np.empty(0, np.uint64)
             if len(held):
                 a, b = np.searchsorted(part_of, [part, part + 1])
                 at = np.minimum(np.searchsorted(held, words[a:b]), len(held) - 1)
                 out[a:b] = np.where(held[at] == words[a:b], self.starts[part] + at, -1)
         return out
 
-    def values(self, name: str, numbers: np.ndarray, part_of: np.ndarray, dtype) -> np.ndarray:
-        """Values of sorted words by their numbers; 0 where the number is -1."""
-        out = np.zeros(len(numbers), dtype)
+    def values(self, name: str, numbers: np.ndarray, part_of: np.ndarray) -> np.ndarray:
+        """Counts of sorted words by their numbers; 0 where the number is -1."""
+        out = np.zeros(len(numbers), np.int64)
         known = numbers >= 0
         for part in np.unique(part_of[known]).tolist():
             at = known & (part_of == part)
-            out[at] = self.array(f"{name}-{part}")[numbers[at] - self.starts[part]]
+            out[at] = self.counts(f"{name}-{part}", numbers[at] - self.starts[part])
         return out
 
     def hot_at(self, k: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,30 +257,23 @@ class Model:
         for p, rows in by_part(part, key, self.n_parts):
             if level.starts[p + 1] == level.starts[p]:
                 continue
-            held, wanted = self.array(f"grams{k}-{p}"), key[rows]
+            held, wanted = self.files(f"grams{k}-{p}")["keys"], key[rows]
             at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
             hit = held[at] == wanted
             at, rows = at[hit], known[rows[hit]]
             numbers[rows] = level.starts[p] + at
             if counted:
-                counts[rows] = self.counts(f"n{k}-{p}", at)
+                counts[rows] = self.counts(f"level{k}-{p}", at)
         return numbers, counts
 
     def counts(self, name: str, at: np.ndarray | None = None) -> np.ndarray:
-        few = self.array(name)
-        n = (few if at is None else few[at]).astype(np.int64)
+        held = self.files(name)
+        n = (held["counts"] if at is None else held["counts"][at]).astype(np.int64)
         large = np.flatnonzero(n == 255)
         if len(large):
-            many = self.array(f"{name}-many")
-            n[large] = many[1][np.searchsorted(many[0], large if at is None else at[large])]
+            n[large] = held["many"][1][np.searchsorted(held["many"][0], large if at is None else at[large])]
         return n
 
-    def save_counts(self, name: str, counts: np.ndarray) -> None:
-        """Counts as bytes, and those from 255 apart: their places and counts."""
-        save_array(self.folder, name, np.minimum(counts, 255).astype(np.uint8))
-        many = np.flatnonzero(counts >= 255)
-        save_array(self.folder, f"{name}-many", np.stack([many, counts[many]]).astype(np.int64))
-
     def tails(self, k: int, numbers: np.ndarray) -> np.ndarray:
         """The number of the last k - 1 words of each of the sorted grams of k words."""
         numbers, back = np.unique(numbers, return_inverse=True)
@@ -294,23 +283,24 @@ class Model:
         for p in np.unique(part_of).tolist():
             a, b = np.searchsorted(part_of, [p, p + 1])
             at = numbers[a:b] - starts[p]
-            out[a:b] = self.apart(self.array(f"grams2-{p}")[at])[1] if k == 2 else self.array(f"tails{k}-{p}")[at]
+            out[a:b] = self.apart(self.files(f"grams2-{p}")["keys"][at])[1] if k == 2 else self.files(f"grams{k}-{p}")["tails"][at]
         return out[back]
 
     def save_contexts(self, k: int, part: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Write a part's final counts and contexts; returns the kinds of the frequent contexts.
 
         A context that is followed once needs no row: every context of the training texts is followed.
+        Kinds are bytes too, and those of a context with a sum from 255 are apart.
         """
-        self.save_counts(f"n{k}-{part}", counts)
         context = self.apart(keys)[0]
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         context = context[first]
         kinds = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
         hot, at = self.hot_at(k, context)
         kept = ~hot & (kinds[:, 0] > 1)
-        save_array(self.folder, f"contexts{k}-{part}", context[kept])
-        save_array(self.folder, f"kinds{k}-{part}", kinds[kept].astype(np.uint32))
+        many = np.flatnonzero(kinds[kept, 0] >= 255)
+        save_arrays(self.folder, f"level{k}-{part}", counts_apart(counts) | {
+            "contexts": context[kept], "kinds": np.minimum(kinds[kept], 255).astype(np.uint8), "large": many, "large_kinds": kinds[kept][many]})
         out = np.zeros((len(self.levels[k].hot), 4), np.int64)
         out[at[hot]] = kinds[hot]
         return out
@@ -324,16 +314,27 @@ class Model:
         kinds[hot] = level.hot_kinds[at[hot]]
         other = np.flatnonzero(~hot & (asked >= 0))
         for p, rows in by_part(self.part_of(mix(asked[other].astype(np.uint64))), asked[other], self.n_parts):
-            held, wanted = self.array(f"contexts{k}-{p}"), asked[other[rows]]
+            file, wanted = self.files(f"level{k}-{p}"), asked[other[rows]]
+            held = file["contexts"]
             if len(held):
                 i = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
                 hit = held[i] == wanted
-                kinds[other[rows[hit]]] = self.array(f"kinds{k}-{p}")[i[hit]]
+                i = i[hit]
+                found = file["kinds"][i].astype(np.float64)
+                large = np.flatnonzero(found[:, 0] == 255)
+                found[large] = file["large_kinds"][np.searchsorted(file["large"], i[large])]
+                kinds[other[rows[hit]]] = found
         weight = kinds[:, 1:] @ level.discounts[1:] / kinds[:, 0]
         weight[asked < 0] = 1.0
         return kinds[back, 0], weight[back]
 
 
+def counts_apart(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as bytes, and those from 255 apart: their places and counts."""
+    many = np.flatnonzero(counts >= 255)
+    return {"counts": np.minimum(counts, 255).astype(np.uint8), "many": np.stack([many, counts[many]]).astype(np.int64)}
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """Chen and Goodman's discounts for counts 0, 1, 2, and 3 or more, from the numbers of counts 1 to 4.
 
@@ -390,10 +391,11 @@ def _settle(infos: DataFrame, level: Level) -> None:
     level.hot_kinds, level.discounts = hot.reshape(-1, 4), discounts(_times(infos))
 
 
-def train(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
+def train(texts: DataFrame, text: str = "text", order: int = 2, part_bytes: int | None = None) -> Model:
     """Count the texts and write the model's arrays; whole texts, all words, no cut-off.
 
-    ``order`` is the number of words of the longest grams. A null or empty text is an end
+    ``order`` is the number of words of the longest grams. There is a part per ``part_bytes`` of text, and one
+    task adds it up; parts exchange rows with each other, so a large corpus wants as large parts as a task's memory allows. A null or empty text is an end
     alone. Without texts every word is unknown. A context's number and a word's number must
     fit into 64 bits together; if they do not, training fails.
     """
@@ -403,7 +405,7 @@ def train(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
     folder = shared_files(spark, "model")
     texts = texts.select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(2, int(np.ceil(np.log2(max(size, 1) / PART_BYTES))) if size else 2)
+    bits = max(2, int(np.ceil(np.log2(max(size, 1) / (part_bytes or PART_BYTES)))) if size else 2)
     n_parts = 1 << bits
 
     def count_words(batches):
@@ -419,8 +421,7 @@ def train(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
         part, words, counts = merged(batches)
         if part is None:
             return
-        save_array(folder, f"words-{part}", words)
-        save_array(folder, f"counts-{part}", counts)
+        save_arrays(folder, f"words-{part}", {"words": words} | counts_apart(counts))
         many = np.argsort(-counts, kind="stable")[:16]  # a part holds eight frequent words on average
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [len(words)], "total": [int(counts.sum())],
                                           "many": pa.array([many.tolist()], pa.list_(pa.int64())),
@@ -460,6 +461,8 @@ def train(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
             word_times = _times(infos.where("level = 1"))
         else:
             _settle(infos.where(F.col("level") == k - 1), model.levels[k - 1])
+            for p in np.flatnonzero(np.diff(model.levels[k - 1].starts)).tolist():  # their counts are final now
+                os.remove(f"{folder}/raw{k - 1}-{p}.arrays")
         if k == order:
             _settle(infos.where(F.col("level") == k), model.levels[k])
     model.word_discounts = discounts(word_times)
@@ -505,8 +508,8 @@ def _save_grams(model: Model, k: int, least_hot: int):
         part, keys, counts = merged(batches)
         if part is None:
             return
-        save_array(model.folder, f"grams{k}-{part}", keys)
         context, word = model.apart(keys)
+        held = {"keys": keys}
         if k == 2:
             seconds, n_before = added_up(word.astype(np.uint64))
             edges = np.searchsorted(seconds, model.starts.astype(np.uint64))
@@ -516,14 +519,15 @@ def _save_grams(model: Model, k: int, least_hot: int):
             suffix_part, suffix = model.keys(k - 1, tail, word)
             given = [(p, *added_up(suffix[rows])) for p, rows in by_part(suffix_part, suffix, model.n_parts)]
             if k < model.order:
-                save_array(model.folder, f"tails{k}-{part}", model.grams(k - 1, tail, word)[0])
+                held["tails"] = model.grams(k - 1, tail, word)[0]
+        save_arrays(model.folder, f"grams{k}-{part}", held)
         for some in range(0, len(given), 256):
             yield _with_info(packed_rows(*map(list, zip(*given[some:some + 256]))))
         many = np.flatnonzero(counts > least_hot)
         if k == model.order:
             yield _info_row(part, k, len(keys), many, times(counts), model.save_contexts(k, part, keys, counts))
         else:
-            model.save_counts(f"raw{k}-{part}", counts)
+            save_arrays(model.folder, f"raw{k}-{part}", counts_apart(counts))
             yield _info_row(part, k, len(keys), many)
 
     return save
@@ -540,10 +544,10 @@ def _save_lower(model: Model, k: int):
         if k == 1:
             counts = np.zeros(model.sizes[part], np.int64)
             counts[suffix.astype(np.int64) - model.starts[part]] = n_before
-            save_array(model.folder, f"before-{part}", counts)
+            save_arrays(model.folder, f"before-{part}", counts_apart(counts))
             yield _info_row(part, k, len(counts), times_=times(counts))
         else:
-            keys = np.array(mapped_array(model.folder, f"grams{k}-{part}"))
+            keys = model.files(f"grams{k}-{part}")["keys"]
             counts = model.counts(f"raw{k}-{part}")  # a gram at the start of a text has none before it and keeps these
             counts[np.searchsorted(keys, suffix)] = n_before
             yield _info_row(part, k, len(keys), times_=times(counts), hot=model.save_contexts(k, part, keys, counts))
@@ -566,8 +570,8 @@ class Scorer:
         found, begin = tokens(column)
         known, at = np.unique(found, return_inverse=True)
         number, part_of = m.numbers(known), m.part_of(known)
-        count = m.values("counts", number, part_of, np.int64)
-        probability = self.word_probabilities(m.values("before", number, part_of, np.int64))[at]
+        count = m.values("words", number, part_of)
+        probability = self.word_probabilities(m.values("before", number, part_of))[at]
         word = number[at]
         context = after(word, begin, m.vocabulary)
         for k, level in m.levels.items():

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stylograin.llm.common import mapped, mapped_array, mix, raw, save_array, shared_files, slices
+from stylograin.llm.common import MappedArrays, mapped, mix, raw, save_arrays, shared_files, slices
 from stylograin.llm.kneser_ney import GATHERED, PACKED, Gathered, merged, packed_counts, unpacked_counts
 from stylograin.llm.wordhash import BASE, INVERSE, powers
 
@@ -38,6 +38,23 @@ PART_BYTES = 8 << 20
 HELD = 1 << 18
 
 
+def chunk_edges(offsets: np.ndarray) -> list[int]:
+    """Edges of runs of texts of ``CHUNK`` bytes at most; a longer text is cut at multiples of ``CHUNK`` from its own start.
+
+    What is found in a text must not depend on the texts beside it: an edge changes the windows of the anchors around it.
+    """
+    edges, text = [0], 0
+    while text < len(offsets) - 1:
+        begin = int(offsets[text])
+        to = int(np.searchsorted(offsets, begin + CHUNK, "right")) - 1
+        if to <= text:
+            to = text + 1
+            edges.extend(range(begin + CHUNK, int(offsets[to]), CHUNK))
+        edges.append(int(offsets[to]))
+        text = to
+    return edges
+
+
 class Anchors:
     """The anchors of the windows of some texts that lie joined in ``data``.
 
@@ -47,7 +64,8 @@ class Anchors:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        found = [self._chunk(data, offsets, at, min(at + CHUNK, len(data))) for at in range(0, len(data), CHUNK)]
+        edges = chunk_edges(offsets)
+        found = [self._chunk(data, offsets, a, b) for a, b in zip(edges[:-1], edges[1:])]
         names = ("text", "at", "low", "high", "head", "context")
         for k, name in enumerate(names):
             kind = np.uint64 if name in ("head", "context") else np.int64
@@ -277,15 +295,13 @@ def _first_bits(texts: DataFrame) -> int:
 
 class _Arrays:
     def __init__(self, folder: str, bits: int):
-        self.folder, self.bits, self.open = folder, bits, {}
+        self.bits, self.files = bits, MappedArrays(folder)
 
     def get(self, name: str) -> np.ndarray | None:
-        if name not in self.open:
-            try:
-                self.open[name] = mapped_array(self.folder, name)
-            except FileNotFoundError:  # nothing fell there
-                self.open[name] = None
-        return self.open[name]
+        try:
+            return self.files(name)["values"]
+        except FileNotFoundError:  # nothing fell there
+            return None
 
     def part_of(self, heads: np.ndarray) -> np.ndarray:
         return (heads >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -367,7 +383,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     def save_heads(batches):
         part, heads, counts = merged(batches)
         if part is not None:
-            save_array(folder, f"heads-{part}", heads[counts > 1])
+            save_arrays(folder, f"heads-{part}", {"values": heads[counts > 1]})
             yield pa.RecordBatch.from_pydict({"n": [int((counts > 1).sum())]})
 
     mapped(mapped(texts, count_heads, PACKED).repartitionById(n_parts, F.col("part")), save_heads, "n bigint").agg(F.sum("n")).collect()
@@ -408,7 +424,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
             part = rows[0]["part"]
             context, start, end, document = least_documents(*merged_run(rows))
             for name, values in (("contexts", context), ("from", start), ("to", end), ("documents", document)):
-                save_array(folder, f"{name}-{part}", values)
+                save_arrays(folder, f"{name}-{part}", {"values": values})
             yield pa.RecordBatch.from_pydict({"n": [len(context)]})
 
     mapped(mapped(texts, sorted_runs, RUN).repartitionById(n_parts, F.col("part")), merge, "n bigint").agg(F.sum("n")).collect()
@@ -456,6 +472,4 @@ def _arrays(folder: str, bits: int) -> _Arrays:
     """The arrays of one run, held by the worker over its tasks."""
     if _held.get("folder") != folder:
         _held.update(folder=folder, arrays=_Arrays(folder, bits))
-    arrays = _held["arrays"]
-    arrays.open = {k: v for k, v in arrays.open.items() if v is not None}  # may have been written since
-    return arrays
+    return _held["arrays"]

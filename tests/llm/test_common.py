@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -54,3 +56,16 @@ def test_files_need_a_mounted_folder(spark, monkeypatch):
     monkeypatch.setattr(common, "scratch_path", lambda *_: "hdfs://host/folder")
     with pytest.raises(ValueError):
         common.shared_files(spark, "x")
+
+
+def test_mapped_arrays_keep_few_files_open(tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "OPEN_FILES", 3)
+    for k in range(10):
+        common.save_arrays(str(tmp_path), f"a{k}", {"x": np.arange(k, dtype=np.uint8), "y": np.full((2, k), k / 2), "empty": np.empty((0, 4), np.uint32)})
+    files = common.MappedArrays(str(tmp_path))
+    for k in [*range(10), 3, 0, 9]:
+        held = files(f"a{k}")
+        assert held["x"].tolist() == list(range(k)) and held["y"].shape == (2, k) and (held["y"] == k / 2).all() and held["empty"].shape == (0, 4)
+        assert len(files.open) <= 3
+    assert sum("a" in os.path.basename(os.readlink(f"/proc/self/fd/{d}")) and ".arrays" in os.readlink(f"/proc/self/fd/{d}")
+               for d in os.listdir("/proc/self/fd") if os.path.exists(f"/proc/self/fd/{d}")) <= 4

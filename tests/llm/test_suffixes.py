@@ -105,3 +105,20 @@ def test_digest_of_a_text_without_repeats(spark):
 def test_keys_must_be_integers(spark):
     with pytest.raises(Exception):
         suffixes.without_repeats(spark.createDataFrame([("x", "t" * 60)], "doc_id string, text string")).collect()
+
+
+def test_anchors_of_a_text_do_not_depend_on_the_texts_beside_it(monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 300)
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abcd ") for _ in range(n)) for n in (0, 40, 120, 1000, 299, 300, 301, 70, 650)]
+
+    def anchors(joined, which):
+        found = suffixes.Anchors(np.frombuffer(b"".join(joined), np.uint8), np.cumsum([0, *map(len, joined)]))
+        mine = found.text == which
+        start = sum(map(len, joined[:which]))
+        return sorted(zip((found.at[mine] - start).tolist(), found.low[mine].tolist(), found.high[mine].tolist(), found.context[mine].tolist()))
+
+    for k, text in enumerate(texts):
+        assert anchors(texts, k) == anchors([text], 0) == anchors([texts[4], text], 1)
+    assert suffixes.chunk_edges(np.cumsum([0, *map(len, texts)]))[-1] == sum(map(len, texts))
+    assert suffixes.chunk_edges(np.zeros(1, np.int64)) == [0]
