@@ -52,8 +52,8 @@ class Automaton:
                         state = self.link[state]
                     owners.setdefault(state if size == window else -2 - state, set()).add(item_id)
         # A short item is hit only by its whole run; its state may hold longer runs' suffixes as well.
-        self.owners = {s: tuple(sorted(x)) for s, x in owners.items() if s >= 0}
-        self.short = {-2 - s: tuple(sorted(x)) for s, x in owners.items() if s < 0}
+        self.owners = {s: tuple(x) for s, x in owners.items() if s >= 0}
+        self.short = {-2 - s: tuple(x) for s, x in owners.items() if s < 0}
         self.short_size = {}
         for _, item in items:
             if 0 < len(item) < window:
@@ -150,7 +150,7 @@ class Automaton:
 def item_blocks(benchmark: DataFrame, text: str, item_id: str, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
     """The test items in blocks of at most ``block_words`` words (one long item is a block of its own)."""
     block, size = [], 0
-    rows = benchmark.where(F.col(item_id).isNotNull()).select(item_id, text).distinct().sort(item_id, text)
+    rows = benchmark.select(item_id, text).distinct().sort(item_id, text)
     for row in rows.toLocalIterator():
         item = words(row[1] and row[1].encode())
         if block and size + len(item) > block_words:
@@ -172,8 +172,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     shared folder between blocks. Rows stay where they are: there is no join or shuffle.
 
     Nulls and empty texts have no words and no hits; an item without words owns nothing;
-    repeated rows are each judged; rows of the same item id add to the same item; without
-    items there are no hits. Columns called like the three results are replaced.
+    repeated rows are each judged; rows of the same item id add to the same item, those without an id
+    to one item that is null in ``hit_items``, at the end; without items there are no hits. Columns called like the three results are replaced.
     """
     spark = docs.sparkSession
     results = ["n_words", "hit_spans", "hit_items"]
@@ -206,7 +206,7 @@ def _with_block(spark, rows: DataFrame, block, text: str, window: int, schema) -
                 new_spans, new_items = automaton.matches(found)
                 counts.append(len(found))
                 spans.append(_joined(new_spans + [(s["start"], s["end"]) for s in old_spans]))
-                items.append(sorted(new_items.union(old_items)))
+                items.append(sorted(new_items.union(old_items), key=lambda i: (i is None, i or 0)))
             made = {"n_words": pa.array(counts, pa.int64()),
                     "hit_spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans],
                                           pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),

@@ -79,6 +79,7 @@ class Tokens:
         return array("H", self.encoding.encode_ordinary(text or "")).tobytes() + self.end
 
 
+SOME = 1000  # copies of a row that a task writes at a time
 _held: dict = {}
 
 
@@ -89,7 +90,7 @@ def _tokens(ranks_path: str, pattern: str) -> Tokens:
 
 
 def layout(docs: DataFrame, ranks_path: str, pattern: str, *, key: str, text: str) -> tuple[DataFrame, int]:
-    """Each text's name (hash of key and text), key, token count and first place in the stream; and the stream's length."""
+    """Each text's name (hash of key and text), key, token count, number of rows and first place in the stream; and the stream's length."""
     named = docs.select(F.xxhash64(key, text).alias("name"), F.col(key).alias("key"), F.col(text).alias("text"))
 
     def count(batches):
@@ -99,27 +100,27 @@ def layout(docs: DataFrame, ranks_path: str, pattern: str, *, key: str, text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["name", "key", "n"])
 
     key_type = docs.schema[key].dataType.simpleString()
-    counted = mapped(named, count, f"name bigint, key {key_type}, n bigint").groupBy("key", "name").agg(F.first("n").alias("n"))
+    counted = mapped(named, count, f"name bigint, key {key_type}, n bigint").groupBy("key", "name").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     n_ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def add_up(batches):
         total = 0
         for batch in batches:
-            n = batch.column("n").to_numpy()
+            n = batch.column("n").to_numpy() * batch.column("copies").to_numpy()
             before = total + np.cumsum(n) - n
             total += int(n.sum())
             yield batch.append_column("before", pa.array(before, pa.int64()))
 
     ranged = counted.repartitionByRange(n_ranges, "key", "name").sortWithinPartitions("key", "name")
-    placed = stored(mapped(ranged.select("key", "name", "n"), add_up, f"key {key_type}, name bigint, n bigint, before bigint")
+    placed = stored(mapped(ranged.select("key", "name", "n", "copies"), add_up, f"key {key_type}, name bigint, n bigint, copies bigint, before bigint")
                     .withColumn("part", F.spark_partition_id()), "layout")
-    totals = dict(placed.groupBy("part").agg(F.sum("n")).collect())  # a row per partition
+    totals = dict(placed.groupBy("part").agg(F.sum(F.col("n") * F.col("copies"))).collect())  # a row per partition
     starts, total = [], 0
     for part in range(max(totals, default=-1) + 1):
         starts.append(total)
         total += totals.get(part, 0)
     first = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("part") + 1) if starts else F.lit(0)
-    return placed.select("name", "key", "n", (F.col("before") + first).alias("start")), total
+    return placed.select("name", "key", "n", "copies", (F.col("before") + first).alias("start")), total
 
 
 def write_shards(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *, seed: int = 0, key: str = "doc_id", text: str = "text",
@@ -128,9 +129,10 @@ def write_shards(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *,
 
     Ids are 16-bit, little-endian; special tokens' strings are ordinary text; the end token
     is the first free id, and fills up the last sequence. A null or empty text is an end
-    token alone. A row that repeats another's key and text is materialised once; texts that
-    share a key are all written. An empty table gives no shards. Texts are encoded twice,
-    to count and to write, and stay where they are; only ids are shuffled, once.
+    token alone. Every row is written, also where rows repeat a key, or a key and a text, or have no key:
+    rows of equal key and text follow each other. An empty table gives no shards. Texts are encoded twice,
+    to count and to write, and stay where they are; only ids are shuffled, once. Of rows that repeat others, the
+    text goes to a task that writes all of them.
     """
     if length < 1 or shard_records < 1:
         raise ValueError("length and shard_records must be positive")
@@ -140,13 +142,32 @@ def write_shards(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *,
     meta = {"folder": folder, "length": length, "sequences": n, "tokens": total, "seed": seed, "shard_records": shard_records}
     if not n:
         return meta
-    parts = saved_sorted(places.select("name", "start"), "name", ["start"], "starts")
+    parts = saved_sorted(places.select("name", "start", "copies"), "name", ["start", "copies"], "starts")
     named = docs.select(F.xxhash64(key, text).alias("name"), F.col(text).alias("text"))
 
+    def place(batches):
+        """Rows that are the only ones of their name, with their first places."""
+        starts = SortedArrays(parts, "name")
+        for batch in batches:
+            _, (start, copies) = starts.look_up(batch.column("name").to_numpy(), ["start", "copies"])
+            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(start)], names=["text", "start"]).filter(pa.array(copies == 1))
+
+    def several(batches):
+        """Of rows that repeat others, one per task."""
+        starts, told = SortedArrays(parts, "name"), set()
+        for batch in batches:
+            _, (copies,) = starts.look_up(batch.column("name").to_numpy(), ["copies"])
+            rows = []
+            for i in np.flatnonzero(copies > 1).tolist():
+                if (name := batch.column("name")[i].as_py()) not in told:
+                    told.add(name)
+                    rows.append(i)
+            yield batch.take(pa.array(rows, pa.int64()))
+
     def cut(batches):
-        tokens, starts, order = _tokens(ranks_path, pattern), SortedArrays(parts, "name"), Order(n, seed)
+        tokens, order = _tokens(ranks_path, pattern), Order(n, seed)
         for batch in slices(batches, "text"):
-            _, (start,) = starts.look_up(batch.column("name").to_numpy(), ["start"])
+            start = batch.column("start").to_numpy()
             sequence, at, ids = [], [], []
             for first, value in zip(start.tolist(), batch.column("text").to_pylist()):
                 data = tokens.ids(value)
@@ -177,16 +198,25 @@ def write_shards(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *,
                     if slot is not None:
                         out.append(whole())
                     slot, record, filled = s, bytearray(), []
-                if 2 * at == len(record):  # else a row that repeats another
-                    record.extend(ids)
-                    filled.append(len(ids) // 2)
+                if 2 * at != len(record):
+                    raise ValueError(f"slot {s} is not in step: the table changed while it was written")
+                record.extend(ids)
+                filled.append(len(ids) // 2)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
         if slot is not None:
             yield pa.RecordBatch.from_arrays([pa.array([whole()], pa.binary())], names=["record"])
 
     shard = (F.col("slot") / F.lit(shard_records)).cast("int")
-    ranges = mapped(named, cut, "slot bigint, at int, ids binary").repartitionById(-(-n // shard_records), shard)
+    rows = mapped(named, place, "text string, start bigint")
+    if not places.where("copies > 1").isEmpty():
+        once = mapped(named, several, "name bigint, text string").groupBy("name").agg(F.first("text").alias("text"))
+        many = once.join(places.where("copies > 1").select("name", "n", "copies", "start"), "name")
+        last = F.floor((F.col("copies") - 1) / SOME)
+        some = many.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("name", "_k")
+        own = F.sequence(F.col("_k") * SOME, F.least((F.col("_k") + 1) * SOME, F.col("copies")) - 1)
+        rows = rows.union(some.withColumn("_i", F.explode(own)).select("text", (F.col("start") + F.col("_i") * F.col("n")).alias("start")))
+    ranges = mapped(rows, cut, "slot bigint, at int, ids binary").repartitionById(-(-n // shard_records), shard)
     (mapped(ranges.sortWithinPartitions("slot", "at"), assemble, "record binary")
      .select(F.col("record").cast("string")).write.option("lineSep", END_OF_RECORD).text(folder))
     return meta

@@ -51,15 +51,15 @@ def test_hits_whatever_the_blocks(spark, block_words):
     docs, items = docs_and_items(spark)
     rows = d.benchmark_hits(docs, items, block_words=block_words).collect()
     got = sorted((r.doc_id or 0, r.n_words, [(s.start, s.end) for s in r.hit_spans], r.hit_items) for r in rows)
-    assert got == [(0, 12, [(0, 12)], [10]), (1, 2, [], []), (1, 33, [(2, 14)], [10]), (2, 0, [], []), (3, 0, [], []), (4, 2, [], []),
+    assert got == [(0, 12, [(0, 12)], [10]), (1, 2, [(0, 2)], [None]), (1, 33, [(2, 14)], [10]), (2, 0, [], []), (3, 0, [], []), (4, 2, [(0, 2)], [None]),
                    (5, 2, [(0, 2)], [11]), (6, 8, [(1, 3)], [11])]
 
 
 def test_spans_are_cut_and_made_up_documents_go(spark):
     docs, items = docs_and_items(spark)
     kept = {(r.doc_id, r.text) for r in d.without_hits(docs, items).collect()}
-    assert kept == {(1, "before it  after it, and more words of its own so that it stays: a b c d e f g"), (2, None), (3, ""), (4, "clean text"),
-                    (1, "clean text"), (6, "a , here and some other words")}
+    assert kept == {(1, "before it  after it, and more words of its own so that it stays: a b c d e f g"), (2, None), (3, ""),
+                    (6, "a , here and some other words")}  # "clean text" is an item without an id
 
 
 def test_no_items_and_no_documents(spark, awkward, nothing):
@@ -67,3 +67,11 @@ def test_no_items_and_no_documents(spark, awkward, nothing):
     assert {tuple(r.hit_items) for r in d.benchmark_hits(awkward, items.limit(0)).collect()} == {()}
     assert d.benchmark_hits(nothing, items).count() == 0
     assert d.without_hits(awkward, items).count() == awkward.count()
+
+
+def test_items_without_an_id_hit_and_are_cut(spark):
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "a b d"), (3, "z")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, "a b c"), (None, "a b d"), (7, "x a b")], "item_id bigint, text string")
+    got = {r.doc_id: r for r in d.benchmark_hits(docs, items, window=3).collect()}
+    assert got[1].hit_items == [7, None] and got[2].hit_items == [None] and got[3].hit_items == []
+    assert [(s.start, s.end) for s in got[1].hit_spans] == [(0, 4)] and [(s.start, s.end) for s in got[2].hit_spans] == [(0, 3)]

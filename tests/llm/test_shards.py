@@ -38,7 +38,7 @@ def test_order_is_a_permutation(n):
 
 def stream(encoding, rows, length):
     ids = []
-    for _, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+    for _, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids += encoding.encode_ordinary(text or "") + [50256]
     n = -(-len(ids) // length)
     return np.array(ids + [50256] * (n * length - len(ids)), np.uint16).reshape(n, length)
@@ -64,7 +64,18 @@ def test_shards_hold_the_stream_in_order_of_slots(spark, pattern, encoding):
 
 def test_texts_that_share_a_key_are_all_written(spark, pattern):
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b")], "doc_id bigint, text string")
-    assert shards.write_shards(docs, scratch_path(spark, "shards"), RANKS, pattern, length=8, shard_records=2)["tokens"] == 4
+    assert shards.write_shards(docs, scratch_path(spark, "shards"), RANKS, pattern, length=8, shard_records=2)["tokens"] == 6
+
+
+def test_repeated_and_keyless_rows_are_all_written(spark, pattern, encoding, monkeypatch):
+    monkeypatch.setattr(shards, "SOME", 7)
+    rows = [(k, f"text {k}") for k in range(5)] + [(None, "keyless")] * 40 + [(None, None)] * 9 + [(3, "text 3")] * 25
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    meta = shards.write_shards(docs, scratch_path(spark, "shards"), RANKS, pattern, length=16, shard_records=4)
+    got = b"".join(r.ids for r in shards.read_records(spark, meta).orderBy("sequence").collect())
+    ids = np.frombuffer(got, np.uint16)[:meta["tokens"]].tolist()
+    found = [encoding.decode([i for i in part]) for part in "".join(chr(i) for i in ids).split(chr(50256))[:-1] for part in [[ord(c) for c in part]]]
+    assert sorted(found) == sorted(t or "" for _, t in rows)
 
 
 def test_awkward_and_no_rows(spark, awkward, nothing, pattern):
