@@ -145,13 +145,6 @@ def write_shards(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *,
     parts = saved_sorted(places.select("name", "start", "copies"), "name", ["start", "copies"], "starts")
     named = docs.select(F.xxhash64(key, text).alias("name"), F.col(text).alias("text"))
 
-    def place(batches):
-        """Rows that are the only ones of their name, with their first places."""
-        starts = SortedArrays(parts, "name")
-        for batch in batches:
-            _, (start, copies) = starts.look_up(batch.column("name").to_numpy(), ["start", "copies"])
-            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(start)], names=["text", "start"]).filter(pa.array(copies == 1))
-
     def several(batches):
         """Of rows that repeat others, one per task."""
         starts, told = SortedArrays(parts, "name"), set()
@@ -164,12 +157,14 @@ def write_shards(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *,
                     rows.append(i)
             yield batch.take(pa.array(rows, pa.int64()))
 
-    def cut(batches):
+    def cut_at(batches, starts_of):
+        """The ids of texts, cut where records end; ``starts_of`` gives a text's first place, below 0 where it is not to be written."""
         tokens, order = _tokens(ranks_path, pattern), Order(n, seed)
         for batch in slices(batches, "text"):
-            start = batch.column("start").to_numpy()
             sequence, at, ids = [], [], []
-            for first, value in zip(start.tolist(), batch.column("text").to_pylist()):
+            for first, value in zip(starts_of(batch).tolist(), batch.column("text").to_pylist()):
+                if first < 0:
+                    continue
                 data = tokens.ids(value)
                 done = 0
                 while done < len(data):
@@ -182,6 +177,19 @@ def write_shards(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *,
             slot = order.slots(np.array(sequence, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(at, pa.int32()), pa.array(ids, pa.binary())], names=["slot", "at", "ids"])
 
+    def cut(batches):
+        """Rows that are the only ones of their name."""
+        starts = SortedArrays(parts, "name")
+
+        def starts_of(batch):
+            _, (start, copies) = starts.look_up(batch.column("name").to_numpy(), ["start", "copies"])
+            return np.where(copies == 1, start, -1)
+
+        yield from cut_at(batches, starts_of)
+
+    def cut_placed(batches):
+        yield from cut_at(batches, lambda batch: batch.column("start").to_numpy())
+
     def assemble(batches):
         end = _tokens(ranks_path, pattern).end
         slot, record, filled = None, bytearray(), []
@@ -208,15 +216,17 @@ def write_shards(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *,
             yield pa.RecordBatch.from_arrays([pa.array([whole()], pa.binary())], names=["record"])
 
     shard = (F.col("slot") / F.lit(shard_records)).cast("int")
-    rows = mapped(named, place, "text string, start bigint")
+    pieces = "slot bigint, at int, ids binary"
+    rows = mapped(named, cut, pieces)
     if not places.where("copies > 1").isEmpty():
         once = mapped(named, several, "name bigint, text string").groupBy("name").agg(F.first("text").alias("text"))
         many = once.join(places.where("copies > 1").select("name", "n", "copies", "start"), "name")
         last = F.floor((F.col("copies") - 1) / SOME)
         some = many.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("name", "_k")
         own = F.sequence(F.col("_k") * SOME, F.least((F.col("_k") + 1) * SOME, F.col("copies")) - 1)
-        rows = rows.union(some.withColumn("_i", F.explode(own)).select("text", (F.col("start") + F.col("_i") * F.col("n")).alias("start")))
-    ranges = mapped(rows, cut, "slot bigint, at int, ids binary").repartitionById(-(-n // shard_records), shard)
+        copies = some.withColumn("_i", F.explode(own)).select("text", (F.col("start") + F.col("_i") * F.col("n")).alias("start"))
+        rows = rows.union(mapped(copies, cut_placed, pieces))
+    ranges = rows.repartitionById(-(-n // shard_records), shard)
     (mapped(ranges.sortWithinPartitions("slot", "at"), assemble, "record binary")
      .select(F.col("record").cast("string")).write.option("lineSep", END_OF_RECORD).text(folder))
     return meta
