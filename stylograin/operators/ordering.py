@@ -8,9 +8,11 @@ its order key and on constant cut points, so a recomputed task gives the same re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,20 +33,24 @@ def bucket_count(df: DataFrame) -> int:
 
 def with_quantile_bucket(df: DataFrame, order: str, buckets: int | None = None,
                          name: str = "_bucket") -> DataFrame:
-    """Add the number of approximate quantiles of ``order`` that lie below its value.
+    """Add the number of approximate quantiles of ``order`` that do not exceed its value.
 
     The cut points are fetched once, fewer numbers than buckets, and become constants of
-    the plan. Approximate quantiles may differ between two runs; as constants they are the
+    the plan, in which each row's place is found by binary search. Approximate quantiles may differ between two runs; as constants they are the
     same for the bucket sums and for the rows. They only steer the partitioning, results
     do not depend on them.
     """
     buckets = buckets or bucket_count(df)
     shares = [i / buckets for i in range(1, buckets)]
     value = F.col(order).cast("double")
-    cuts = sorted(set(df.agg(F.percentile_approx(value, shares, 2000)).first()[0] or []))
-    constants = F.array(*[F.lit(float(cut)) for cut in cuts]).cast("array<double>")
-    # Never null: otherwise a join on the bucket pushes a null test down to the source.
-    return df.withColumn(name, F.coalesce(F.size(F.filter(constants, lambda cut: cut < value)), F.lit(0)))
+    found = df.agg(F.percentile_approx(value, shares, 2000)).first()[0] or []
+    cuts = sorted({cut for cut in found if math.isfinite(cut)})
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    search = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_order", outputCol="_found", handleInvalid="keep")
+    # Nulls come first. Never null: otherwise a join on the bucket pushes a null test down to the source.
+    placed = search.transform(df.withColumn("_order", F.coalesce(value, F.lit(-math.inf))))
+    return placed.withColumn(name, F.coalesce(F.col("_found").cast("int"), F.lit(0))).drop("_order", "_found")
 
 
 def prefix_sums(df: DataFrame, order: Sequence[str], values: Mapping[str, Column],

@@ -95,3 +95,12 @@ def test_top_per_group(spark, k):
     assert sorted((r.g, r["rank"], r.sample_id) for r in got) == sorted((g, n + 1, i) for g, ids in want.items() for n, i in enumerate(ids))
     whole = o.top_per_group(df, k, [F.desc("sample_id")]).collect()
     assert sorted((r["rank"], r.sample_id) for r in whole) == [(n + 1, i) for n, i in enumerate(sorted((i for i, _, _ in rows), reverse=True)[:k])]
+
+
+def test_quantile_buckets_follow_the_order(spark):
+    values = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e300] + [((i * 7919) % 1000) / 10 for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r._bucket for r in o.with_quantile_bucket(df, "v", 16).orderBy("v").collect()]  # nulls first, NaN last
+    assert got == sorted(got) and got[0] == 0 and len(set(got)) > 10
+    assert {r._bucket for r in o.with_quantile_bucket(df.where("v IS NULL"), "v", 16).collect()} == {0}
+    assert o.with_quantile_bucket(df.limit(0), "v", 16).collect() == []
