@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and formats inferred from the credentials they find.
 
 The credentials found by the patterns are the labelled examples. Per kind, their prefix tree
-is folded into a probabilistic automaton: states whose outgoing choices do not differ by
-more than chance (Hoeffding's bound) are merged. Every other run of credential characters
+is folded into a probabilistic automaton: states whose statistics do not differ by more
+than chance are merged. Every other run of credential characters
 in the corpus that is as long as the shortest credential (8 characters), and every such
 piece of a run beside a pattern's span, is then scored by how much likelier a learned
 format makes it than the corpus's own runs do.
@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +37,7 @@ CREDENTIAL = re.compile(r"[A-Za-z0-9+/_.=-]")
 MARKS = "+/_.=-"
 FORMAT = "format"
 END = ""
+SYMBOLS = 69  # credential characters and the end
 
 Span = tuple[int, int, str]
 
@@ -97,110 +98,152 @@ def candidates(text: str, runs: list[tuple[int, int]], spans: list[Span]) -> Ite
 
 
 class Format:
-    """A probabilistic automaton inferred from strings."""
+    """A probabilistic automaton inferred from strings.
+
+    The prefix tree is folded layer by layer. States at the same depth are merged unless
+    their next characters, the classes of the eight that follow, or the lengths that are
+    left differ by more than chance (Hoeffding's bound, Kolmogorov and Smirnov's distance).
+    So fixed heads, places and lengths stay in the states. A state joins one of an earlier
+    layer, which makes a loop, only if the lengths left after either are memoryless, that
+    is, if the chance of an end does not depend on the depth. Below ``least`` strings, and
+    beyond ``depth`` characters, nothing can be told apart: there the rest goes to one
+    state that loops. A state's characters are backed by those of all the strings, with the
+    weight of one observation per character it has seen; its end, with that of one.
+    """
 
-    def __init__(self, strings: dict[str, int], alpha: float = 0.05):
-        self.arcs: list[dict[str, list[int]]] = [{}]  # character -> [state, count]
-        self.ends = [0]
-        for string in sorted(strings):
-            at, n = 0, strings[string]
-            for c in string:
-                arc = self.arcs[at].get(c)
-                if arc is None:
-                    self.arcs.append({})
-                    self.ends.append(0)
-                    arc = self.arcs[at][c] = [len(self.arcs) - 1, 0]
-                arc[1] += n
-                at = arc[0]
-            self.ends[at] += n
-        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self._fold()
-        self._probabilities()
-
-    def _total(self, s: int) -> int:
-        return self.ends[s] + sum(a[1] for a in self.arcs[s].values())
-
-    def _alike(self, a: int, b: int) -> bool:
-        """Whether two states, and those they lead to, differ by no more than chance."""
-        open_ = [(a, b)]
-        while open_:
-            s, t = open_.pop()
-            n, m = self._total(s), self._total(t)
-            if not n or not m:
-                continue
-            most = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            if abs(self.ends[s] / n - self.ends[t] / m) > most:
-                return False
-            for c in self.arcs[s].keys() | self.arcs[t].keys():
-                x, y = self.arcs[s].get(c), self.arcs[t].get(c)
-                if abs((x[1] if x else 0) / n - (y[1] if y else 0) / m) > most:
-                    return False
-                if x and y:
-                    open_.append((x[0], y[0]))
-        return True
-
-    def _merge(self, red: int, blue: int) -> None:
-        """Fold the tree below ``blue`` into ``red``; what led to ``blue`` has been turned to ``red``."""
-        open_ = [(red, blue)]
-        while open_:
-            s, t = open_.pop()
-            self.ends[s] += self.ends[t]
-            for c, (to, n) in self.arcs[t].items():
-                arc = self.arcs[s].get(c)
-                if arc is None:
-                    self.arcs[s][c] = [to, n]
+    def __init__(self, strings: dict[str, int], alpha: float = 0.05, least: int = 8, depth: int = 256):
+        self.least, self.bound = least, math.sqrt(0.5 * math.log(2 / alpha))
+        self.arcs: list[dict[str, int]] = [{}, {}]  # the first state and the one that loops
+        self._fold(strings, depth)
+        self._probabilities(strings)
+        del self.arcs
+
+    def _limit(self, n: int, m: int) -> float:
+        return self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+
+    def _alike(self, a: _Rest, b: _Rest) -> bool:
+        """Whether two sets of suffixes differ by no more than chance."""
+        most = self._limit(a.n, b.n)
+        return all(abs(x.get(k, 0) / a.n - y.get(k, 0) / b.n) <= most
+                   for x, y in ((a.next, b.next), (a.classes, b.classes)) for k in x.keys() | y.keys()) and _distance(a.left, b.left) <= most
+
+    def _memoryless(self, rest: _Rest) -> bool:
+        """Whether the lengths left after half the median are distributed as those at the start are."""
+        lengths = sorted(rest.left.elements())
+        step = max(1, lengths[len(lengths) // 2] // 2)
+        later = Counter({k - step: n for k, n in rest.left.items() if k >= step})
+        m = sum(later.values())
+        return m >= self.least and rest.n >= self.least and _distance(rest.left, later) <= self._limit(rest.n, m)
+
+    def _fold(self, strings: dict[str, int], depth: int) -> None:
+        layer = [(0, _Rest(strings, 0))] if sum(strings.values()) >= self.least else []
+        if not layer:
+            self.arcs[0] = {c: 1 for c in sorted({c for s in strings for c in s[:1]})}
+        loops: list[tuple[int, _Rest]] = []
+        for at in range(depth):
+            # Strings by state and next character, the most frequent first: they settle the states of the next layer.
+            found: list[tuple[int, str, _Rest]] = []
+            for state, rest in layer:
+                if self._memoryless(rest):
+                    loops.append((state, rest))
+                by_next: dict[str, dict[str, int]] = {}
+                for string, n in rest.strings.items():
+                    if len(string) > at:
+                        by_next.setdefault(string[at], {})[string] = n
+                found += [(state, c, _Rest(group, at + 1)) for c, group in by_next.items()]
+            found.sort(key=lambda f: (-f[2].n, f[0], f[1]))
+            settled: list[list] = []
+            for state, c, rest in found:
+                loop = next((to for to, earlier in loops if self._alike(earlier, rest)), None) if self._memoryless(rest) else None
+                if loop is not None:
+                    self.arcs[state][c] = loop
+                    continue
+                for entry in settled:
+                    if self._alike(entry[1], rest):
+                        entry[1] = entry[1].joined(rest)
+                        break
                 else:
-                    arc[1] += n
-                    open_.append((arc[0], to))
-
-    def _fold(self) -> None:
-        """Merge in breadth-first order; what cannot be merged into a settled state becomes one."""
-        settled = [0]
-        known = {0}
-        todo = deque((0, c) for c in sorted(self.arcs[0]))
-        while todo:
-            source, c = todo.popleft()
-            blue = self.arcs[source][c][0]
-            if blue in known:
-                continue
-            for red in settled:
-                if self._alike(red, blue):
-                    self.arcs[source][c][0] = red
-                    self._merge(red, blue)
-                    todo.extend((s, x) for s in settled for x in sorted(self.arcs[s]) if self.arcs[s][x][0] not in known)
-                    break
-            else:
-                settled.append(blue)
-                known.add(blue)
-                todo.extend((blue, x) for x in sorted(self.arcs[blue]))
-
-    def _probabilities(self) -> None:
-        """Keep reachable states, with log-probabilities; an unseen choice shares the weight of one observation."""
-        number, order = {0: 0}, [0]
-        for s in order:
-            for to, _ in self.arcs[s].values():
-                if to not in number:
-                    number[to] = len(number)
-                    order.append(to)
-        self.steps, self.floors = [], []
-        for s in order:
-            n = self._total(s) + 1
-            self.steps.append({c: (number[to], math.log(k / n)) for c, (to, k) in self.arcs[s].items()} | ({END: (0, math.log(self.ends[s] / n))} if self.ends[s] else {}))
-            self.floors.append(-math.log(n) - math.log(80))
-        del self.arcs, self.ends
+                    entry = [0, rest]
+                    settled.append(entry)
+                entry.append((state, c))
+            layer = []
+            for entry in settled:
+                if entry[1].n < self.least or at + 1 == depth:
+                    to = 1
+                else:
+                    to = len(self.arcs)
+                    self.arcs.append({})
+                    layer.append((to, entry[1]))
+                for state, c in entry[2:]:
+                    self.arcs[state][c] = to
+            if not layer:
+                break
+
+    def _probabilities(self, strings: dict[str, int]) -> None:
+        """Count what each string does in the automaton; a choice that a state lacks leads where most of its own do."""
+        counts = [Counter() for _ in self.arcs]
+        common = Counter()
+        for string, n in strings.items():
+            state = 0
+            for c in string:
+                counts[state][c] += n
+                common[c] += n
+                state = self.arcs[state].get(c, 1)
+            counts[state][END] += n
+            common[END] += n
+        total = sum(common.values())
+        floor = 0.5 / (total + 0.5 * SYMBOLS)
+        back = {c: (n + 0.5) / (total + 0.5 * SYMBOLS) for c, n in common.items()}
+        self.steps, self.others = [], []
+        for arcs, count in zip(self.arcs, counts):
+            weight = max(1, len(count.keys() - {END}))
+            end = back.get(END, 0.0)
+            n = sum(count.values()) + weight * (1 - end) + end
+            leads = Counter()
+            for c, to in arcs.items():
+                leads[to] += count[c]
+            other = leads.most_common(1)[0][0] if leads else 1
+            self.steps.append({c: (arcs.get(c, other), math.log((count[c] + (weight if c else 1) * p) / n)) for c, p in back.items()})
+            self.others.append((other, math.log(weight * floor / n)))
 
     def log_likelihood(self, string: str) -> float:
         at, total = 0, 0.0
+        steps, others = self.steps, self.others
         for c in string:
-            step = self.steps[at].get(c)
-            if step is None:
-                total += self.floors[at]
-                at = 0
-            else:
-                at = step[0]
-                total += step[1]
-        step = self.steps[at].get(END)
-        return total + (step[1] if step else self.floors[at])
+            at, gain = steps[at].get(c) or others[at]
+            total += gain
+        return total + (steps[at].get(END) or others[at])[1]
+
+
+class _Rest:
+    """What is left of some strings after ``at`` characters: their lengths, next characters and the classes of the next eight."""
+
+    def __init__(self, strings: dict[str, int], at: int):
+        self.strings, self.n = strings, sum(strings.values())
+        self.left, self.next, self.classes = Counter(), Counter(), Counter()
+        for string, n in strings.items():
+            self.left[len(string) - at] += n
+            self.next[string[at:at + 1]] += n
+            ahead = string[at:at + 8]
+            for c in ahead:
+                self.classes["0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "."] += n / len(ahead)
+
+    def joined(self, other: _Rest) -> _Rest:
+        out = _Rest({}, 0)
+        out.strings = {s: self.strings.get(s, 0) + other.strings.get(s, 0) for s in self.strings | other.strings}
+        out.n = self.n + other.n
+        out.left, out.next, out.classes = self.left + other.left, self.next + other.next, self.classes + other.classes
+        return out
+
+
+def _distance(a: Counter, b: Counter) -> float:
+    """The largest difference between two distributions of lengths, summed up."""
+    n, m = sum(a.values()), sum(b.values())
+    x = y = most = 0.0
+    for k in sorted(a.keys() | b.keys()):
+        x, y = x + a[k] / n, y + b[k] / m
+        most = max(most, abs(x - y))
+    return most
 
 
 class Ordinary:
@@ -219,10 +262,11 @@ class Ordinary:
 
 
 class Scanner:
-    """Learned formats with the score each must reach."""
+    """Learned formats with the score each must reach, and the share of held-out credentials that reach it."""
 
     def __init__(self, formats: dict[str, Format], ordinary: Ordinary, limits: dict[str, float]):
         self.formats, self.ordinary, self.limits = formats, ordinary, limits
+        self.recall: dict[str, float] = {}
 
     def score(self, kind: str, string: str) -> float:
         """Gain in log-likelihood per character of a format over ordinary runs."""
@@ -232,15 +276,17 @@ class Scanner:
         return any(self.score(kind, string) >= self.limits[kind] for kind in self.formats)
 
 
-def learned(docs: DataFrame, text: str = "text", max_examples: int = 2000, least_examples: int = 50, share_of_gain: float = 0.5,
-            least_gain: float = 0.25) -> Scanner:
+def learned(docs: DataFrame, text: str = "text", max_examples: int = 2000, share_of_gain: float = 0.5, least_gain: float = 0.25,
+            caution: float = 1.0) -> Scanner:
     """Infer one format per kind from the corpus.
 
     Distinct credentials and character pairs are counted over all texts. A format is
     inferred from at most about ``max_examples`` distinct credentials of its kind, chosen by
-    hash, two thirds to learn and the rest to set its limit: ``share_of_gain`` times their
-    median score, and ``least_gain`` at least. A kind with fewer than ``least_examples``
-    gets no format.
+    hash, two thirds to learn and the rest, held out, to set its limit: ``share_of_gain`` times their
+    median score, and ``least_gain`` at least, each widened by ``caution`` over the root of the number of
+    examples, so that a format of few examples accepts only what it makes much likelier. ``Scanner.recall``
+    tells which share of the held-out credentials, without the words before them, reach the
+    limit. A kind without a credential to learn or to hold out gets no format.
     """
     def collect(batches):
         found: Counter[tuple[str, str]] = Counter()
@@ -269,20 +315,21 @@ def learned(docs: DataFrame, text: str = "text", max_examples: int = 2000, least
     share = F.pmod(F.xxhash64("value"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     pairs = {r.value: r.n for r in counted.where("kind = 'pair'").collect()}
     ordinary = Ordinary(pairs)
-    formats, limits = {}, {}
+    formats, limits, recall = {}, {}, {}
     for kind in KINDS:
-        if sizes.get(kind, 0) < least_examples:
+        if kind not in sizes:
             continue
         chosen = counted.where((F.col("kind") == kind) & (share < min(1.0, max_examples / sizes[kind]))).withColumn("u", F.pmod(F.xxhash64("value", F.lit(3)), F.lit(3))).collect()
         grow, held = {r.value: 1 for r in chosen if r.u}, sorted(r.value for r in chosen if not r.u)
         if not grow or not held:
             continue
         formats[kind] = Format(grow)
-        limits[kind] = 0.0
-        scanner = Scanner(formats, ordinary, limits)
-        scores = sorted(scanner.score(kind, s) for s in held)
-        limits[kind] = max(least_gain, share_of_gain * scores[len(scores) // 2])
-    return Scanner(formats, ordinary, limits)
+        scores = sorted(Scanner(formats, ordinary, limits).score(kind, s) for s in held)
+        limits[kind] = max(least_gain, share_of_gain * scores[len(scores) // 2]) + caution / math.sqrt(len(chosen))
+        recall[kind] = sum(x >= limits[kind] for x in scores) / len(scores)
+    scanner = Scanner(formats, ordinary, limits)
+    scanner.recall = recall
+    return scanner
 
 
 _held: dict = {}
@@ -325,13 +372,14 @@ def with_secrets(docs: DataFrame, scanner: Scanner, *, text: str = "text", name:
 
 def redacted(docs: DataFrame, scanner: Scanner, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; overlapping spans are replaced as one."""
-    found = with_secrets(docs, scanner, text=text, name="_secrets")
+    spans_of = f"_secrets_{uuid.uuid4().hex}"
+    found = with_secrets(docs, scanner, text=text, name=spans_of)
 
     def replace(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
             texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column("_secrets").to_pylist()):
+            for i, spans in enumerate(batch.column(spans_of).to_pylist()):
                 if spans:
                     value, parts, begin = texts[i], [], 0
                     k = 0
@@ -346,4 +394,4 @@ def redacted(docs: DataFrame, scanner: Scanner, *, text: str = "text", mark: str
                     texts[i] = "".join([*parts, value[begin:]])
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return mapped(found, replace, found.schema).drop("_secrets")
+    return mapped(found, replace, found.schema).drop(spans_of)

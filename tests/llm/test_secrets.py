@@ -98,3 +98,55 @@ def test_short_runs_and_pieces_beside_spans_are_scored(spark):
 def test_pieces_of_a_run():
     assert list(secrets.apart([(0, 40)], [(8, 20, "x"), (10, 30, "x")])) == [(0, 8), (30, 40)]
     assert list(secrets.apart([(0, 40), (41, 60)], [(7, 45, "x")])) == [(45, 60)]
+
+
+@pytest.mark.parametrize("n, others", [(20, (9, 20)), (100, (9, 20, 39, 41, 80)), (800, (9, 20, 39, 41, 80))])
+def test_format_learns_the_length(n, others):
+    """Strings of another length are less likely, character by character; a head is part of the format."""
+    format_ = secrets.Format({x: 1 for x in hexes(n, 40, n)})
+    assert len(format_.steps) > 40
+
+    def per_character(*strings):
+        return sum(format_.log_likelihood(s) / (len(s) + 1) for s in strings) / len(strings)
+
+    right = per_character(*hexes(30, 40, 1))
+    assert all(per_character(*hexes(30, k, 2)) < right - 0.05 for k in others)
+    both = secrets.Format({x: 1 for x in hexes(300, 40, 3)} | {f"ghp_{x}": 1 for x in hexes(300, 36, 4)})
+    fits, not_ = (sum(both.log_likelihood(f"ghp_{x}") for x in hexes(30, k, 5)) / 30 / (k + 5) for k in (36, 44))
+    assert fits > not_ + 0.05
+
+
+def test_lengths_without_memory_make_loops():
+    r = random.Random(9)
+    strings = {"".join(r.choice("ab") for _ in range(8 + int(r.expovariate(1 / 12)))): 1 for _ in range(1500)}
+    format_ = secrets.Format(strings)
+    assert len(format_.steps) < 40 < max(map(len, strings))
+    assert any(to <= s for s, step in enumerate(format_.steps) for c, (to, _) in step.items() if c in "ab" and s > 1)
+
+
+def test_long_strings_make_no_more_states_than_layers():
+    strings = {x: 1 for x in hexes(50, 3000, 8)}
+    assert len(secrets.Format(strings, depth=64).steps) <= 66
+    assert secrets.Format(strings, depth=64).log_likelihood(hexes(1, 3000, 9)[0]) / 3001 > -3
+
+
+@pytest.mark.parametrize("n, least", [(12, 20), (40, 36), (300, 40)])
+def test_bare_credentials_are_found_and_words_are_not(spark, n, least):
+    """Held-out accuracy: of 40 credentials without a keyword this many are found, fewer from few examples; ordinary runs are not."""
+    r = random.Random(n)
+    words = ["the", "quick", "mail2.example.com", "internationalisation", "4565410125667261", "configuration", "well-known", "considered"]
+    keys = [f"sk_{x}" for x in hexes(n + 40, 24, n)]
+    rows = [(i, f"{' '.join(r.choice(words) for _ in range(30))} token = \"{k}\" end") for i, k in enumerate(keys[:n])]
+    rows += [(1000 + i, f"{' '.join(r.choice(words) for _ in range(30))} bare {k} here") for i, k in enumerate(keys[n:])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    scanner = secrets.learned(docs)
+    assert set(scanner.formats) == {"assign"} and scanner.recall["assign"] >= 0.8
+    found = {row.doc_id: [row.text[s.start:s.end] for s in row.secrets if s.kind == secrets.FORMAT] for row in secrets.with_secrets(docs, scanner).collect()}
+    assert not any(found[i] for i in range(n))
+    hits = [found[1000 + i] for i in range(40)]
+    assert all(h in ([], [k]) for h, k in zip(hits, keys[n:])) and sum(map(bool, hits)) >= least, sum(map(bool, hits))
+
+
+def test_no_name_is_taken_from_the_input(spark):
+    docs = spark.createDataFrame([(1, "password = abcdefgh1", "mine")], "doc_id bigint, text string, _secrets string")
+    assert secrets.redacted(docs, secrets.learned(docs)).first() == (1, "[SECRET]", "mine")
