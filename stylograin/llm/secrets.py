@@ -107,8 +107,9 @@ class Format:
     layer, which makes a loop, only if the lengths left after either are memoryless, that
     is, if the chance of an end does not depend on the depth. Below ``least`` strings, and
     beyond ``depth`` characters, nothing can be told apart: there the rest goes to one
-    state that loops. A state's characters are backed by those of all the strings, with the
-    weight of one observation per character it has seen; its end, with that of one.
+    state that loops. A state's characters are backed by those of all the strings, with a weight
+    that grows with the share of its observations that were new characters; its end, with
+    that of one observation.
     """
 
     def __init__(self, strings: dict[str, int], alpha: float = 0.05, least: int = 8, depth: int = 256):
@@ -196,8 +197,8 @@ class Format:
         back = {c: (n + 0.5) / (total + 0.5 * SYMBOLS) for c, n in common.items()}
         self.steps, self.others = [], []
         for arcs, count in zip(self.arcs, counts):
-            weight = max(1, len(count.keys() - {END}))
-            end = back.get(END, 0.0)
+            end, kinds, seen = back.get(END, 0.0), len(count.keys() - {END}), sum(count.values()) - count[END]
+            weight = max(1.0, kinds * seen / (seen - kinds + 1))
             n = sum(count.values()) + weight * (1 - end) + end
             leads = Counter()
             for c, to in arcs.items():
