@@ -185,20 +185,47 @@ def quantiles(df: DataFrame, value: str, shares: Mapping[str, float],
     return ranked.groupBy(*by).agg(*columns)
 
 
-def top_per_group(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = (),
+def _spread(df: DataFrame, order: Sequence[Column], by: Sequence[str]) -> DataFrame:
+    """Rows dealt out by ranges of (group, order), with the number of their range."""
+    shares = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(shares, *by, *order).withColumn("_range", F.spark_partition_id())
+
+
+def numbered_in_ranges(df: DataFrame, order: Sequence[Column], by: Sequence[str], most: int, name: str) -> DataFrame:
+    """The first ``most`` rows of each group with their number in ``order``, which may hold hot values and any types.
+
+    Rows are dealt out by ranges of (group, order), and kept, so that a row has one range. What earlier ranges
+    hold of a group is added up from one row per (group, range). Ranges that begin beyond ``most`` are not sorted.
+    """
+    ranged = reused(_spread(df, order, by))
+    sizes = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.withColumn("_begin", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(F.col("_begin") < most).drop("_n")
+    if not by:
+        begins = F.broadcast(begins)  # one row per range
+    inside = Window.partitionBy(*by, "_range").orderBy(*order)
+    rows = join_groups(ranged, begins, [*by, "_range"])
+    number = (F.col("_begin") + F.row_number().over(inside)).cast("int" if most < 1 << 31 else "bigint")
+    return rows.withColumn(name, number).where(F.col(name) <= most).drop("_range", "_begin")
+
+
+def top_per_group(df: DataFrame, k: int, value: str, tie: str, by: Sequence[str] = (), descending: bool = True,
                   name: str = "rank") -> DataFrame:
-    """First ``k`` rows per group, or of all rows, with their rank.
+    """The ``k`` rows of largest (or least) ``value`` per group, or of all rows, with their rank; the least ``tie`` goes first.
 
-    Spark trims each partition to ``k`` rows before the shuffle while ``k`` is small. For a
-    larger ``k`` the rows of a group are first dealt out by hash and cut to ``k`` in each
-    share, so that the one task which ranks the group gets shares times ``k`` rows at most.
+    The k-th value is closed in on by counts: rows are counted per (group, quantile bucket of the value), and a
+    bucket that begins beyond the k-th row is dropped before any row moves. What is left, ``k`` rows and the rest of
+    one bucket per group, is numbered in ranges. So the largest task holds a share of that, for any ``k``. Nulls
+    are below all values, and NaN is above them.
     """
-    window = Window.partitionBy(*by).orderBy(*order)
-    if k > 1000:
-        shares = bucket_count(df)
-        dealt = df.withColumn("_share", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(shares)))
-        part = Window.partitionBy(*by, "_share").orderBy(*order)
-        df = dealt.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= k).drop("_share", "_place")
-    elif not by:
-        df = df.orderBy(*order).limit(k)
-    return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
+    by = list(by)
+    placed = with_quantile_bucket(df, value)
+    counts = placed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    order = F.desc("_bucket") if descending else F.asc("_bucket")
+    earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(F.col("_before") < k)
+    wanted = wanted.select(*by, "_bucket")
+    if not by:
+        wanted = F.broadcast(wanted)  # one row per bucket
+    left = join_groups(placed, wanted, [*by, "_bucket"], "left_semi").drop("_bucket")
+    return numbered_in_ranges(left, [F.desc(value) if descending else F.asc(value), F.asc(tie)], by, k, name)

@@ -1,8 +1,6 @@
 """Ranked lists over terms, importances and groups.
 
-The lists come from vocabularies, whose length is a parameter. Long inputs are cut by
-``orderBy.limit`` or by a group limit first, both of which trim every partition before
-anything is gathered.
+The ``k`` of a list is found by counts and its rows are numbered in ranges, so a list may be long.
 """
 
 from __future__ import annotations
@@ -13,22 +11,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylograin.operators.ordering import top_per_group
+from stylograin.session import reused
 
 
 def top_k(df: DataFrame, value: str, k: int, tie: str = "term") -> DataFrame:
     """The ``k`` largest."""
-    return df.orderBy(F.desc(value), tie).limit(k)
+    return ranked(df, value, k, tie).drop("rank")
 
 
 def ranked(df: DataFrame, value: str, k: int, tie: str = "term") -> DataFrame:
     """The ``k`` largest with their rank 1 … k."""
-    return top_per_group(df, k, [F.desc(value), F.col(tie)])
+    return top_per_group(reused(df), k, value, tie)
 
 
 def two_sided(df: DataFrame, value: str, k: int, by: Sequence[str] = (), tie: str = "term") -> DataFrame:
     """The ``k`` highest and the ``k`` lowest per group, as ``side`` and ``rank``."""
-    high = top_per_group(df, k, [F.desc(value), F.col(tie)], by).withColumn("side", F.lit("high"))
-    low = top_per_group(df, k, [F.asc(value), F.col(tie)], by).withColumn("side", F.lit("low"))
+    df = reused(df)
+    high = top_per_group(df, k, value, tie, by).withColumn("side", F.lit("high"))
+    low = top_per_group(df, k, value, tie, by, descending=False).withColumn("side", F.lit("low"))
     return high.unionByName(low)
 
 

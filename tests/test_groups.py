@@ -94,7 +94,7 @@ def test_large_cuts_equal_brute_force(spark, k, by):
         seen[g] = seen.get(g, 0) + 1
         if seen[g] <= k:
             want.add((i, seen[g]))
-    got = ordering.top_per_group(df, k, [F.desc("v"), F.asc("id")], by)
+    got = ordering.top_per_group(df, k, "v", "id", by)
     assert {(r.id, r["rank"]) for r in got.collect()} == want and got.columns == ["id", "g", "v", "rank"]
 
 

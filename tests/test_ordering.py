@@ -91,9 +91,9 @@ def test_split_and_folds(spark):
 def test_top_per_group(spark, k):
     df, rows = frame(spark, 3000)
     want = {g: sorted((i for i, x, _ in rows if x == g), reverse=True)[:k] for g in {x for _, x, _ in rows}}
-    got = o.top_per_group(df, k, [F.desc("sample_id")], ["g"]).collect()
+    got = o.top_per_group(df, k, "sample_id", "g", ["g"]).collect()
     assert sorted((r.g, r["rank"], r.sample_id) for r in got) == sorted((g, n + 1, i) for g, ids in want.items() for n, i in enumerate(ids))
-    whole = o.top_per_group(df, k, [F.desc("sample_id")]).collect()
+    whole = o.top_per_group(df, k, "sample_id", "g").collect()
     assert sorted((r["rank"], r.sample_id) for r in whole) == [(n + 1, i) for n, i in enumerate(sorted((i for i, _, _ in rows), reverse=True)[:k])]
 
 
@@ -104,3 +104,44 @@ def test_quantile_buckets_follow_the_order(spark):
     assert got == sorted(got) and got[0] == 0 and len(set(got)) > 10
     assert {r._bucket for r in o.with_quantile_bucket(df.where("v IS NULL"), "v", 16).collect()} == {0}
     assert o.with_quantile_bucket(df.limit(0), "v", 16).collect() == []
+
+
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_top_with_hot_ties_nulls_and_nan(spark, by, descending):
+    """A third of all rows share one value, the least and the largest are null and NaN, and a group may be null."""
+    rng = random.Random(5)
+    values = [None, float("nan"), float("-inf"), 7.0]
+    rows = [(f"t{i:05d}", rng.choice([None, "hot", "hot", "b"]), rng.choice([*values, 7.0, round(rng.random() * 20, 1)])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "term string, g string, v double").repartition(5)
+
+    def place(v):
+        return (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+
+    for k in (1, 700, 2100, 10 ** 6):
+        want = []
+        for g in {g for _, g, _ in rows} if by else {0}:
+            group = sorted(r for r in rows if not by or r[1] == g)
+            group.sort(key=lambda r: place(r[2]), reverse=descending)  # stable: the least term stays first
+            want += [(r[0], n + 1) for n, r in enumerate(group[:k])]
+        got = o.top_per_group(df, k, "v", "term", by, descending=descending)
+        assert got.columns == ["term", "g", "v", "rank"]
+        assert sorted((r.term, r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_long_top_list_is_exact_and_in_shares(spark):
+    n, k = 400_000, 100_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, 5).otherwise(F.pmod(F.hash("id"), F.lit(1000))).alias("v"))
+    rows = df.toPandas().sort_values(["v", "id"], ascending=[False, True]).head(k)
+    got = o.top_per_group(df, k, "v", "id").toPandas().sort_values("rank")
+    assert got["id"].tolist() == rows["id"].tolist() and got["rank"].tolist() == list(range(1, k + 1))
+    placed = o.numbered_in_ranges(df, [F.desc("v"), F.asc("id")], [], n, "rank")
+    assert placed.count() == n
+    # The third of rows with one value is spread over many ranges.
+    sizes = o._spread(df, [F.desc("v"), F.asc("id")], []).groupBy("_range").count().toPandas()["count"]
+    assert len(sizes) == 8 and sizes.max() < n / 6
+
+
+def test_top_of_nothing(spark):
+    df = spark.createDataFrame([], "id long, v double")
+    assert o.top_per_group(df, 5, "v", "id").collect() == [] and o.top_per_group(df, 5, "v", "id").columns == ["id", "v", "rank"]
