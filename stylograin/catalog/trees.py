@@ -54,12 +54,7 @@ def shape(t: Tables, names: list[str]):
     return m.shape_features(t.nodes(), decisions=DECISIONS, call_mark=CALL).select("sample_id", *names)
 
 
-@query("tr1_nesting_tree", f"WITH {NODES_SQL} SELECT sample_id, node_id::INTEGER AS node_id, depth::INTEGER AS depth, type, parent_type, n_children::INTEGER AS n_children FROM nodes")
-def nesting_tree(t: Tables):
-    return t.nodes().select("sample_id", "node_id", "depth", "type", "parent_type", "n_children")
-
-
-@query("tr1_bracket_tree", r"""WITH found AS (SELECT doc_id AS sample_id, regexp_extract_all(text, '[\p{L}\p{N}_]*\s*[({\[]|[)}\]]') AS t FROM documents),
+BRACKET_SQL = r"""WITH found AS (SELECT doc_id AS sample_id, regexp_extract_all(text, '[\p{L}\p{N}_]*\s*[({\[]|[)}\]]') AS t FROM documents),
   marks AS (SELECT sample_id, unnest(t) AS mark, generate_subscripts(t, 1) - 1 AS pos FROM found),
   named AS (SELECT sample_id, pos, CASE WHEN regexp_matches(mark, '^[)}\]]') THEN -1 ELSE 1 END AS step,
     CASE WHEN regexp_matches(mark, '^[\p{L}\p{N}_]') THEN regexp_extract(mark, '^[\p{L}\p{N}_]+') ELSE right(mark, 1) END AS type FROM marks),
@@ -69,11 +64,34 @@ def nesting_tree(t: Tables):
     ASOF LEFT JOIN opened p ON c.sample_id = p.sample_id AND c.above = p.depth AND c.pos > p.pos),
   kids AS (SELECT sample_id, parent, count(*) AS n FROM linked WHERE parent IS NOT NULL GROUP BY 1, 2)
   SELECT l.sample_id, l.pos::INTEGER AS node_id, l.parent::INTEGER AS parent_id, l.depth::INTEGER AS depth, l.type, l.parent_type,
-    coalesce(n, 0)::INTEGER AS n_children FROM linked l LEFT JOIN kids k ON k.sample_id = l.sample_id AND k.parent = l.pos""")
+    coalesce(n, 0)::INTEGER AS n_children FROM linked l LEFT JOIN kids k ON k.sample_id = l.sample_id AND k.parent = l.pos"""
+
+
+@query("tr1_nesting_tree", f"WITH {NODES_SQL} SELECT sample_id, node_id::INTEGER AS node_id, depth::INTEGER AS depth, type, parent_type, n_children::INTEGER AS n_children FROM nodes")
+def nesting_tree(t: Tables):
+    return t.nodes().select("sample_id", "node_id", "depth", "type", "parent_type", "n_children")
+
+
+@query("tr1_bracket_tree", BRACKET_SQL)
 def bracket_tree(t: Tables):
     return m.nest(m.bracket_marks(t.documents(), "code")).select("sample_id", "node_id", "parent_id", "depth", "type", "parent_type", "n_children")
 
 
+@query("tr1_bracket_tree_in_blocks", BRACKET_SQL)
+def bracket_tree_in_blocks(t: Tables):
+    return m.nest_in_blocks(m.bracket_marks(t.documents(), "code")).select(
+        "sample_id", "node_id", "parent_id", "depth", "type", "parent_type", "n_children")
+
+
+@query("tr1_nesting_tree_in_blocks", f"""WITH {NODES_SQL} SELECT sample_id, node_id::INTEGER AS node_id, parent_id::INTEGER AS parent_id, depth::INTEGER AS depth,
+  type, parent_type, n_children::INTEGER AS n_children FROM nodes""")
+def nesting_tree_in_blocks(t: Tables):
+    """Blocks of 16 marks, so that most pages of the given tables span several."""
+    pages = t.texts("pages", "page_id").select(F.col("page_id").alias("sample_id"), "html")
+    return m.nest_in_blocks(m.markup_marks(pages, "html"), block=16).select(
+        "sample_id", "node_id", "parent_id", "depth", "type", "parent_type", "n_children")
+
+
 @query("tr2_missing_tree_as_zero", f"""WITH {SHAPE_SQL}, {PAGES_SQL} SELECT p.sample_id, p.language,
   coalesce(s.total_nodes, 0) AS total_nodes, round(coalesce(s.entropy, 0), 6) AS entropy FROM page_samples p
   LEFT JOIN shape s ON s.sample_id = p.sample_id AND p.language IN ('en', 'fr')""")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylograin.operators.joins import mapped_ends
+from stylograin.operators.ordering import prefix_sums
 
 # Tags that hold no content.
 VOID_TAGS = ["br", "meta", "img", "hr", "input", "link"]
@@ -124,6 +125,50 @@ def nest(marks: DataFrame, key: str = "sample_id") -> DataFrame:
         F.max(F.when(~is_opener, F.col("up_type"))).alias("parent_type"))
 
 
+def nest_in_blocks(marks: DataFrame, key: str = "sample_id", block: int = 65_536) -> DataFrame:
+    """``nest`` for samples of any size: the same rows, but no task holds more than ``block`` marks of a sample.
+
+    A sample is cut into blocks of positions. The sum of each block's steps gives the depth at which the next
+    ones begin. A node whose parent is not in its block asks, by level, for the last node that earlier blocks opened there: from one
+    row per (block, level), a window per level finds it. It then stands in front of the asking block as one more
+    opener, so that runs within (block, level) give parents, and children are added up over the blocks.
+
+    This costs more shuffles than ``nest`` and pays off where a sample has millions of marks.
+    """
+    block_of = F.floor(F.col("pos") / F.lit(block)).cast("bigint")
+    sums = prefix_sums(marks, ["pos"], {"step": F.col("step")}, [key], block_of).drop("step_all")
+    opens = F.col("step") == 1
+    depth = F.col("step_upto") - F.when(opens, 1).otherwise(0)
+    placed = sums.withColumns({"depth": depth.cast("int"), "block": block_of}).where(F.col("step") >= 0)
+    roles = F.array_compact(F.array(
+        F.struct((F.col("depth") - 1).alias("level"), F.lit(0).alias("opener")),
+        F.when(opens, F.struct(F.col("depth").alias("level"), F.lit(1).alias("opener")))))
+    rows = placed.select(key, "block", "pos", "type", "depth", F.inline(roles))
+    is_opener = F.col("opener") == 1
+    first_opener = F.min(F.when(is_opener, F.col("pos")))
+    first_child = F.min(F.when(~is_opener, F.col("pos")))
+    ends = rows.groupBy(key, "block", "level").agg(
+        F.max(F.when(is_opener, F.struct("pos", "type", "depth"))).alias("last"),
+        F.coalesce(first_child < F.coalesce(first_opener, first_child + 1), F.lit(False)).alias("asks"))
+    earlier = Window.partitionBy(key, "level").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    found = ends.withColumn("up", F.last("last", ignorenulls=True).over(earlier)).where(F.col("asks") & F.col("up").isNotNull())
+    fronts = found.select(key, "block", "up.pos", "up.type", "up.depth", "level", F.lit(1).alias("opener"))
+    rows = rows.unionByName(fronts)
+    on_level = Window.partitionBy(key, "block", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("run", F.sum("opener").over(on_level))
+    in_run = Window.partitionBy(key, "block", "level", "run")
+    rows = rows.withColumns({
+        "up_id": F.max(F.when(is_opener, F.col("pos"))).over(in_run),
+        "up_type": F.max(F.when(is_opener, F.col("type"))).over(in_run),
+        "kids": F.sum(1 - F.col("opener")).over(in_run)})
+    return rows.groupBy(key, F.col("pos").alias("node_id")).agg(
+        F.max(F.when(~is_opener, F.col("up_id"))).alias("parent_id"),
+        F.max("depth").alias("depth"),
+        F.coalesce(F.sum(F.when(is_opener, F.col("kids"))), F.lit(0)).cast("int").alias("n_children"),
+        F.max("type").alias("type"),
+        F.max(F.when(~is_opener, F.col("up_type"))).alias("parent_type"))
+
+
 def shape_features(nodes: DataFrame, key: str = "sample_id",
                    decisions: Sequence[str] = DECISION_TYPES, call_mark: str = "call") -> DataFrame:
     """The 18 shape features per sample.

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,53 @@ def test_tree_invariants(spark, folder):
         assert row.entropy <= math.log(row.unique_types) + 1e-6
         assert row.leaf_nodes + row.internal_nodes == row.total_nodes
     nodes.unpersist()
+
+
+def node_rows(nodes):
+    return sorted((str(r.sample_id), r.node_id, r.parent_id, r.depth, r.n_children, r.type, r.parent_type) for r in nodes.collect())
+
+
+def by_stack_of_levels(marks):
+    """The last opener one level up is the parent, whatever the marks."""
+    out, kids = {}, {}
+    depth, last = {}, {}
+    for key, pos, kind, step in sorted(marks, key=lambda x: (str(x[0]), x[1])):
+        depth[key] = depth.get(key, 0) + step
+        if step >= 0:
+            d = depth[key] - (step == 1)
+            up = last.get((key, d - 1))
+            out[key, pos] = [up[0] if up else None, d, kind, up[1] if up else None]
+            if up:
+                kids[key, up[0]] = kids.get((key, up[0]), 0) + 1
+            if step == 1:
+                last[key, d] = (pos, kind)
+    return sorted((str(k), p, up, d, kids.get((k, p), 0), kind, up_kind) for (k, p), (up, d, kind, up_kind) in out.items())
+
+
+@pytest.mark.parametrize("block", [1, 3, 10, 1000])
+def test_blocks_give_the_same_trees(spark, block):
+    """Balanced or not, deep or flat, with closers below the start, gaps in the positions and a null sample."""
+    rng = random.Random(block)
+    marks = []
+    for key in [*range(12), None]:
+        weights = rng.choice([(5, 4, 1), (1, 1, 1), (8, 1, 0), (1, 3, 1)])
+        pos = 0
+        for _ in range(rng.choice([0, 1, 7, 60, 200])):
+            pos += rng.choice([1, 1, 1, 4])
+            marks.append((key, pos, rng.choice("abc"), rng.choices([1, -1, 0], weights)[0]))
+    df = spark.createDataFrame(marks, "sample_id long, pos int, type string, step int").repartition(5)
+    want = by_stack_of_levels(marks)
+    assert node_rows(m.nest_in_blocks(df, block=block)) == want
+    assert node_rows(m.nest(df)) == want
+
+
+def test_one_large_sample_in_blocks(spark):
+    """One sample of 400,000 marks: 98 blocks, and the parent of most late nodes is many blocks back."""
+    step = F.when(F.col("id") < 1000, 1).when(F.col("id") % 2 == 0, 1).otherwise(-1)
+    df = spark.range(400_000).select(F.lit(1).alias("sample_id"), F.col("id").cast("int").alias("pos"), F.lit("x").alias("type"), step.alias("step"))
+    nodes = m.nest_in_blocks(df, block=4096).persist()
+    row = nodes.agg(F.count(F.lit(1)).alias("n"), F.max("n_children").alias("kids"), F.max("depth").alias("deep"),
+                    F.count_if(F.col("parent_id").isNull()).alias("roots")).first()
+    assert (row.n, row.kids, row.deep, row.roots) == (1000 + 199_500, 199_500, 1000, 1)
+    assert nodes.where("n_children = 199500").first().node_id == 999
+    nodes.unpersist()
