@@ -162,6 +162,9 @@ def item_blocks(benchmark: DataFrame, text: str, item_id: str, block_words: int)
         yield block
 
 
+RESULTS = ("n_words", "hit_spans", "hit_items")
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id",
                    window: int = 10, block_words: int = 500_000) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_spans`` (array of word spans, end exclusive) and ``hit_items`` (sorted array).
@@ -176,8 +179,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     to one item that is null in ``hit_items``, at the end; without items there are no hits. Columns called like the three results are replaced.
     """
     spark = docs.sparkSession
-    results = ["n_words", "hit_spans", "hit_items"]
-    out = docs.drop(*results).select("*", F.lit(0).cast("long").alias("n_words"),
+    out = docs.drop(*RESULTS).select("*", F.lit(0).cast("long").alias("n_words"),
                                      F.array().cast("array<struct<start:bigint,end:bigint>>").alias("hit_spans"),
                                      F.array().cast("array<bigint>").alias("hit_items"))
     schema = out.schema
@@ -242,8 +244,10 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", w
 
     A document of which more than ``max_coverage`` of the words are hit goes; from the others
     the hit spans are cut, from the first byte of the first word to the last byte of the last.
+    The other columns come through as they are, also those called like a result of ``benchmark_hits``.
     """
-    found = benchmark_hits(docs, benchmark, text=text, window=window, **names)
+    aside = {name: f"_{uuid.uuid4().hex}_{name}" for name in docs.columns if name in RESULTS and name != text}
+    found = benchmark_hits(docs.withColumnsRenamed(aside), benchmark, text=text, window=window, **names)
     covered = F.coalesce(F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0))
     kept = found.where(covered <= F.lit(max_coverage) * F.col("n_words"))
 
@@ -261,4 +265,4 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", w
             field = batch.schema.field(text)
             yield batch.set_column(batch.schema.get_field_index(text), field, pa.array(texts, pa.binary()).cast(field.type))
 
-    return mapped(kept, cut, kept.schema)
+    return mapped(kept, cut, kept.schema).drop(*RESULTS).withColumnsRenamed({new: name for name, new in aside.items()}).select(docs.columns)

@@ -8,6 +8,7 @@ emitted as an ordered Spark conditional expression, so applying it costs no Pyth
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -243,5 +244,6 @@ def kept_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     """
     learned = stored(with_counts(docs.select(key, text), text).drop(text), "counts")
     rules = fitted_rules(learned, labels, key=key, **how)
-    counted = with_counts(docs, text, "_count_")
-    return counted.where(~base_failed("_count_") & rules.rule_number(features("_count_")).isNull()).select(docs.columns)
+    own = f"_{uuid.uuid4().hex}_"  # no column of the input is called so
+    counted = with_counts(docs, text, own)
+    return counted.where(~base_failed(own) & rules.rule_number(features(own)).isNull()).select(docs.columns)

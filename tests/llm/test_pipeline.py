@@ -53,3 +53,20 @@ def test_awkward_tables(spark, tmp_path):
                         ("benchmark", spark.createDataFrame([(1, None)], "item_id bigint, text string"))):
         table.write.parquet(f"{tmp_path}/{name}.parquet")
     assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [3]
+
+
+def test_columns_called_like_the_operators_own_come_through(spark, tmp_path):
+    extra = ["n_words", "hit_spans", "hit_items", "secrets", "_secrets", "_count_n_words", "kept", "component_id", "n_shingles", "rule", "base_failed"]
+    texts = [" ".join(f"v{i}" for i in range(80)), "token = abcdefgh1 " + " ".join(f"w{i}" for i in range(80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *[f"{name} {i}" for name in extra]) for i, t in enumerate(texts)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in extra))
+    for name, table in (("labels", spark.createDataFrame([], "doc_id bigint, quality int, toxic int")),
+                        ("benchmark", spark.createDataFrame([(1, "v1 v2 v3 v4 v5 v6 v7 v8 v9 v10")], "item_id bigint, text string"))):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    after = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        after = stored(stage(spark, after, str(tmp_path)), f"clash{k}")
+        assert after.columns == docs.columns
+    rows = {r.doc_id: r for r in after.collect()}
+    assert all(rows[i][name] == f"{name} {i}" for i in range(2) for name in extra)
+    assert rows[0].text.startswith("v0  v11") and rows[1].text.startswith("[SECRET] w0")
