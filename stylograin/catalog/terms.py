@@ -9,6 +9,7 @@ from stylograin.catalog.registry import query
 from stylograin.catalog.tables import DOCS_SQL, SAMPLES_SQL, Tables
 from stylograin.functions import text as x
 from stylograin.operators import terms as m
+from stylograin.operators.grams import gram_totals
 
 # Characters as a list, then slices of 3 to 5: a different route than the look-ahead.
 CLEAN_SQL = r"regexp_replace(lower(code), '\s\s+', ' ', 'g')"
@@ -42,7 +43,7 @@ def words_and_bigrams(t: Tables):
 @query("t03_char_ngrams", f"""WITH {DOCS_SQL}, {grams_sql(3, 5)} SELECT term, count(*) AS tf,
   count(DISTINCT sample_id) AS df FROM grams GROUP BY 1""")
 def char_ngrams(t: Tables):
-    return m.term_totals(t.documents(), x.char_ngrams(F.col("code")))
+    return gram_totals(t.documents(), F.col("code"))
 
 
 @query("t05_vocabulary", f"WITH {DOCS_SQL}, {vocab_sql('v', "split = 'train'", 2000, 5)} SELECT term, tf, df FROM v")
