@@ -55,6 +55,26 @@ def test_blocks_and_dense_rows_give_the_same_model(spark, loss):
     assert many.solution.aggregates < 200
 
 
+def test_vectors_are_scored_in_small_batches(spark):
+    """A batch is in memory as a whole, several times: 10,000 vectors of n-grams were more than an executor has."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    x, y, w = data(50, 4)
+    df = table(spark, x, y, w)
+    assert fit(df, linear.LOGISTIC, 1e-4).transform(df).count() == 50
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_rows_stay_in_files_and_products_know_the_curvature(spark, monkeypatch):
+    """No table of rows is kept by the executors, and a product at a known point takes one pass."""
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    x, y, w = data(200, 5)
+    monkeypatch.setattr(linear, "PIECE", 64)
+    many = fit(table(spark, x, y, w), linear.LOGISTIC, 1e-8, block_entries=150)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+    monkeypatch.undo()
+    assert many.coefficients.toArray() == pytest.approx(fit(table(spark, x, y, w), linear.LOGISTIC, 1e-8).coefficients.toArray(), rel=1e-4, abs=1e-6)
+
+
 def test_gap_is_what_the_svm_stops_at(spark):
     x, y, w = data(400, 12)
     found = fit(table(spark, x, y, w), linear.SQUARED_HINGE, 1e-4).solution
