@@ -29,7 +29,7 @@ from stylograin.session import importable_on_workers, scratch_path
 BLOCK_ENTRIES = 4_000_000
 REFRESH = 10
 PIECE = 1 << 16
-BLOCKS = "n bigint, starts binary, slots binary, bins binary, y binary, weight binary, margin binary"
+BLOCKS = "n bigint, starts binary, slots binary, bins binary, by_slot binary, slot_ends binary, y binary, weight binary, margin binary"
 
 
 @dataclass
@@ -75,8 +75,7 @@ class Block:
         self.y, self.weight, self.margin = array("y", np.float64), array("weight", np.float64), array("margin", np.float64).copy()
         self.row_of = np.repeat(np.arange(self.n), np.diff(self.starts))
         self.cell = grid.first[self.slots] + self.bins
-        order = np.argsort(self.slots, kind="stable")
-        self.by_slot, self.slot_ends = order, np.searchsorted(self.slots[order], np.arange(len(grid.cuts) + 1))
+        self.by_slot, self.slot_ends = array("by_slot", np.int32), array("slot_ends", np.int64)
         self.start_tree()
 
     def start_tree(self) -> None:
@@ -193,9 +192,12 @@ def blocks_of(rows: DataFrame, grid: Grid, n_blocks: int) -> DataFrame:
         kept = bins != grid.zero[slots]
         row_of = np.repeat(np.arange(table.num_rows), lengths)[kept]
         starts = np.concatenate([[0], np.cumsum(np.bincount(row_of, minlength=table.num_rows))]).astype(np.int64)
+        by_slot = np.argsort(slots[kept], kind="stable")  # once, not for each sum
+        slot_ends = np.searchsorted(slots[kept][by_slot], np.arange(len(grid.cuts) + 1))
         doubles = {name: table.column(name).to_numpy().astype(np.float64).tobytes() for name in ("y", "weight")}
         yield pa.RecordBatch.from_pylist([{"n": table.num_rows, "starts": starts.tobytes(), "slots": slots[kept].astype(np.int32).tobytes(),
-                                           "bins": bins[kept].astype(np.uint8).tobytes(), **doubles, "margin": np.zeros(table.num_rows).tobytes()}])
+                                           "bins": bins[kept].astype(np.uint8).tobytes(),
+                                           "by_slot": by_slot.astype(np.int32).tobytes(), "slot_ends": slot_ends.astype(np.int64).tobytes(), **doubles, "margin": np.zeros(table.num_rows).tobytes()}])
 
     path = scratch_path(rows.sparkSession, "blocks")
     rows.repartition(n_blocks).mapInArrow(pack, BLOCKS).write.parquet(path)
