@@ -6,13 +6,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylograin.operators import boosting, linear
+from stylograin.operators import boosting, forest, linear
 from stylograin.operators.isotonic import IsotonicModel
 from stylograin.operators.joins import bounded
 from stylograin.operators.metrics import confusion_counts, count_metrics
@@ -68,11 +67,10 @@ def linear_svm(max_iter: int = 5000, c: float = 1.0, tol: float = 1e-4, features
 
 def random_forest(trees: int = 300, depth: int = 20, min_leaf: int = 5, seed: int = 42,
                   features: str = "features", label: str = "label") -> Fit:
+    """Balanced trees on bootstraps, of the square root of all features tried at each node, split by Gini impurity."""
     def fit(train: DataFrame):
-        return RandomForestClassifier(
-            featuresCol=features, labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
-            minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed,
-        ).fit(weighted(train, label, "balanced")[0])
+        rows, _ = weighted(train, label, "balanced")
+        return forest.fitted(rows, trees, depth, min_leaf, seed, features, label, "weight")
     return fit
 
 
