@@ -100,3 +100,21 @@ def test_one_class_constant_features_and_nulls(spark):
     assert (margins(fit(with_null, 5), df) > 0).all()
     with pytest.raises(ValueError):
         fit(df.limit(0))
+
+
+def test_a_level_over_several_blocks_is_one_job_without_a_shuffle(spark):
+    x, y, w = data()
+    df = table(spark, x, y, w).repartition(5).persist()
+    df.count()
+    sc, jobs, stages = spark.sparkContext, [], []
+    for rounds in (2, 5):
+        sc.setJobGroup(f"boosting {rounds}", "")
+        model = fit(df, rounds, 3, block_entries=700)
+        tracker = sc.statusTracker()
+        ids = tracker.getJobIdsForGroup(f"boosting {rounds}")
+        jobs.append(len(ids))
+        stages.append(sum(len(tracker.getJobInfo(i).stageIds) for i in ids))
+        assert all(len(t.slots) == 3 for t in model.trees)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] == stages[1] - stages[0] == 9
+    df.unpersist()
