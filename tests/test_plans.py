@@ -10,7 +10,9 @@ from stylograin.catalog import all_sql
 from stylograin.catalog.tables import Tables
 from stylograin.functions.text import words
 from stylograin.operators import terms
+from stylograin.operators.models import random_forest
 from stylograin.operators.trees import shape_features
+from stylograin.plans import studies
 
 QUERIES = driver.queries()
 
@@ -63,3 +65,11 @@ def test_no_cross_join_and_no_python(name, spark, folder):
     text = plan(QUERIES[name](spark, folder))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "Python" not in text
+
+
+def test_an_explanation_builds_its_trees_once(spark, folder, monkeypatch):
+    made, path_tokens = [], studies.path_tokens
+    monkeypatch.setattr(studies, "path_tokens", lambda *a, **k: made.append(1) or path_tokens(*a, **k))
+    tables = Tables(spark, folder)
+    report = studies.explanation(tables.pages(), tables.nodes(), random_forest(5, 4))
+    assert report.count() > 0 and made == [1]
