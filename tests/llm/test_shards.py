@@ -1,4 +1,5 @@
 import base64
+import random
 
 import numpy as np
 import pytest
@@ -36,6 +37,41 @@ def test_order_is_a_permutation(n):
         assert (shards.Order(n, 12).slots(np.arange(n)) != slots).mean() > 0.9
 
 
+PIECES = ["'s", "'S", "'", "'ll", "'l", "'re", "'ve", "'d", " ", "  ", "\n", "\r\n", "\t", "\u3000", "\xa0", "\x85", "\x1c", "a", "Zz", "é", "ǅ", "中", "1", "²", "٣",
+          "_", "!", "…", "😀", "e\u0301", "\u200d", "\ufeff", "\x00", "<|endoftext|>", "<|", "\U0010ffff", "word"]
+
+
+def ids_again(tokens, text):
+    """Ids of a text from its bytes and the lengths of its tokens."""
+    n, packed = tokens.counted(text)
+    lengths = tokens.unpacked(packed, n)
+    assert len(lengths) == n - 1
+    return tokens.ids(np.frombuffer((text or "").encode(), np.uint8), lengths).tolist()
+
+
+def test_ids_are_the_library_s_for_the_given_pattern(pattern, encoding):
+    rnd, tokens = random.Random(3), shards.Tokens(RANKS, pattern)
+    assert tokens.encoding._pat_str != pattern == encoding._pat_str
+    texts = ["".join(rnd.choices(PIECES, k=rnd.randint(0, 14))) for _ in range(20_000)]
+    for text in [*texts, " " * 5000 + "x", "\n" * 5000, "<|endoftext|>" * 50, None]:
+        assert ids_again(tokens, text) == encoding.encode_ordinary(text or ""), repr(text)
+
+
+def test_other_patterns_are_taken_as_they_are(encoding):
+    assert ids_again(shards.Tokens(RANKS, r"\p{L}|[^\p{L}]"), "the word") == [encoding.encode_single_token(c) for c in "the word"]
+
+
+def test_every_token_is_found_by_its_bytes(pattern, encoding, monkeypatch):
+    monkeypatch.setattr(shards, "BLOCK", 1000)
+    tokens = shards.Tokens(RANKS, pattern)
+    parts = [encoding.decode_single_token_bytes(i) for i in range(50256)]
+    lengths = np.array([len(p) for p in parts])
+    assert lengths.max() > 64
+    assert tokens.ids(np.frombuffer(b"".join(parts), np.uint8), lengths).tolist() == list(range(50256))
+    with pytest.raises(ValueError):
+        tokens.ids(np.frombuffer(b"zqzqzq", np.uint8), np.array([6]))
+
+
 def stream(encoding, rows, length):
     ids = []
     for _, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -85,3 +121,14 @@ def test_awkward_and_no_rows(spark, awkward, nothing, pattern):
     assert empty["sequences"] == 0 and shards.read_records(spark, empty).count() == 0
     with pytest.raises(ValueError):
         shards.write_shards(awkward, "nowhere", RANKS, pattern, length=0)
+
+
+def test_texts_are_written_from_the_lengths_that_were_counted(spark, pattern, encoding, monkeypatch):
+    real, single = shards.layout, r"\p{L}|[^\p{L}]"
+    monkeypatch.setattr(shards, "layout", lambda *given, **names: real(*given[:-1], single, **names))
+    rows = [(k, f"the words {k}") for k in range(20)] + [(3, "the words 3")] * 3 + [(20, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    meta = shards.write_shards(docs, scratch_path(spark, "shards"), RANKS, pattern, length=16, shard_records=4)
+    got = np.frombuffer(b"".join(r.ids for r in shards.read_records(spark, meta).orderBy("sequence").collect()), np.uint16)[:meta["tokens"]]
+    want = [i for _, t in sorted(rows) for i in [*(encoding.encode_single_token(c) for c in t or ""), 50256]]
+    assert got.tolist() == want
