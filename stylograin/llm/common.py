@@ -131,6 +131,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             at = to
 
 
+def joined(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows whose ``column`` holds about ``most`` bytes, over the batches' edges.
+
+    What is looked up for many rows at once opens each part's file once.
+    """
+    held, size = [], 0
+    for batch in slices(batches, column, most):
+        held.append(batch)
+        size += int(raw(batch.column(column))[1][-1])
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit integers, so that all bits depend on all bits."""
     x = x.astype(np.uint64, copy=True)

@@ -9,10 +9,10 @@ those only the ones whose head occurs in two documents.
    repeated ones as a sorted array to the shared folder.
 2. Each task sorts the suffixes at repeated anchors, keeps one of those with equal context
    (with the least document), and sends runs in which every suffix is coded by its common
-   prefix with the one before. A loser tree merges a range's runs: it knows how far each
-   loser agreed with the winner that beat it, so no prefix is compared twice. The common
-   prefixes of the merged order, with the bytes before the anchors, tell which windows are
-   equal, and the least document of each goes into sorted arrays.
+   prefix with the one before. A range's runs are merged eight bytes at a time: what differs
+   is in order, and only what agreed so far goes on to the next eight bytes, so no prefix is
+   compared twice. The common prefixes of the merged order, with the bytes before the anchors,
+   tell which windows are equal, and the least document of each goes into sorted arrays.
 3. Each text is read once more, and its own contexts are looked up there.
 
 Texts are never shuffled, nor are the places where windows occur.
@@ -26,16 +26,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stylograin.llm.common import MappedArrays, mapped, mix, raw, save_arrays, shared_files, slices
+from stylograin.llm.common import MappedArrays, joined, mapped, mix, raw, save_arrays, shared_files, slices
 from stylograin.llm.kneser_ney import GATHERED, PACKED, Gathered, merged, packed_counts, unpacked_counts
 from stylograin.llm.wordhash import BASE, INVERSE, powers
 
 WINDOW = 50
 HEAD = 24
 REACH = WINDOW - HEAD  # the most bytes of a window before its anchor
-CHUNK = 1 << 20
+CHUNK = 1 << 17  # what is worked out of a chunk fits into a processor's cache
 PART_BYTES = 8 << 20
+FEW_PARTS = 256
+LARGE_PART_BYTES = 32 << 20
+LOOKED_UP_BYTES = 4 << 20
 HELD = 1 << 18
+BLOCK = 1 << 16
 
 
 def chunk_edges(offsets: np.ndarray) -> list[int]:
@@ -80,9 +84,13 @@ class Anchors:
         if n <= 0:
             return empty
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data))[:len(data)], out=sums[1:])
+        steps = data.astype(np.uint64)
+        steps += np.uint64(1)
+        steps *= powers(BASE, len(data))[:len(data)]
+        np.cumsum(steps, out=sums[1:])
         back = powers(INVERSE, len(data) + 1)
-        heads = (sums[HEAD:] - sums[:-HEAD]) * back[:len(data) + 1 - HEAD]
+        heads = sums[HEAD:] - sums[:-HEAD]
+        heads *= back[:len(data) + 1 - HEAD]
         order = heads * np.uint64(0xD6E8FEB86659FD93)
         order &= np.uint64(0xFFFFFFFF00000000)
         order |= np.arange(len(order), dtype=np.uint64)
@@ -93,22 +101,24 @@ class Anchors:
         rest = REACH + 1 - width
         if rest:
             least = np.minimum(least[:-rest], least[rest:])
-        anchor = (least[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        window = np.arange(begin, begin + n)
-        text = np.searchsorted(offsets, window, "right") - 1
-        whole = window + WINDOW <= offsets[text + 1]
-        window, text, anchor = window[whole], text[whole], anchor[whole]
-        if not len(window):
+        least = least[:n]  # equal where the anchor is: its place is part of it
+        # The windows from the last bytes of a text are not whole, so whole windows of two texts are never side by side.
+        ends = offsets[np.searchsorted(offsets, begin, "right"):np.searchsorted(offsets, begin + len(data), "right")] - begin
+        whole = np.ones(n + 2, bool)
+        whole[[0, -1]] = False
+        whole[1:][np.clip(ends[:, None] - np.arange(1, WINDOW), 0, n).ravel()] = False
+        changes = np.ones(n + 1, bool)
+        np.not_equal(least[1:], least[:-1], out=changes[1:-1])
+        first = np.flatnonzero(whole[1:-1] & (changes[:-1] | ~whole[:-2]))
+        last = np.flatnonzero(whole[1:-1] & (changes[1:] | ~whole[2:]))
+        if not len(first):
             return empty
-        new = np.ones(len(window), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(window)) - 1
-        at = anchor[first]
-        high, low = at + begin - window[first], at + begin - window[last]
+        at = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        text = np.searchsorted(offsets, begin + first, "right") - 1
+        high, low = at - first, at - last
         a, b = at - high, at - low + WINDOW
         context = mix((sums[b] - sums[a]) * back[a] + mix((low * 64 + high).astype(np.uint64)))
-        return text[first], at + begin, low, high, mix(heads[at]), context
+        return text, at + begin, low, high, mix(heads[at]), context
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -118,66 +128,77 @@ def common(a: bytes, b: bytes, known: int) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
+def padded_words(text: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit integers in the same order."""
+    padded = np.zeros((len(text), -(-text.shape[1] // 8) * 8), np.uint8)
+    padded[:, :text.shape[1]] = text
+    return padded.view(">u8").astype(np.uint64)
+
+
+def merged_order(text: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted runs of padded strings that lie one after the other, and each string's common prefix with the one before.
+
+    Eight bytes are sorted at a time, by a merge sort that takes the runs as they are. Strings
+    that differ there from both neighbours are in their place; the others are known to agree so far.
+    """
+    order, words = np.arange(len(text)), padded_words(text)
+    prefix = np.zeros(len(text), np.int64)
+    open_, group = np.arange(len(text)), np.zeros(len(text), np.int64)  # places that are not settled, and their ties
+    for k in range(words.shape[1] + 1):
+        mine = order[open_]
+        word = words[mine, k] if k < words.shape[1] else length[mine].astype(np.uint64)
+        by = np.lexsort([word, group]) if k else np.argsort(word, kind="stable")
+        order[open_], word = mine[by], word[by]
+        tied = np.zeros(len(open_), bool)
+        tied[1:] = group[1:] == group[:-1]
+        same = tied.copy()
+        same[1:] &= word[1:] == word[:-1]
+        parted = np.flatnonzero(tied & ~same)
+        if k < words.shape[1]:
+            prefix[open_[parted]] = 8 * k + leading_zeros(word[parted] ^ word[parted - 1]) // 8
+            prefix[open_[same]] = 8 * (k + 1)
+        goes_on = same.copy()
+        goes_on[:-1] |= same[1:]
+        open_, group = open_[goes_on], np.cumsum(~same)[goes_on]
+        if not len(open_):
+            break
+    n = length[order]
+    prefix[1:] = np.minimum(prefix[1:], np.minimum(n[1:], n[:-1]))
+    return order, prefix
+
+
+def leading_zeros(x: np.ndarray) -> np.ndarray:
+    """Of 64-bit integers that are not zero, to whole bytes."""
+    out, x = np.zeros(len(x), np.int64), x.copy()
+    for bits in (32, 16, 8):
+        small = x < np.uint64(1) << np.uint64(64 - bits)
+        out[small] += bits
+        x[small] <<= np.uint64(bits)
+    return out
+
+
 def loser_tree(runs: list[tuple[list[bytes], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     """Merge sorted runs, given as strings and their common prefixes with the string before in the run.
 
     Returns the run that each string of the merged order comes from, and its common prefix
-    with the string before it there. A contestant's prefix is the one with the last winner:
-    the longer one is the smaller string, and only equal ones need comparing, from there on.
+    with the string before it there. Of equal strings the one of the earlier run is first.
     """
-    k = 1
-    while k < len(runs):
-        k *= 2
-    runs = runs + [([], [])] * (k - len(runs))
-    ends = [len(r[0]) for r in runs]
-    place = [0] * k
-    current = [r[0][0] if r[0] else None for r in runs]
-    agree = [0] * k
-    losers = [0] * k
-
-    def play(x: int, y: int) -> tuple[int, int]:
-        """Winner and loser."""
-        a, b = current[x], current[y]
-        if a is None:
-            return y, x
-        if b is None or agree[x] > agree[y]:
-            return x, y
-        if agree[x] < agree[y]:
-            return y, x
-        if a == b:
-            agree[y] = len(b)
-            return x, y
-        n = common(a, b, agree[x])
-        if a[n:] < b[n:]:
-            agree[y] = n
-            return x, y
-        agree[x] = n
-        return y, x
-
-    winners = list(range(k))
-    while len(winners) > 1:
-        half = len(winners) // 2
-        nxt = []
-        for i in range(half):
-            won, lost = play(winners[2 * i], winners[2 * i + 1])
-            losers[half + i] = lost
-            nxt.append(won)
-        winners = nxt
-    won = winners[0]
-    total = sum(ends)
-    source, prefix = np.empty(total, np.int32), np.empty(total, np.int32)
-    for out in range(total):
-        source[out], prefix[out] = won, agree[won]
-        p = place[won] = place[won] + 1
-        if p < ends[won]:
-            current[won], agree[won] = runs[won][0][p], runs[won][1][p]
-        else:
-            current[won] = None
-        node = (won + k) // 2
-        while node:
-            won, losers[node] = play(won, losers[node])
-            node //= 2
-    return source, prefix
+    lengths = np.array([len(s) for strings, _ in runs for s in strings], np.int64)
+    rests = b"".join(s[n:] for strings, prefixes in runs for s, n in zip(strings, prefixes))
+    text = unfolded(np.frombuffer(rests, np.uint8), np.array([n for _, prefixes in runs for n in prefixes], np.int64), lengths, int(lengths.max(initial=0)))
+    order, prefix = merged_order(text, lengths)
+    return np.repeat(np.arange(len(runs)), [len(strings) for strings, _ in runs])[order], prefix
+
+
+def unfolded(rests: np.ndarray, prefix: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bytes, filled up with zeros, from what each string adds to its common prefix with the one before."""
+    columns = np.arange(width)
+    text = np.zeros((len(prefix), width), np.uint8)
+    text[(columns >= prefix[:, None]) & (columns < length[:, None])] = rests
+    out, place = np.ascontiguousarray(text.T), np.arange(len(prefix))
+    for k in range(width):
+        out[k] = out[k][np.maximum.accumulate(np.where(prefix <= k, place, 0))]
+    return np.where(columns < length[:, None], out.T, 0).astype(np.uint8, copy=False)
 
 
 RUN = "part int, prefixes binary, rests binary, lengths binary, lefts binary, lows binary, highs binary, contexts binary, least binary, most binary"
@@ -186,17 +207,22 @@ RUN_NAMES = [c.split()[0] for c in RUN.split(", ")]
 
 def matrix(data: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """Rows of bytes from ``begin``, filled up with zeros after ``length``."""
-    columns = np.arange(width)
-    at = np.minimum(begin[:, None] + columns, max(len(data) - 1, 0))
-    return np.where(columns < length[:, None], data[at], 0).astype(np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[begin]
+    rows[np.arange(width) >= length[:, None]] = 0
+    return rows
+
+
+def bytes_before(data: np.ndarray, at: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Rows of the ``REACH`` bytes before ``at``, of which the last ``high`` are kept and the others are zeros."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(REACH, np.uint8), data]), REACH)[at]
+    rows[np.arange(REACH) < REACH - high[:, None]] = 0
+    return rows
 
 
 def order_of(right: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The order of padded strings; of equal bytes the shorter string first."""
-    padded = np.zeros((len(right), -(-right.shape[1] // 8) * 8), np.uint8)
-    padded[:, :right.shape[1]] = right
-    columns = padded.view(">u8")
-    return np.lexsort([length, *[columns[:, k] for k in range(columns.shape[1] - 1, -1, -1)]])
+    words = padded_words(right)
+    return np.lexsort([length, *[words[:, k] for k in range(words.shape[1] - 1, -1, -1)]])
 
 
 def run_rows(parts: np.ndarray, right: np.ndarray, length: np.ndarray, left: np.ndarray, low, high, context, least, most) -> pa.RecordBatch:
@@ -214,9 +240,10 @@ def run_rows(parts: np.ndarray, right: np.ndarray, length: np.ndarray, left: np.
         rests = text[(columns >= prefix[:, None]) & (columns < n[:, None])]
         lefts = left[mine][np.arange(REACH) >= REACH - high[mine][:, None]]
         rows["part"].append(part)
-        for name, values in (("prefixes", prefix), ("lengths", n), ("lows", low[mine]), ("highs", high[mine]),
-                             ("least", least[mine]), ("most", most[mine])):
+        for name, values in (("least", least[mine]), ("most", most[mine])):
             rows[name].append(packed_counts(values))
+        for name, values in (("prefixes", prefix), ("lengths", n), ("lows", low[mine]), ("highs", high[mine])):  # up to WINDOW
+            rows[name].append(_bytes(values.astype(np.uint8)))
         for name, values in (("rests", rests), ("lefts", lefts), ("contexts", context[mine])):
             rows[name].append(_bytes(values))
     return pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), *[pa.array(rows[n], pa.binary()) for n in RUN_NAMES[1:]]], names=RUN_NAMES)
@@ -236,6 +263,18 @@ def least_documents(prefix, left, low, high, context, least, most):
     Returns contexts (in order), with the range of bytes before the anchor that it is about
     and the least document: of all equal windows with so many bytes before the anchor.
     """
+    found = []
+    apart = np.flatnonzero(prefix < HEAD)  # equal windows have equal heads, so they are between two of these
+    edges = np.unique(np.append(apart[np.searchsorted(apart, np.arange(0, len(prefix), BLOCK), "left").clip(max=max(len(apart) - 1, 0))], len(prefix))) if len(apart) else [0, len(prefix)]
+    edges = [0, *[e for e in edges if e > 0]]
+    for a, b in zip(edges[:-1], edges[1:]):
+        found.append(_least_of_block(prefix[a:b], left[a:b], low[a:b], high[a:b], context[a:b], least[a:b], most[a:b]))
+    context, start, end, document = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort([start, context])
+    return context[order], start[order], end[order], document[order]
+
+
+def _least_of_block(prefix, left, low, high, context, least, most):
     shared = np.zeros((len(prefix), REACH + 1), bool)
     document = np.zeros((len(prefix), REACH + 1), np.int64)
     hashed = np.zeros(len(prefix), np.uint64)
@@ -259,47 +298,45 @@ def least_documents(prefix, left, low, high, context, least, most):
     closes[:, :-1] &= ~goes_on
     row, start = np.nonzero(opens)
     end = np.nonzero(closes)[1]
-    order = np.lexsort([start, context[row]])
-    row, start, end = row[order], start[order], end[order]
     return context[row], start.astype(np.uint8), end.astype(np.uint8), document[row, start]
 
 
 def merged_run(rows: list[dict]):
     """The runs of a part merged: columns of ``least_documents``."""
-    columns = []
-    runs = []
-    for row in rows:
-        prefix, length = unpacked_counts(row["prefixes"]).tolist(), unpacked_counts(row["lengths"])
-        rests, at, before = _values(row["rests"], np.uint8).tobytes(), 0, b""
-        strings = []
-        for n, size in zip(prefix, length.tolist()):
-            before = before[:n] + rests[at:at + size - n]
-            at += size - n
-            strings.append(before)
-        runs.append((strings, prefix))
-        high = unpacked_counts(row["highs"])
-        lefts = _values(row["lefts"], np.uint8)
-        end = np.cumsum(high)
-        place = end[:, None] - REACH + np.arange(REACH)
-        left = np.where(np.arange(REACH) >= REACH - high[:, None], lefts[np.maximum(place, 0)] if len(lefts) else 0, 0).astype(np.uint8)
-        columns.append((left, unpacked_counts(row["lows"]), high, _values(row["contexts"], np.uint64), unpacked_counts(row["least"]), unpacked_counts(row["most"])))
-    source, prefix = loser_tree(runs)
-    order = np.argsort(np.argsort(source, kind="stable"), kind="stable")  # runs come in their own order
-    return prefix, *[np.concatenate(x)[order] for x in zip(*columns)]
+    def all_of(name: str, values) -> np.ndarray:
+        return np.concatenate([values(row[name]) for row in rows])
+
+    def small(x: bytes) -> np.ndarray:
+        return _values(x, np.uint8)
+
+    prefix, length, low, high = (all_of(name, small).astype(np.int64) for name in ("prefixes", "lengths", "lows", "highs"))
+    # A run's first string has no prefix, so the runs unfold one after the other.
+    text = unfolded(all_of("rests", small), prefix, length, WINDOW)
+    left = np.zeros((len(high), REACH), np.uint8)
+    left[np.arange(REACH) >= REACH - high[:, None]] = all_of("lefts", small)
+    order, prefix = merged_order(text, length)
+    columns = (left, low, high, all_of("contexts", lambda x: _values(x, np.uint64)),
+               all_of("least", unpacked_counts), all_of("most", unpacked_counts))
+    return prefix, *[c[order] for c in columns]
 
 
 def _first_bits(texts: DataFrame) -> int:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(2, int(np.ceil(np.log2(max(size, 1) / PART_BYTES))))
+    return max(2, int(np.ceil(np.log2(max(size, 1) / part_bytes(size)))))
+
+
+def part_bytes(size: int) -> int:
+    """Bytes of text per part: small ones as long as there are few. Each task sends a run to each part and opens each part's files."""
+    return max(PART_BYTES, min(LARGE_PART_BYTES, size // FEW_PARTS))
 
 
 class _Arrays:
     def __init__(self, folder: str, bits: int):
         self.bits, self.files = bits, MappedArrays(folder)
 
-    def get(self, name: str) -> np.ndarray | None:
+    def get(self, name: str) -> dict[str, np.ndarray] | None:
         try:
-            return self.files(name)["values"]
+            return self.files(name)
         except FileNotFoundError:  # nothing fell there
             return None
 
@@ -308,11 +345,12 @@ class _Arrays:
 
     def repeated(self, heads: np.ndarray) -> np.ndarray:
         known, at = np.unique(heads, return_inverse=True)
-        part_of, out = self.part_of(known), np.zeros(len(known), bool)
-        for part in np.unique(part_of).tolist():
-            held = self.get(f"heads-{part}")
-            if held is not None and len(held):
-                a, b = np.searchsorted(part_of, [part, part + 1])
+        out = np.zeros(len(known), bool)
+        full, edges = np.unique(self.part_of(known), return_index=True)
+        for part, a, b in zip(full.tolist(), edges.tolist(), [*edges[1:].tolist(), len(known)]):
+            file = self.get(f"heads-{part}")
+            if file is not None and len(file["values"]):
+                held = file["values"]
                 place = np.minimum(np.searchsorted(held, known[a:b]), len(held) - 1)
                 out[a:b] = held[place] == known[a:b]
         return out[at]
@@ -321,15 +359,15 @@ class _Arrays:
         """Rows, ranges of bytes before the anchor, and documents of what is known of the contexts."""
         order = np.lexsort([contexts, self.part_of(heads)])
         part_of, wanted = self.part_of(heads)[order], contexts[order]
+        full, edges = np.unique(part_of, return_index=True)
         found = []
-        for part in np.unique(part_of).tolist():
-            held = self.get(f"contexts-{part}")
-            if held is not None and len(held):
-                a, b = np.searchsorted(part_of, [part, part + 1])
-                begin, end = np.searchsorted(held, wanted[a:b], "left"), np.searchsorted(held, wanted[a:b], "right")
+        for part, a, b in zip(full.tolist(), edges.tolist(), [*edges[1:].tolist(), len(order)]):
+            held = self.get(f"windows-{part}")
+            if held is not None and len(held["contexts"]):
+                begin, end = np.searchsorted(held["contexts"], wanted[a:b], "left"), np.searchsorted(held["contexts"], wanted[a:b], "right")
                 n = end - begin
                 place = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-                found.append((np.repeat(order[a:b], n), *[self.get(f"{x}-{part}")[place] for x in ("from", "to", "documents")]))
+                found.append((np.repeat(order[a:b], n), *[held[x][place] for x in ("from", "to", "documents")]))
         if not found:
             return (np.empty(0, np.int64),) * 4
         return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found))
@@ -390,7 +428,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     def sorted_runs(batches):
         arrays, held, size = _arrays(folder, bits), [], 0
-        for batch in slices(batches, "text"):
+        for batch in joined(batches, "text", LOOKED_UP_BYTES):
             data, offsets = raw(batch.column("text"))
             found = Anchors(data, offsets)
             on = np.flatnonzero(arrays.repeated(found.head))
@@ -398,10 +436,9 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
                 continue
             at, low, high = found.at[on], found.low[on], found.high[on]
             right = matrix(data, at, WINDOW - low, WINDOW)
-            place = at[:, None] - REACH + np.arange(REACH)
-            left = np.where(np.arange(REACH) >= REACH - high[:, None], data[np.maximum(place, 0)], 0).astype(np.uint8)
+            left = bytes_before(data, at, high)
             doc = batch.column("key").to_numpy()[found.text[on]]
-            held.append((arrays.part_of(found.head[on]), right, WINDOW - low, left, low, high, found.context[on], doc, doc))
+            held.append((arrays.part_of(found.head[on]), right, (WINDOW - low).astype(np.uint8), left, low.astype(np.uint8), high.astype(np.uint8), found.context[on], doc))
             size += len(on)
             if size >= HELD:
                 yield run_rows(*distinct(held))
@@ -411,20 +448,20 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     def distinct(held):
         """One row per context, with its least and greatest document."""
-        columns = [np.concatenate(x) for x in zip(*held)]
-        context, doc = columns[6], columns[7]
+        columns = [list(x) for x in zip(*held)]
+        held.clear()
+        context, doc = np.concatenate(columns[6]), np.concatenate(columns[7])
         order = np.lexsort([doc, context])
         first = np.flatnonzero(np.concatenate([[True], context[order][1:] != context[order][:-1]]))
         last = np.append(first[1:], len(order)) - 1
-        return *[c[order[first]] for c in columns[:8]], doc[order[last]]
+        return *[np.concatenate(columns.pop(0))[order[first]] for _ in range(8)], doc[order[last]]
 
     def merge(batches):
         rows = [r for batch in batches for r in batch.to_pylist()]
         if rows:
             part = rows[0]["part"]
             context, start, end, document = least_documents(*merged_run(rows))
-            for name, values in (("contexts", context), ("from", start), ("to", end), ("documents", document)):
-                save_arrays(folder, f"{name}-{part}", {"values": values})
+            save_arrays(folder, f"windows-{part}", {"contexts": context, "from": start, "to": end, "documents": document})
             yield pa.RecordBatch.from_pydict({"n": [len(context)]})
 
     mapped(mapped(texts, sorted_runs, RUN).repartitionById(n_parts, F.col("part")), merge, "n bigint").agg(F.sum("n")).collect()
@@ -435,7 +472,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     def cut(batches):
         arrays = _arrays(folder, bits)
-        for batch in slices(batches, text):
+        for batch in joined(batches, text, LOOKED_UP_BYTES):
             data, offsets = raw(batch.column(text))
             keys = batch.column(key)
             known = keys.is_valid().to_numpy(zero_copy_only=False)

@@ -122,3 +122,29 @@ def test_anchors_of_a_text_do_not_depend_on_the_texts_beside_it(monkeypatch):
         assert anchors(texts, k) == anchors([text], 0) == anchors([texts[4], text], 1)
     assert suffixes.chunk_edges(np.cumsum([0, *map(len, texts)]))[-1] == sum(map(len, texts))
     assert suffixes.chunk_edges(np.zeros(1, np.int64)) == [0]
+
+
+def test_each_part_is_opened_once_for_many_batches(monkeypatch, spark, tmp_path):
+    """With more parts than mapped files, every slice of a text opened every file again."""
+    assert suffixes.part_bytes(1 << 30) == suffixes.PART_BYTES
+    assert 12 * (1 << 30) / suffixes.part_bytes(12 * (1 << 30)) <= 512
+    bits = 6
+    heads = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 4000).astype(np.uint64) << np.uint64(1))
+    for part, mine in enumerate(np.split(heads, np.searchsorted(heads >> np.uint64(64 - bits), np.arange(1, 1 << bits)))):
+        suffixes.save_arrays(str(tmp_path), f"heads-{part}", {"values": mine})
+        suffixes.save_arrays(str(tmp_path), f"windows-{part}", {"contexts": mine, "from": mine % 3, "to": mine % 5, "documents": mine % 7})
+    arrays, calls = suffixes._Arrays(str(tmp_path), bits), []
+    files = arrays.files
+    monkeypatch.setattr(arrays, "files", lambda name: calls.append(name) or files(name))
+    assert arrays.repeated(np.append(heads[::2], heads[0] + np.uint64(1))).tolist() == [True] * 2000 + [False]
+    row, start, end, document = arrays.shared_windows(heads, heads)
+    assert len(calls) == 2 * (1 << bits)
+    assert (document == (heads[row] % 7).astype(np.int64)).all() and (start == (heads[row] % 3).astype(np.int64)).all() and sorted(row) == list(range(4000))
+
+
+def test_slices_join_over_batches():
+    import pyarrow as pa
+
+    batches = pa.table({"k": range(100), "text": ["x" * 50] * 99 + ["y" * 5000]}).to_batches(max_chunksize=7)
+    found = list(suffixes.joined(iter(batches), "text", 1000))
+    assert [r for b in found for r in b.column("k").to_pylist()] == list(range(100)) and len(found) == 5
