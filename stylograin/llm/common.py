@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import mmap
 import os
 import resource
+import sys
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from stylograin.session import scratch_path
 
 SLICE_BYTES = 2 << 20
-OPEN_FILES = 1024
+OPEN_FILES = 1 << 14
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -76,23 +78,27 @@ def save_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 class MappedArrays:
-    """Files of ``save_arrays`` mapped into memory: one mapping per file, and only of the files used last.
+    """Files of ``save_arrays`` mapped into memory: one mapping per file, and only of the ``OPEN_FILES`` files used last.
 
-    Each takes a file handle: a quarter of those that the process may have, at most ``OPEN_FILES``.
+    Before Python 3.13 a mapping keeps a file handle: then at most a quarter of those that the process may have.
     """
 
+    without_handles = sys.version_info >= (3, 13)
+
     def __init__(self, folder: str):
-        self.folder, self.most, self.open = folder, min(OPEN_FILES, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 4), OrderedDict()
+        self.folder, self.most, self.open = folder, OPEN_FILES, OrderedDict()
+        if not self.without_handles:
+            self.most = min(1024, OPEN_FILES, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 4)
 
     def __call__(self, name: str) -> dict[str, np.ndarray]:
         if name in self.open:
             self.open.move_to_end(name)
             return self.open[name]
-        data = np.memmap(f"{self.folder}/{name}.arrays", np.uint8, "r")
-        length = int.from_bytes(data[-8:].tobytes(), "little")
-        contents = json.loads(data[-8 - length:-8].tobytes())
-        # Views of the plain array below the mapping, which are quicker to index than memmaps.
-        plain = data.view(np.ndarray)
+        with open(f"{self.folder}/{name}.arrays", "rb") as file:
+            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if self.without_handles else {}))
+        length = int.from_bytes(data[-8:], "little")
+        contents = json.loads(data[-8 - length:-8])
+        plain = np.frombuffer(data, np.uint8)
         found = {key: plain[at:at + int(np.prod(shape)) * np.dtype(kind).itemsize].view(kind).reshape(shape) for key, (kind, shape, at) in contents.items()}
         self.open[name] = found
         if len(self.open) > self.most:

@@ -23,11 +23,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylograin.llm.common import MappedArrays, mapped, mix, raw, save_arrays, shared_files, slices, stored
+from stylograin.llm.common import MappedArrays, joined, mapped, mix, raw, save_arrays, shared_files, slices, stored
 from stylograin.llm.wordhash import LOWER, hashes, spans
 
 END = np.uint64(0x13198A2E03707344)
 PART_BYTES = 8 << 20
+FEW_PARTS = 256
+LARGE_PART_BYTES = 32 << 20
+LOOKED_UP_BYTES = 4 << 20
+SCORED_BYTES = 8 << 20
 GATHERED = 1 << 22
 
 
@@ -213,11 +217,10 @@ class Model:
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """The number of each of the sorted words over all parts, or -1."""
         out = np.full(len(words), -1, np.int64)
-        part_of = self.part_of(words)
-        for part in np.unique(part_of).tolist():
-            held = self.files(f"words-{part}")["words"] if self.sizes[part] else np.empty(0, np.uint64)
-            if len(held):
-                a, b = np.searchsorted(part_of, [part, part + 1])
+        full, edges = np.unique(self.part_of(words), return_index=True)
+        for part, a, b in zip(full.tolist(), edges.tolist(), [*edges[1:].tolist(), len(words)]):
+            if self.sizes[part]:
+                held = self.files(f"words-{part}")["words"]
                 at = np.minimum(np.searchsorted(held, words[a:b]), len(held) - 1)
                 out[a:b] = np.where(held[at] == words[a:b], self.starts[part] + at, -1)
         return out
@@ -225,9 +228,9 @@ class Model:
     def values(self, name: str, numbers: np.ndarray, part_of: np.ndarray) -> np.ndarray:
         """Counts of sorted words by their numbers; 0 where the number is -1."""
         out = np.zeros(len(numbers), np.int64)
-        known = numbers >= 0
-        for part in np.unique(part_of[known]).tolist():
-            at = known & (part_of == part)
+        known = np.flatnonzero(numbers >= 0)
+        full, edges = np.unique(part_of[known], return_index=True)
+        for part, at in zip(full.tolist(), np.split(known, edges[1:])):
             out[at] = self.counts(f"{name}-{part}", numbers[at] - self.starts[part])
         return out
 
@@ -248,10 +251,10 @@ class Model:
         """Contexts and words of keys."""
         return (keys >> self.word_bits).astype(np.int64), (keys & ((np.uint64(1) << self.word_bits) - np.uint64(1))).astype(np.int64)
 
-    def grams(self, k: int, context: np.ndarray, word: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each gram, or -1 (also where context or word is -1), and its count (0 unless ``counted``)."""
+    def grams(self, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The number of each gram, or -1 (also where context or word is -1)."""
         level = self.levels[k]
-        numbers, counts = np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64)
+        numbers = np.full(len(context), -1, np.int64)
         known = np.flatnonzero((context >= 0) & (word >= 0))
         part, key = self.keys(k, context[known], word[known])
         for p, rows in by_part(part, key, self.n_parts):
@@ -260,11 +263,8 @@ class Model:
             held, wanted = self.files(f"grams{k}-{p}")["keys"], key[rows]
             at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
             hit = held[at] == wanted
-            at, rows = at[hit], known[rows[hit]]
-            numbers[rows] = level.starts[p] + at
-            if counted:
-                counts[rows] = self.counts(f"level{k}-{p}", at)
-        return numbers, counts
+            numbers[known[rows[hit]]] = level.starts[p] + at[hit]
+        return numbers
 
     def counts(self, name: str, at: np.ndarray | None = None) -> np.ndarray:
         held = self.files(name)
@@ -305,16 +305,44 @@ class Model:
         out[at[hot]] = kinds[hot]
         return out
 
-    def contexts(self, k: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each context the sum of its grams' counts, and the weight of the lower order (1 and 1 where it is -1)."""
+    def looked_up(self, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each gram, or -1, and its count; the sum of its context's counts, and the weight of the lower order (1 and 1 where it is -1).
+
+        Grams are asked for in the order of their parts and keys, each once; a frequent context's are in many parts.
+        """
         level = self.levels[k]
-        asked, back = np.unique(context, return_inverse=True)
-        kinds = np.tile(np.array([1.0, 1.0, 0.0, 0.0]), (len(asked), 1))
-        hot, at = self.hot_at(k, asked)
-        kinds[hot] = level.hot_kinds[at[hot]]
-        other = np.flatnonzero(~hot & (asked >= 0))
-        for p, rows in by_part(self.part_of(mix(asked[other].astype(np.uint64))), asked[other], self.n_parts):
-            file, wanted = self.files(f"level{k}-{p}"), asked[other[rows]]
+        numbers, counts = np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64)
+        total, weight = np.ones(len(context)), np.ones(len(context))
+        known = np.flatnonzero(context >= 0)
+        # No gram ends in the number after all words, so that is what an unknown word goes by.
+        part, key = self.keys(k, context[known], np.where(word[known] < 0, self.vocabulary, word[known]))
+        for p, rows in by_part(part, key, self.n_parts):
+            asked = key[rows]
+            rows, new = known[rows], np.concatenate([[True], asked[1:] != asked[:-1]])
+            back, asked = np.cumsum(new) - 1, asked[new]
+            if level.starts[p + 1] > level.starts[p]:
+                held = self.files(f"grams{k}-{p}")["keys"]
+                at = np.minimum(np.searchsorted(held, asked), len(held) - 1)
+                hit = held[at] == asked
+                number, n = np.full(len(asked), -1, np.int64), np.zeros(len(asked), np.int64)
+                number[hit], n[hit] = level.starts[p] + at[hit], self.counts(f"level{k}-{p}", at[hit])
+                numbers[rows], counts[rows] = number[back], n[back]
+            owner = self.apart(asked)[0]
+            first = np.concatenate([[True], owner[1:] != owner[:-1]])
+            kinds = self.kinds(k, p, owner[first])
+            left = kinds[:, 1:] @ level.discounts[1:] / kinds[:, 0]
+            back = (np.cumsum(first) - 1)[back]
+            total[rows], weight[rows] = kinds[back, 0], left[back]
+        return numbers, counts, total, weight
+
+    def kinds(self, k: int, part: int, context: np.ndarray) -> np.ndarray:
+        """Sum of counts and kinds of different contexts, in order, whose grams are in a part."""
+        kinds = np.tile(np.array([1.0, 1.0, 0.0, 0.0]), (len(context), 1))
+        hot, at = self.hot_at(k, context)
+        kinds[hot] = self.levels[k].hot_kinds[at[hot]]
+        other = np.flatnonzero(~hot)
+        if len(other) and self.levels[k].starts[part + 1] > self.levels[k].starts[part]:
+            file, wanted = self.files(f"level{k}-{part}"), context[other]
             held = file["contexts"]
             if len(held):
                 i = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
@@ -323,10 +351,8 @@ class Model:
                 found = file["kinds"][i].astype(np.float64)
                 large = np.flatnonzero(found[:, 0] == 255)
                 found[large] = file["large_kinds"][np.searchsorted(file["large"], i[large])]
-                kinds[other[rows[hit]]] = found
-        weight = kinds[:, 1:] @ level.discounts[1:] / kinds[:, 0]
-        weight[asked < 0] = 1.0
-        return kinds[back, 0], weight[back]
+                kinds[other[hit]] = found
+        return kinds
 
 
 def counts_apart(counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -335,6 +361,11 @@ def counts_apart(counts: np.ndarray) -> dict[str, np.ndarray]:
     return {"counts": np.minimum(counts, 255).astype(np.uint8), "many": np.stack([many, counts[many]]).astype(np.int64)}
 
 
+def text_per_part(size: int) -> int:
+    """Bytes of text per part: small ones as long as there are few. Parts exchange rows with each other, and each look-up opens all of them."""
+    return max(PART_BYTES, min(LARGE_PART_BYTES, size // FEW_PARTS))
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """Chen and Goodman's discounts for counts 0, 1, 2, and 3 or more, from the numbers of counts 1 to 4.
 
@@ -394,8 +425,8 @@ def _settle(infos: DataFrame, level: Level) -> None:
 def train(texts: DataFrame, text: str = "text", order: int = 2, part_bytes: int | None = None) -> Model:
     """Count the texts and write the model's arrays; whole texts, all words, no cut-off.
 
-    ``order`` is the number of words of the longest grams. There is a part per ``part_bytes`` of text, and one
-    task adds it up; parts exchange rows with each other, so a large corpus wants as large parts as a task's memory allows. A null or empty text is an end
+    ``order`` is the number of words of the longest grams. There is a part per ``part_bytes`` of text (8 MB, up to 32 MB
+    of a large corpus, if nothing is said), and one task adds it up. A null or empty text is an end
     alone. Without texts every word is unknown. A context's number and a word's number must
     fit into 64 bits together; if they do not, training fails.
     """
@@ -405,7 +436,7 @@ def train(texts: DataFrame, text: str = "text", order: int = 2, part_bytes: int
     folder = shared_files(spark, "model")
     texts = texts.select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(2, int(np.ceil(np.log2(max(size, 1) / (part_bytes or PART_BYTES)))) if size else 2)
+    bits = max(2, int(np.ceil(np.log2(max(size, 1) / (part_bytes or text_per_part(size))))) if size else 2)
     n_parts = 1 << bits
 
     def count_words(batches):
@@ -482,13 +513,13 @@ def _count_grams(model: Model, k: int):
                 yield packed_rows([p for p, _, _ in done], [x for _, x, _ in done], [n for _, _, n in done])
 
         size = 0
-        for batch in slices(batches, "text"):
+        for batch in joined(batches, "text", LOOKED_UP_BYTES):
             found, begin = tokens(batch.column(0))
             known, at = np.unique(found, return_inverse=True)
             word = model.numbers(known)[at]
             context = after(word, begin, model.vocabulary)
             for lower in range(2, k):
-                context = after(model.grams(lower, context, word)[0], begin, -1)
+                context = after(model.grams(lower, context, word), begin, -1)
             whole = context >= 0  # a text's first words have fewer before them
             part, key = model.keys(k, context[whole], word[whole])
             for p, rows in by_part(part, key, model.n_parts):
@@ -519,7 +550,7 @@ def _save_grams(model: Model, k: int, least_hot: int):
             suffix_part, suffix = model.keys(k - 1, tail, word)
             given = [(p, *added_up(suffix[rows])) for p, rows in by_part(suffix_part, suffix, model.n_parts)]
             if k < model.order:
-                held["tails"] = model.grams(k - 1, tail, word)[0]
+                held["tails"] = model.grams(k - 1, tail, word)
         save_arrays(model.folder, f"grams{k}-{part}", held)
         for some in range(0, len(given), 256):
             yield _with_info(packed_rows(*map(list, zip(*given[some:some + 256]))))
@@ -575,8 +606,7 @@ class Scorer:
         word = number[at]
         context = after(word, begin, m.vocabulary)
         for k, level in m.levels.items():
-            gram, n = m.grams(k, context, word, True)
-            total, weight = m.contexts(k, context)
+            gram, n, total, weight = m.looked_up(k, context, word)
             probability = np.maximum(n - level.discounts[np.minimum(n, 3)], 0) / total + weight * probability
             context = after(gram, begin, -1)
         base = np.log10((count[at] + 1.0) / (m.total + 1.0 * (m.vocabulary + 1)))
@@ -601,7 +631,7 @@ def with_scores(docs: DataFrame, model: Model, *, text: str = "text") -> DataFra
     def score(batches):
         if _held.get("folder") != folder:
             _held.update(folder=folder, scorer=Scorer(held.value))
-        for batch in slices(batches, text, 4 << 20):
+        for batch in joined(batches, text, SCORED_BYTES):
             made = _held["scorer"].score(batch.column(text))
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(k)
                                               for k, f in enumerate(batch.schema)], names=batch.schema.names)

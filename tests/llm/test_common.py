@@ -69,3 +69,12 @@ def test_mapped_arrays_keep_few_files_open(tmp_path, monkeypatch):
         assert len(files.open) <= 3
     assert sum("a" in os.path.basename(os.readlink(f"/proc/self/fd/{d}")) and ".arrays" in os.readlink(f"/proc/self/fd/{d}")
                for d in os.listdir("/proc/self/fd") if os.path.exists(f"/proc/self/fd/{d}")) <= 4
+
+
+@pytest.mark.skipif(not common.MappedArrays.without_handles, reason="mappings keep handles before Python 3.13")
+def test_more_files_than_a_thousand_stay_mapped(tmp_path):
+    for k in range(1100):
+        common.save_arrays(str(tmp_path), f"a{k}", {"x": np.array([k])})
+    files, handles = common.MappedArrays(str(tmp_path)), len(os.listdir("/proc/self/fd"))
+    held = [files(f"a{k}") for k in range(1100)]
+    assert all(files(f"a{k}") is x for k, x in enumerate(held)) and len(os.listdir("/proc/self/fd")) <= handles + 1

@@ -176,3 +176,27 @@ def test_op8_uses_two_words_of_context(spark, tmp_path):
     rows = QUERIES["op8_language_model"](spark, str(tmp_path)).collect()
     brute = BruteOfOrder([texts[r.doc_id] for r in rows if not r.held_out], 3)
     assert all(r.score == pytest.approx(brute.score(texts[r.doc_id])[3], rel=1e-9) for r in rows)
+
+
+def test_a_large_corpus_has_few_parts():
+    assert kn.text_per_part(1 << 30) == kn.PART_BYTES
+    assert (12 << 30) / kn.text_per_part(12 << 30) <= 512
+
+
+def test_a_look_up_asks_each_part_once(spark, monkeypatch):
+    monkeypatch.setattr(kn, "PART_BYTES", 64)
+    random.seed(12)
+    texts = [" ".join(f"x{random.randint(0, 200)}" for _ in range(40)) for _ in range(60)]
+    model = kn.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
+    asked, files = [], model.files
+    monkeypatch.setattr(model, "files", lambda name: asked.append(name) or files(name))
+    word = np.arange(-1, model.vocabulary)
+    context = np.arange(model.vocabulary + 1)[::-1].copy()
+    follows = context != model.numbers(np.array([kn.END]))[0]  # an end has nothing behind it
+    word, context = word[follows], context[follows]
+    asked.clear()
+    found = model.looked_up(2, context, word)
+    assert max(Counter(asked).values()) <= 3 and (found[0] >= 0).any()
+    one_by_one = [model.looked_up(2, context[i:i + 1], word[i:i + 1]) for i in range(len(word))]
+    for k in range(4):
+        assert found[k].tolist() == [x[k][0] for x in one_by_one]
