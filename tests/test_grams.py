@@ -58,3 +58,24 @@ def test_vectors_equal_those_of_all_strings(spark, sublinear, scaled):
     assert want.keys() == got.keys()
     for key, vector in want.items():
         assert got[key].size == vector.size and got[key].toArray() == pytest.approx(vector.toArray())
+
+
+def test_stored_vectors_are_read_in_small_batches(spark):
+    """A batch of 4,096 rows of n-gram vectors, and a row group of 128 MB, were more than an executor's memory."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from stylograin import session
+
+    before = spark.conf.get(session.READER_SETTING)
+    try:
+        spark.conf.set(session.READER_SETTING, "4096")
+        rows = spark.range(0, 1200, 1, 1).selectExpr("id", "transform(sequence(1, 5000), x -> sqrt(x * 7.0D + id)) AS v")
+        got = session.stored_vectors(rows, rows.schema)
+        assert spark.conf.get(session.READER_SETTING) == str(session.VECTOR_ROWS)
+        assert got.selectExpr("count(*)", "sum(size(v))").first() == (1200, 6_000_000)
+        file = pq.ParquetFile(glob.glob(got.inputFiles()[0].removeprefix("file://"))[0]).metadata
+        assert max(file.row_group(k).total_byte_size for k in range(file.num_row_groups)) < 2 * session.VECTOR_BYTES
+    finally:
+        spark.conf.set(session.READER_SETTING, before)
